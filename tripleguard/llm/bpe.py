@@ -27,6 +27,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripleguard.llm.shared import slices
+
 CACHE, ROUND = 300_000, 20_000
 
 #: One row for each way to cut a token into two tokens; rank is the id of the whole.
@@ -142,19 +144,6 @@ def codec(name: str, pattern: str) -> Codec:
         return Codec(f.read(), pattern)
 
 
-def _parts(batch: pa.RecordBatch, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of about so many bytes of text."""
-    lengths = np.array([len(v.as_buffer()) if v.is_valid else 0 for v in batch.column(1)])
-    start, held = 0, 0
-    for i, n in enumerate(lengths):
-        held += n
-        if held >= size:
-            yield batch.slice(start, i + 1 - start)
-            start, held = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit), decoded (binary) for each row.
 
@@ -179,7 +168,7 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str, text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
+            for part in slices(batch, 1):
                 rows = [make(ids, back) for ids, back in codec(name, pattern).encode(part.column(1).to_pylist())]
                 columns = [pa.array([r[i] for r in rows], schema.field(i + 1).type) for i in range(len(schema) - 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *columns], schema=schema)
@@ -195,7 +184,7 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch, 500_000):
+            for part in slices(batch, 1, 500_000):
                 back = codec(name, pattern).decode([x or b"" for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(back, pa.binary())], schema=schema)
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleguard.llm import bpe, decontaminate, html_extract, language_id, multi_index, secrets, url_filter
+from tripleguard.llm import bpe, decontaminate, html_extract, language_id, multi_index, ngram_join, secrets, url_filter
 from tripleguard.llm.shared import read_documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -48,6 +48,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(read_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_multi_index": op2_multi_index,
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL = {
