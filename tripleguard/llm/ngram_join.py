@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripleguard.llm.bloom import likely
 from tripleguard.llm.components import connected_components
 from tripleguard.llm.shared import slices, written
 
@@ -171,7 +172,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, wor
                 columns += [pa.array([prefix(s, seen, k, percent).view(np.int64) for s in sets], schema.field(k + 1).type) for k in range(1, ORDERS)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    texts = docs.join(reps, "doc_id").select("class", "text")
+    reps, _ = written(reps)
+    texts = likely(docs, "doc_id", reps, reps.count()).join(reps, "doc_id").select("class", "text")
     sets, _ = written(texts.mapInArrow(sets_of, "class long, set binary, " + ", ".join(f"p{k} array<long>" for k in range(1, ORDERS))).dropDuplicates(["class"]))
     small = lambda side: sets.select(F.col("class").alias(side), *(F.col(f"p{k}").alias(f"{side}{k}") for k in range(1, ORDERS)))
     meets = pairs.join(small("a"), "a").join(small("b"), "b")

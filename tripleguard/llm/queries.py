@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleguard.llm import bpe, decontaminate, html_extract, language_id, multi_index, ngram_join, secrets, url_filter
+from tripleguard.llm import bpe, decontaminate, html_extract, language_id, license_scan, line_dedup, multi_index, ngram_join, secrets, url_filter
 from tripleguard.llm.shared import read_documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -26,6 +26,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read_documents(spark, sf_dir))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(read_documents(spark, sf_dir)))
 
@@ -48,6 +52,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(read_documents(spark, sf_dir))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(read_documents(spark, sf_dir))
 
@@ -56,10 +64,12 @@ QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_multi_index": op2_multi_index,
     "op3_bpe": op3_bpe,
+    "op4_line_dedup": op4_line_dedup,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
+    "op9_license_scan": op9_license_scan,
     "op10_ngram_join": op10_ngram_join,
 }
 

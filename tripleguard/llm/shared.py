@@ -34,6 +34,11 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def partitions(df: DataFrame) -> int:
+    """The session's number of shuffle partitions, for a step that makes much more than it reads."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder made by written() that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

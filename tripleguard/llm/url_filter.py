@@ -18,11 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripleguard.llm.bloom import BROADCAST_KEYS, blocks_for, filter_table, probe
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of a block; a key sets one bit in each.
-WORDS = 8
-#: Listed keys for which the filter may be sent to every executor: 16 bits a key, so 4 MB.
-BROADCAST_KEYS = 2_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -41,34 +39,6 @@ def listed(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFr
     return spark.createDataFrame(rows, "key string, verdict string, length int, path_length int")
 
 
-def bloom_blocks(keys: DataFrame, n_blocks: int) -> DataFrame:
-    """(block, words): the blocked filter of the column key."""
-    h = F.xxhash64("key")
-    masks = [F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(F.col("h2"), i)) for i in range(WORDS)]
-    return (
-        keys.select(F.pmod(h, F.lit(n_blocks)).alias("block"), F.xxhash64("key", F.lit("bits")).alias("h2"))
-        .groupBy("block")
-        .agg(*(F.bit_or(m).alias(f"w{i}") for i, m in enumerate(masks)))
-    )
-
-
-def _bit(h2: Column, i: int) -> Column:
-    """Six bits of h2 choose the bit of word i."""
-    return F.shiftrightunsigned(h2, 6 * i).bitwiseAND(F.lit(63)).cast("int")
-
-
-def probe(rows: DataFrame, blocks: DataFrame, n_blocks: int, small: bool) -> DataFrame:
-    """The rows whose column key may be in the filter."""
-    asked = rows.withColumns(
-        {"block": F.pmod(F.xxhash64("key"), F.lit(n_blocks)), "h2": F.xxhash64("key", F.lit("bits"))}
-    )
-    hit = F.lit(True)
-    for i in range(WORDS):
-        hit = hit & (F.call_function("shiftrightunsigned", F.col(f"w{i}"), _bit(F.col("h2"), i)).bitwiseAND(F.lit(1)) == 1)
-    side = F.broadcast(blocks) if small else blocks
-    return asked.join(side, "block").where(hit).drop("block", "h2", *(f"w{i}" for i in range(WORDS)))
-
-
 def filter_urls(
     pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = "allow"
 ) -> DataFrame:
@@ -81,8 +51,8 @@ def filter_urls(
     rules = rules.dropDuplicates(["key", "verdict"])
     n_keys = rules.count()
     small = n_keys <= BROADCAST_KEYS
-    n_blocks = max(1, n_keys * 16 // (64 * WORDS) + 1)
-    blocks = bloom_blocks(rules, n_blocks)
+    n_blocks = blocks_for(n_keys)
+    blocks = filter_table(rules, "key", n_blocks)
     lengths = F.array(*(F.lit(r[0]) for r in rules.select("path_length").distinct().collect()) or [F.lit(0)])
     split = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     labels = F.split("host", r"\.")
@@ -100,7 +70,7 @@ def filter_urls(
     asked = split.where(F.col("host") != "").select("host", "path").distinct().select("host", "path", F.explode(F.array_distinct(keys)).alias("key"))
     exact = rules.select("key", F.col("verdict").alias("said"), "length")
     found = (
-        probe(asked, blocks, n_blocks, small)
+        probe(asked, "key", blocks, n_blocks, small)
         .join(F.broadcast(exact) if small else exact, "key")
         .groupBy("host", "path")
         .agg(F.min(F.struct((-F.col("length")).alias("l"), F.col("key").alias("rule"), F.col("said"))).alias("best"))
