@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tripleguard.llm.bloom import likely
 from tripleguard.llm.components import connected_components
-from tripleguard.llm.shared import slices, written
+from tripleguard.llm.shared import partitions, slices, written
 
 WORDS = 4
 #: Per cent of the union that two sets must share.
@@ -36,6 +36,8 @@ PERCENT = 85
 #: Counters of the frequency sketch that the token orders use; fixed, whatever the input.
 BUCKETS = 1 << 17
 ORDERS = 3
+#: Classes of one block when pairs are compared.
+UNIT = 256
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -158,41 +160,63 @@ def _possible(n: str, before: str, m: str, ahead: str, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold."""
-    involved = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    reps = involved.join(classes, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    schema = pa.schema([("class", pa.int64()), ("set", pa.binary()), *((f"p{k}", pa.list_(pa.int64())) for k in range(1, ORDERS))])
+    """The pairs (a, b) of classes whose sets reach the threshold. pairs: a, b, mate (a class that both are near).
+
+    Classes with the same mate are compared in one place, so a set moves once for each such place and not
+    for each pair; a mate of many classes is cut into blocks, and each pair of blocks is a place.
+    """
+    pairs, _ = written(pairs)
+    ends = pairs.select("mate", F.explode(F.array("a", "b")).alias("class")).distinct()
+    blocks = ends.groupBy("mate").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("long").alias("blocks"))
+    block = lambda end: F.pmod(F.xxhash64(end), F.col("blocks"))
+    placed, _ = written(pairs.join(blocks, "mate").select("a", "b", F.xxhash64("mate", F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))).alias("unit")))
+    members = placed.select("unit", F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = members.groupBy("class").agg(F.collect_list("unit").alias("units"))
+    reps, _ = written(wanted.join(classes, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("units").alias("units")))
+    sent = pa.schema([("unit", pa.int64()), ("class", pa.int64()), ("set", pa.binary()), ("b", pa.int64())])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = levels.value
         for batch in batches:
             for part in slices(batch, 1, 1_000_000):
-                sets = shingle_sets(part.column(1).to_pylist(), words)
-                columns = [part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())]
-                columns += [pa.array([prefix(s, seen, k, percent).view(np.int64) for s in sets], schema.field(k + 1).type) for k in range(1, ORDERS)]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    reps, _ = written(reps)
-    texts = likely(docs, "doc_id", reps, reps.count()).join(reps, "doc_id").select("class", "text")
-    sets, _ = written(texts.mapInArrow(sets_of, "class long, set binary, " + ", ".join(f"p{k} array<long>" for k in range(1, ORDERS))).dropDuplicates(["class"]))
-    small = lambda side: sets.select(F.col("class").alias(side), *(F.col(f"p{k}").alias(f"{side}{k}") for k in range(1, ORDERS)))
-    meets = pairs.join(small("a"), "a").join(small("b"), "b")
-    for k in range(1, ORDERS):
-        meets = meets.where(F.arrays_overlap(f"a{k}", f"b{k}"))
-    meets = meets.select("a", "b")
-    whole = lambda side: sets.select(F.col("class").alias(side), F.col("set").alias(f"{side}_set"))
+                sets = [s.tobytes() for s in shingle_sets(part.column(1).to_pylist(), words)]
+                rows = [(u, c, s) for c, units, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), sets, strict=True) for u in units]
+                for at in range(0, len(rows), 500):
+                    some = rows[at : at + 500]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.binary()), pa.nulls(len(some), pa.int64())], schema=sent)
+
+    texts = likely(docs, "doc_id", reps, reps.count()).join(reps, "doc_id").select("class", "text", "units")
+    sets = texts.mapInArrow(sets_of, "unit long, class long, set binary, b long")
+    asked = placed.select("unit", F.col("a").alias("class"), F.lit(None).cast("binary").alias("set"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a unit come together, its sets before its pairs."""
+        unit, held, prefixes, seen = None, {}, {}, levels.value
+
+        def meet(x: int, y: int) -> bool:
+            """Common prefix shingles under every further order, then the whole sets."""
+            for k in range(1, ORDERS):
+                for c in (x, y):
+                    if (k, c) not in prefixes:
+                        prefixes[k, c] = frozenset(prefix(held[c], seen, k, percent).tolist())
+                if prefixes[k, x].isdisjoint(prefixes[k, y]):
+                    return False
+            s, t = held[x], held[y]
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            return 100 * both >= percent * (len(s) + len(t) - both)
+
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(100 * both >= percent * (len(s) + len(t) - both))
-            kept = batch.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+            good: list[tuple[int, int]] = []
+            for u, c, s, other in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if u != unit:
+                    unit, held, prefixes = u, {}, {}
+                if other is None:
+                    held[c] = np.frombuffer(s, np.uint64)
+                elif meet(c, other):
+                    good.append((c, other))
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in good], pa.int64()) for i in range(2)], names=["a", "b"])
 
-    return meets.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(compare, "a long, b long")
+    together = sets.unionByName(asked).repartition(partitions(docs), "unit").sortWithinPartitions("unit", F.col("b").asc_nulls_first())
+    return together.mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,7 +256,8 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_
         .distinct()
         .withColumn("c", centre)
     )
-    stars = open_tokens.where("class != c.class").where(_possible("n", "before", "c.n", "c.before", percent)).select(F.least("c.class", "class").alias("a"), F.greatest("c.class", "class").alias("b")).distinct()
+    stars = open_tokens.where("class != c.class").where(_possible("n", "before", "c.n", "c.before", percent)).select(F.least("c.class", "class").alias("a"), F.greatest("c.class", "class").alias("b"), F.col("c.class").alias("mate"))
+    stars = stars.groupBy("a", "b").agg(F.min("mate").alias("mate"))
     links, _ = written(_verified(stars, docs, classes, levels, words, percent))
     first = connected_components(links, "a", "b")
     placed, _ = written(
@@ -247,8 +272,9 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_
         x.join(y, "token")
         .where("class_x < class_y and class_x != centre_x and class_y != centre_x and component_x != component_y")
         .where(_possible("n_x", "before_x", "n_y", "before_y", percent))
-        .select(F.col("class_x").alias("a"), F.col("class_y").alias("b"))
-        .distinct()
+        .select(F.col("class_x").alias("a"), F.col("class_y").alias("b"), F.col("centre_x").alias("mate"))
+        .groupBy("a", "b")
+        .agg(F.min("mate").alias("mate"))
     )
     rest, _ = written(rest)
     links = links.unionByName(_verified(rest, docs, classes, levels, words, percent)) if not rest.isEmpty() else links
