@@ -1,0 +1 @@
+"""Finding wrong facts in knowledge graphs with Spark DataFrames."""
