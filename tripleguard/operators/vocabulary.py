@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripleguard.session import materialised
+
 
 def dense_ids(rows: DataFrame, order: str) -> DataFrame:
     """rows with id 0.. in the given order, without a window over the whole table.
@@ -13,9 +15,9 @@ def dense_ids(rows: DataFrame, order: str) -> DataFrame:
     is put in order in one task.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a stated number of parts keeps both uses of the numbering alike
     placed = rows.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id())
     placed = placed.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at")
+    placed = materialised(placed)  # the bounds of a range shuffle differ from one evaluation to the next
     sizes = placed.groupBy("_part").agg((F.max("_row") + 1).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))

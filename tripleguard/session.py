@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the folder that the cluster names in spark.checkpoint.dir (/tmp where it names none)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df written in the shared folder and read again: evaluated once, and safe from lost executors."""
+    path = scratch(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
