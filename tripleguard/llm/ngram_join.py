@@ -159,6 +159,20 @@ def _possible(n: str, before: str, m: str, ahead: str, percent: int) -> Column:
     return F.least(rest_n, rest_m).cast("long") * 100 >= (F.col(before) + F.col(ahead) + F.greatest(rest_n, rest_m)).cast("long") * percent
 
 
+def _enough(pairs: DataFrame, open_tokens: DataFrame, percent: int) -> DataFrame:
+    """The pairs that share enough prefix shingles for the threshold.
+
+    Of two prefixes one ends first in the order; what is common up to there is common to both prefixes, and behind it at
+    most the rest of that set can be.
+    """
+    own = open_tokens.groupBy("class").agg(F.first("n").cast("long").alias("n"), F.collect_list("token").alias("t"))
+    side = lambda s: own.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("t").alias(f"t_{s}"))
+    rest = F.ceil(F.greatest("n_a", "n_b") * percent / 100) - 1
+    most = F.least(F.size(F.array_intersect("t_a", "t_b")) + rest, F.col("n_a"), F.col("n_b"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "mate", "n_a", "n_b", most.alias("most"))
+    return met.where(F.col("most") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b", "mate")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold. pairs: a, b, mate (a class that both are near).
 
@@ -258,7 +272,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_
     )
     stars = open_tokens.where("class != c.class").where(_possible("n", "before", "c.n", "c.before", percent)).select(F.least("c.class", "class").alias("a"), F.greatest("c.class", "class").alias("b"), F.col("c.class").alias("mate"))
     stars = stars.groupBy("a", "b").agg(F.min("mate").alias("mate"))
-    links, _ = written(_verified(stars, docs, classes, levels, words, percent))
+    links, _ = written(_verified(_enough(stars, open_tokens, percent), docs, classes, levels, words, percent))
     first = connected_components(links, "a", "b")
     placed, _ = written(
         open_tokens.join(first.select(F.col("node").alias("class"), "component"), "class", "left")
@@ -276,7 +290,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_
         .groupBy("a", "b")
         .agg(F.min("mate").alias("mate"))
     )
-    rest, _ = written(rest)
+    rest, _ = written(_enough(rest, open_tokens, percent))
     links = links.unionByName(_verified(rest, docs, classes, levels, words, percent)) if not rest.isEmpty() else links
     linked = connected_components(links, "a", "b").select(F.col("node").alias("class"), "component")
     named = classes.join(linked, "class", "left").select("doc_id", "n", F.coalesce("component", "class").alias("group"))
