@@ -29,7 +29,9 @@ from tripleguard.llm.shared import partitions, written
 SHINGLE = 10
 BANDS, ROWS = 7, 3
 SIMILARITY = 0.8
-_CONSTANTS = [random.Random(i).getrandbits(63) for i in range(BANDS * ROWS)]
+_CONSTANTS = [random.Random(i).getrandbits(31) for i in range(BANDS * ROWS)]
+#: Counters of the frequency sketch by which shingles are ordered; fixed, whatever the input.
+BUCKETS = 1 << 17
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -47,7 +49,7 @@ def signatures(lines: DataFrame) -> DataFrame:
     rows = lines.select("node", F.col("line").cast("binary").alias("b"))
     last = F.greatest(F.lit(1), F.octet_length("b") - SHINGLE + 1)
     shingles = rows.select("node", "b", F.explode(F.sequence(F.lit(1), last)).alias("i")).select(
-        "node", F.xxhash64(F.substring(F.col("b"), F.col("i"), F.lit(SHINGLE))).alias("h")
+        "node", F.xxhash64(F.substring(F.col("b"), F.col("i"), F.lit(SHINGLE))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("h")
     )
     return shingles.groupBy("node").agg(
         F.count(F.lit(1)).alias("weight"), *(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_CONSTANTS))
@@ -63,41 +65,64 @@ def shingle_rows(rows: DataFrame, keys: list[str], line: str = "line") -> DataFr
     return cut.select(*keys, F.xxhash64(F.when(F.col("ascii"), by_byte).otherwise(by_character)).alias("h"))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets reach the similarity. texts: node, line.
+def shingle_set(line: Column) -> Column:
+    """Hashes of the distinct shingles of SHINGLE characters."""
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(line) - SHINGLE + 1))
+    utf8 = line.cast("binary")
+    by_byte = F.transform(places, lambda i: F.xxhash64(F.substring(utf8, i, F.lit(SHINGLE))))
+    by_character = F.transform(places, lambda i: F.xxhash64(F.substring(line, i, F.lit(SHINGLE))))
+    return F.array_distinct(F.when(F.octet_length(line) == F.char_length(line), by_byte).otherwise(by_character))
 
-    Each pair's shingles are counted where the pair is: one shuffle of the pairs with their lines.
-    """
+
+def _once(*columns: Column) -> Column:
+    """A struct of the columns, made by a generator so that what uses it doesn't compute them anew."""
+    return F.explode(F.array(F.struct(*columns)))
+
+
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets reach the similarity. texts: node, line."""
     side = lambda s: texts.select(F.col("node").alias(s), F.col("line").alias(f"line_{s}"))
     lines = pairs.join(side("a"), "a").join(side("b"), "b").repartition(partitions(pairs), "a", "b")
-    sides = lines.select("a", "b", F.inline(F.array(F.struct(F.lit(1).alias("side"), F.col("line_a").alias("line")), F.struct(F.lit(2).alias("side"), F.col("line_b").alias("line")))))
-    held = shingle_rows(sides, ["a", "b", "side"]).groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
-    counted = held.groupBy("a", "b").agg(F.count_if(F.col("sides") == 3).alias("common"), F.count(F.lit(1)).alias("union"))
-    return counted.where(F.col("common") >= similarity * F.col("union") - 1e-9).select("a", "b")
+    sets = lines.select("a", "b", _once(shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y")).alias("s"))
+    common = F.size(F.array_intersect("s.x", "s.y"))
+    return sets.where(common * (1 + similarity) >= similarity * (F.size("s.x") + F.size("s.y")) - 1e-9).select("a", "b")
+
+
+def frequency_levels(rows: DataFrame) -> Column:
+    """A binary literal: for each hash bucket a letter that grows with how often its shingles occur."""
+    counted = rows.groupBy(F.pmod("h", F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()  # BUCKETS rows at most
+    mean = max(1.0, sum(r["n"] for r in counted) / BUCKETS)
+    letters = bytearray(b"A" * BUCKETS)
+    for r in counted:
+        letters[r["bucket"]] += max(0, int(r["n"] / mean).bit_length() - 1)
+    return F.lit(bytes(letters))
 
 
 def prefix_pairs(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes of different components that share a shingle of their prefixes. placed: node, component.
 
-    Shingles are ordered by how many of these nodes have them; a node's prefix is what a partner must
+    Shingles in frequent buckets come last in the order; a node's prefix is what a partner must
     share one of. The shingles before the first common one belong to one node each, which bounds the similarity;
     so most nodes that merely hold the same passage never meet.
     """
-    sets = shingle_rows(texts.join(placed, "node").repartition(partitions(placed), "node"), ["node", "component"]).distinct()
-    rows = sets.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("node")))
-    known = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1")
-    own = Window.partitionBy("node")
-    prefix = (
-        known.withColumn("common", F.count(F.lit(1)).over(own))
-        .withColumn("before", F.col("n") - F.col("common") + F.row_number().over(own.orderBy("df", "h")) - 1)
-        .where(F.col("before") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9))
-        .select("h", "node", "component", "n", "before")
-    )
-    prefix, _ = written(prefix)
+    lines = texts.join(placed, "node").repartition(partitions(placed), "node")
+    levels = frequency_levels(shingle_rows(lines, ["node"]))
+    level = lambda h: F.ascii(F.substring(levels, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string")).cast("bigint")
+    ordered = F.sort_array(F.transform(shingle_set(F.col("line")), lambda h: F.call_function("shiftleft", level(h), F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    sets = lines.select("node", "component", _once(ordered.alias("x")).alias("s")).select("node", "component", F.size("s.x").alias("n"), "s.x")
+    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1
+    tokens = sets.select("node", "component", "n", F.posexplode(F.slice("x", F.lit(1), first)).alias("before", "h"))
+    prefix, _ = written(tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1").drop("df"))
     x, y = (prefix.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "before"))) for s in "xy")
     rest_x, rest_y = F.col("n_x") - F.col("before_x"), F.col("n_y") - F.col("before_y")
     possible = F.least(rest_x, rest_y) + 1e-9 >= similarity * (F.col("before_x") + F.col("before_y") + F.greatest(rest_x, rest_y))
-    return x.join(y, "h").where("node_x < node_y and component_x != component_y").where(possible).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    met = x.join(y, "h").where("node_x < node_y and component_x != component_y").where(possible).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    # of two prefixes one ends first: what is common up to there is in both, and behind it at most the rest of that set
+    own = prefix.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("h").alias("t"))
+    side = lambda s: own.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("t").alias(f"t_{s}"))
+    most = F.size(F.array_intersect("t_a", "t_b")) + F.ceil(F.greatest("n_a", "n_b") * similarity - 1e-9) - 1
+    enough = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", most.alias("most"))
+    return enough.where(F.col("most") * (1 + similarity) + 1e-9 >= similarity * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
