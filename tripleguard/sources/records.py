@@ -14,7 +14,7 @@ RECORD = (
 def read_records(spark: SparkSession, root: str) -> DataFrame:
     """The run records below a folder; files that can't be read are left out."""
     reader = spark.read.schema(RECORD).option("recursiveFileLookup", True).option("pathGlobFilter", "*_run.json").option("multiLine", True).option("mode", "PERMISSIVE")
-    return reader.json(root).where("_corrupt_record is null").drop("_corrupt_record")
+    return reader.json(root).where("_corrupt_record is null and dataset is not null").drop("_corrupt_record")
 
 
 def write_records(records: DataFrame, path: str) -> None:
