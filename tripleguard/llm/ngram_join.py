@@ -1,8 +1,8 @@
 """Jaccard join of documents on word n-grams, filtered by several global token orders.
 
 A document is the set of its distinct shingles, kept as 64-bit hashes. Documents of one set form a
-class. A global order puts shingles of frequent hash buckets last; within a level of frequency each
-order sorts by another hash. Two classes can reach the threshold only if their prefixes, the first
+class. A global order puts shingles of frequent hash buckets last, by levels that are fine in the first order and
+coarse in the others; within a level each order sorts by another hash. Two classes can reach the threshold only if their prefixes, the first
 n - ceil(t n) + 1 shingles, share one under every order. The first order finds candidates
 by shuffling prefix shingles; candidates must then also meet under the other orders, and their whole sets
 are compared. Lengths out of proportion are never compared.
@@ -19,6 +19,7 @@ their sets are equal; further columns may have any name.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,10 @@ from tripleguard.llm.shared import partitions, slices, written
 WORDS = 4
 #: Per cent of the union that two sets must share.
 PERCENT = 85
-#: Counters of the frequency sketch that the token orders use; fixed, whatever the input.
-BUCKETS = 1 << 17
+#: Counters of the frequency sketch that the token orders use, and those of one row of it; fixed, whatever the input.
+BUCKETS, ROW = 1 << 22, 1 << 12
+#: Levels of frequency in one doubling, and how many of them make one level of the coarse orders.
+FINE = 8
 ORDERS = 3
 #: Classes of one block when pairs are compared.
 UNIT = 256
@@ -115,38 +118,58 @@ def needed(n: int, percent: int) -> int:
 def prefix(shingles: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
     """The shingles of which a partner must have one, in the given order."""
     k = len(shingles) - needed(len(shingles), percent) + 1
-    key = mixed(shingles, 11 + order) >> np.uint64(6) | levels[shingles % np.uint64(BUCKETS)].astype(np.uint64) << np.uint64(58)
+    level = levels[shingles % np.uint64(BUCKETS)] // (FINE if order else 1)
+    key = mixed(shingles, 11 + order) >> np.uint64(8) | level.astype(np.uint64) << np.uint64(56)
     first = np.argpartition(key, k - 1)[:k] if k < len(shingles) else np.arange(len(shingles))
     return shingles[first[np.argsort(key[first])]]
 
 
 def _passes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, class) of each row, and (bucket, count) of all shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("bucket", pa.int32()), ("count", pa.int64())])
+    """(doc_id, n, class) of each row, and (row, counts) of the sketch of each task: counts is compressed."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("row", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             for part in slices(batch, 1, 1_000_000):
                 sets = shingle_sets(part.column(1).to_pylist(), words)
-                counts += np.bincount(np.concatenate(sets) % np.uint64(BUCKETS), minlength=BUCKETS)
+                np.add.at(counts, (np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), 1)
                 none = pa.nulls(len(sets))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets]), pa.array([class_of(s) for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
-        full = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets]), pa.array([class_of(s) for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+        rows = counts.reshape(-1, ROW)
+        full = np.flatnonzero(rows.any(axis=1))
         none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(full.astype(np.int32)), pa.array(counts[full])], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(full.astype(np.int32)), pa.array([zlib.compress(rows[i], 1) for i in full], pa.binary())], schema=schema)
 
-    both, _ = written(docs.mapInArrow(run, "doc_id long, n long, class long, bucket int, count long"))
-    return both.where("bucket is null").select("doc_id", "n", "class"), both.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count"))
+    both, _ = written(docs.mapInArrow(run, "doc_id long, n long, class long, row int, counts binary"))
+    return both.where("row is null").select("doc_id", "n", "class"), both.where("row is not null").select("row", "counts")
 
 
 def _levels(counts: DataFrame) -> np.ndarray:
-    """Level of frequency of each bucket: 0 up to twice the mean, then one more for each doubling."""
-    levels = np.zeros(BUCKETS, np.float64)
-    for r in counts.collect():  # BUCKETS rows at most
-        levels[r["bucket"]] = r["count"]
-    mean = max(1.0, levels.mean())
-    return np.clip(np.floor(np.log2(np.maximum(levels, 1) / mean)), 0, 31).astype(np.uint8)
+    """Level of frequency of each bucket, FINE levels to a doubling."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of the sketch come together, so that one sum is held at a time."""
+        at, total = None, np.zeros(ROW, np.int64)
+
+        def done() -> pa.RecordBatch:
+            level = np.minimum(np.floor(np.log2(np.maximum(total, 1)) * FINE), 255).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["row", "levels"])
+
+        for batch in batches:
+            for row, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row != at:
+                    if at is not None:
+                        yield done()
+                    at, total = row, np.zeros(ROW, np.int64)
+                total += np.frombuffer(zlib.decompress(packed), np.uint32)
+        if at is not None:
+            yield done()
+
+    levels = np.zeros((BUCKETS // ROW, ROW), np.uint8)
+    for r in counts.repartition(partitions(counts), "row").sortWithinPartitions("row").mapInArrow(add, "row int, levels binary").collect():  # BUCKETS bytes
+        levels[r["row"]] = np.frombuffer(r["levels"], np.uint8)
+    return levels.ravel()
 
 
 def _possible(n: str, before: str, m: str, ahead: str, percent: int) -> Column:
