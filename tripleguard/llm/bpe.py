@@ -29,36 +29,33 @@ from pyspark.sql import functions as F
 
 from tripleguard.llm.shared import slices
 
-CACHE, ROUND = 300_000, 20_000
+CACHE, ROUND = 600_000, 40_000
 
 #: One row for each way to cut a token into two tokens; rank is the id of the whole.
 MERGES = """
 create table merges as
-select a.id as l, b.id as r, t.id as rank
+select a.id::bigint * 4294967296 + b.id as pair, t.id as rank
 from (select id, bytes, unnest(range(1, octet_length(bytes))) as cut from vocab) t
 join vocab a on a.hex = hex(t.bytes)[:2 * t.cut]
 join vocab b on b.hex = hex(t.bytes)[2 * t.cut + 1:]
 """
 
-#: The key of a pair orders by rank, then by position.
+#: Each round unfolds the words into token-position rows, joins them with the merges and contracts the pair of
+#: the smallest key (rank, then position) of each word. A word without such a pair leaves; the last row by word stays.
 CONTRACT = """
-with recursive state as (
-    select piece, pos, token, 0 as round from pieces
-    union all
-    select piece, pos, case when own = best then rank else token end, round + 1
-    from (
-        select *, lag(own) over (partition by piece order by pos) as before, min(own) over (partition by piece) as best
-        from (
-            select s.piece, s.pos, s.token, s.round, m.rank, m.rank::bigint * 4294967296 + s.pos as own
-            from (select *, lead(token) over (partition by piece order by pos) as follows from state) s
-            left join merges m on m.l = s.token and m.r = s.follows
-        )
-    )
-    where best is not null and before is distinct from best
-),
-last as (select piece, max(round) as round from state group by piece)
-select s.piece, list(s.token order by s.pos) as tokens
-from state s join last using (piece, round) group by s.piece
+with recursive state(piece, tokens) using key (piece) as (
+    select piece, tokens from pieces
+    union
+    select s.piece, s.tokens[:best % 4294967296 - 1] || [(best // 4294967296)::int] || s.tokens[best % 4294967296 + 2:]
+    from state s
+    join (
+        select piece, min(m.rank::bigint * 4294967296 + p.pos) as best
+        from (select piece, unnest(tokens[:-2])::bigint * 4294967296 + unnest(tokens[2:]) as pair, generate_subscripts(tokens[2:], 1) as pos from state) p
+        join merges m on m.pair = p.pair
+        group by piece
+    ) using (piece)
+)
+select piece, tokens from state
 """
 
 DECODE = """
@@ -73,7 +70,7 @@ class Codec:
     def __init__(self, ranks: bytes, pattern: str) -> None:
         pairs = [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, ranks.splitlines()) if a]
         self.find = regex.compile(pattern).findall
-        self.of_byte = np.zeros(256, np.int64)
+        self.of_byte = np.zeros(256, np.int32)
         for token, rank in pairs:
             if len(token) == 1:
                 self.of_byte[token[0]] = rank
@@ -95,11 +92,8 @@ class Codec:
             some = pieces[at : at + ROUND]
             raw = [p.encode() for p in some]
             sizes = np.array([len(r) for r in raw])
-            self.db.register("pieces", pa.table({
-                "piece": np.repeat(np.arange(len(some)), sizes),
-                "pos": np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes),
-                "token": self.of_byte[np.frombuffer(b"".join(raw), np.uint8)],
-            }))
+            tokens = self.of_byte[np.frombuffer(b"".join(raw), np.uint8)]
+            self.db.register("pieces", pa.table({"piece": np.arange(len(some)), "tokens": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), tokens)}))
             done = self.db.sql(CONTRACT).to_arrow_table()
             self.db.unregister("pieces")
             lists = done.column("tokens").combine_chunks()
