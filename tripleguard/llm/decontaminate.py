@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripleguard.llm.shared import written
 from tripleguard.llm.url_filter import LOWER, UPPER
 
 #: Separators: ASCII but for digits and lower-case letters.
@@ -103,7 +104,7 @@ def decontaminate(
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted as strings) for each row of docs."""
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("doc_key", F.xxhash64("doc_id", "text"))
-    hits = find_hits(keyed, benchmark, window, "doc_key", "text", item_id, item_text)
+    hits, _ = written(find_hits(keyed, benchmark, window, "doc_key", "text", item_id, item_text))  # read twice below
     return keyed.select("doc_id", "doc_key", F.size(words_of(F.col("text"))).cast("long").alias("n_words")).join(
         summary(hits), "doc_key", "left"
     ).select(
