@@ -56,6 +56,27 @@ def test_html_keeps_the_article(spark):
     assert sorted(got) == sorted([(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "first", 5), (4, "second", 6), (5, "", 0)])
 
 
+def test_html_copies_of_a_plain_page_keep_their_text(spark):
+    bare = lambda s: f"<div>Top bar</div><p>{s}</p><div>All pages end so</div>"
+    rows = [(1, "http://c.d/x/1", bare("first")), (2, "http://c.d/x/1?a=2", bare("first")), (2, "http://c.d/x/1?a=2", bare("first")), (3, "http://c.d/x/2", bare("second"))]
+    rows += [(4, None, bare("no url")), (5, None, bare("no url")), (6, "http://e.f/1", bare("alone")), (7, "http://e.f/1", bare("alone"))]
+    rows += [(8, "http://c.d/x/1", f"<article>{bare('first')}</article>"), (9, "http://c.d/x/1", "")]
+    whole = lambda s: f"Top bar\n{s}\nAll pages end so"
+    want = [(1, "first"), (2, "first"), (2, "first"), (3, "second"), (4, whole("no url")), (5, whole("no url")), (6, whole("alone")), (7, whole("alone")), (8, whole("first")), (9, "")]
+    got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == want
+
+
+def test_html_pairs_do_not_depend_on_partitions(spark):
+    rows = [(i, f"http://c.d/{i // 2}/{i}", f"<div>Bar {i // 2}</div><p>text {i}</p>") for i in range(42)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r["page_id"], r["text"]) for r in got) == [(i, f"text {i}") for i in range(42)]
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(60):
