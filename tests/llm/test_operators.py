@@ -180,6 +180,18 @@ def test_secrets(spark):
     assert rows[0]["base_sha256"] == secrets.sha256_text("") and rows[0]["spans"] == ""
 
 
+def test_secrets_behind_an_equals_sign_or_in_hexadecimal():
+    der = bytes([0x30, 0x2E, 0x02, 0x01, 0x00, 0x30, 0x05, 0x06, 0x03, 0x2B, 0x65, 0x70, 0x04, 0x22, 0x04, 0x20]) + bytes(32)
+    part = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + (1).to_bytes(4, "big") + part(bytes(40)) + part(bytes(64))
+    fake = bytes([0x30, 0x2E]) + bytes(range(44))
+    b64 = lambda x: base64.b64encode(x).decode()
+    for before, key in [("PRIVATE_KEY=", b64(der)), ("signing_key=", der.hex()), ("k=0x", der.hex()), ("k 0X", der.hex().upper()), ("x=", ssh.hex()), ("0x", ssh.hex().upper()), ("SSH=", b64(ssh))]:
+        text = f"export {before}{key}\n"
+        assert [text[a:b] for k, a, b in secrets.spans_of(text) if k == "key"] == [key]
+    assert not [k for k, *_ in secrets.spans_of(f"PRIVATE_KEY={b64(fake)} k=0x{fake.hex()}") if k == "key"]
+
+
 def test_decontamination_on_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "word word word"), (2, None), (3, "..."), (10, "One line only here one LINE only here one line only here"), (11, "absent words")], "item_id long, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.decontaminate(odd, bench).collect()}

@@ -33,8 +33,10 @@ KINDS = ("assign", "access", "hex", "jwt", "key", "pem")
 
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+={0,2}\.[A-Za-z0-9_-]+={0,2}\.[A-Za-z0-9_-]*={0,2}")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\:,.-]*?)-----END \1-----")
-#: Encoded DER sequences (0x30 0x8X or a short length) and OpenSSH keys, in base64 or hexadecimal.
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M[A-Za-z0-9+/_-]{40,}={0,2}|b3BlbnNzaC1rZXk[A-Za-z0-9+/_-]{40,}={0,2}|30[0-9A-Fa-f]{60,})")
+#: Encoded DER sequences (0x30 0x8X or a short length) and OpenSSH keys, in base64 or hexadecimal (also behind 0x).
+ENCODED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?:0[xX])?(M[A-Za-z0-9+/_-]{40,}={0,2}|b3BlbnNzaC1rZXk[A-Za-z0-9+/_-]{40,}={0,2}|30[0-9A-Fa-f]{60,}|6[Ff]70656[Ee]7373682[Dd]6[Bb]65792[Dd]7631[0-9A-Fa-f]{40,})"
+)
 
 OUTPUT = pa.schema(
     [
@@ -141,7 +143,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     found += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[0])]
-    found += [("key", *m.span()) for m in ENCODED.finditer(text) if is_key(m[0])]
+    found += [("key", *m.span(1)) for m in ENCODED.finditer(text) if is_key(m[1])]
     if "-----BEGIN " in text:
         found += [("pem", *m.span()) for m in PEM.finditer(text) if is_pem(m[2])]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
