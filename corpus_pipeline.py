@@ -17,6 +17,11 @@ from tripleguard.llm.shared import read_documents, written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The columns of documents and row_key, which tells rows of one id or of none apart."""
+    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row_key"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is recognised."""
     model = language_id.fit(docs.where(~language_id.held_out()))
@@ -30,15 +35,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked, the one of the smallest id stays."""
-    keep = ngram_join.components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").select(*COLUMNS)
+    """Of documents that are linked, the one of the smallest id stays (a null id comes last); equal rows stay once."""
+    rows = _keyed(docs)
+    found = ngram_join.components(rows, doc_id="row_key").select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    of_key = rows.select("row_key", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")
+    keep = found.join(of_key, "row_key").groupBy("component_id").agg(first).select("first.row_key")
+    kept = rows.join(keep, "row_key", "left_semi").groupBy("row_key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return kept.select(*(F.col(f"row.{c}").alias(c) for c in COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents that hold a window of a benchmark item."""
-    hits = decontaminate.find_hits(docs.withColumn("doc_key", F.col("doc_id")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select(*COLUMNS).join(hits.select(F.col("doc_key").alias("doc_id")).distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    rows = _keyed(docs)
+    hits = decontaminate.find_hits(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_key="row_key")
+    return rows.join(hits.select(F.col("doc_key").alias("row_key")).distinct(), "row_key", "left_anti").select(*COLUMNS)
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

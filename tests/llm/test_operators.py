@@ -262,6 +262,36 @@ def test_ngram_join_equals_brute_force(spark):
     assert ngram_join.components(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def _near_copies():
+    """Rows (doc_id, text) with null ids and with one id under two texts: a, b and c are texts, a2 a near copy of a."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    text = {k: rng.choice(words, 150).tolist() for k in "abcd"}
+    near = lambda k, i: " ".join(text[k][:-i] + [f"x{j}" for j in range(i)]) if i else " ".join(text[k])
+    return [(10, near("a", 0)), (10, near("b", 0)), (11, near("a", 1)), (9, near("b", 1)), (None, near("c", 0)), (None, near("c", 1)), (None, near("a", 2)), (None, near("c", 0)), (12, near("d", 0))]
+
+
+def test_ngram_join_on_null_and_shared_ids(spark):
+    rows = _near_copies()
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(10, 10), (10, 9), (11, 10), (9, 9), (None, None), (None, None), (None, 10), (None, None), (12, 12)]
+    assert sorted(map(str, ((r["doc_id"], r["component_id"]) for r in got))) == sorted(map(str, want))
+
+
+def test_pipeline_stages_keep_rows_apart(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(d, t, "en", "s", len(t)) for d, t in _near_copies()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert len(kept) == 4 and kept.count((10, rows[0][1])) == 1 and kept.count((9, rows[3][1])) == 1 and kept.count((12, rows[8][1])) == 1
+    assert [t in (rows[4][1], rows[5][1]) for d, t in kept if d is None] == [True]
+    item = " ".join(rows[0][1].split()[:20])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = sorted(str((r["doc_id"], r["text"])) for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect())
+    assert clean == sorted(str((d, t)) for d, t, *_ in rows if item not in t)
+
+
 def test_pipeline_on_copies(spark, tmp_path):
     import corpus_pipeline
 

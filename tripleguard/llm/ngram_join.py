@@ -13,8 +13,8 @@ from different components follow. So components are exact, without all pairs of
 group of copies.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; fewer words than n
-make one shingle of the whole sequence; repeated ids are one document each but share a class if
-their sets are equal; further columns may have any name.
+make one shingle of the whole sequence; rows of one id are documents of their own and share a class if
+their sets are equal; null ids are linked like others, and a component that has only such has a null component_id; further columns may have any name.
 """
 
 from __future__ import annotations
@@ -125,8 +125,8 @@ def prefix(shingles: np.ndarray, levels: np.ndarray, order: int, percent: int) -
 
 
 def _passes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, class) of each row, and (row, counts) of the sketch of each task: counts is compressed."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("row", pa.int32()), ("counts", pa.binary())])
+    """(doc_id, key, n, class) of each row, and (row, counts) of the sketch of each task: counts is compressed."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("row", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.uint32)
@@ -135,14 +135,14 @@ def _passes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
                 sets = shingle_sets(part.column(1).to_pylist(), words)
                 np.add.at(counts, (np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), 1)
                 none = pa.nulls(len(sets))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets]), pa.array([class_of(s) for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets]), pa.array([class_of(s) for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         rows = counts.reshape(-1, ROW)
         full = np.flatnonzero(rows.any(axis=1))
         none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(full.astype(np.int32)), pa.array([zlib.compress(rows[i], 1) for i in full], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(full.astype(np.int32)), pa.array([zlib.compress(rows[i], 1) for i in full], pa.binary())], schema=schema)
 
-    both, _ = written(docs.mapInArrow(run, "doc_id long, n long, class long, row int, counts binary"))
-    return both.where("row is null").select("doc_id", "n", "class"), both.where("row is not null").select("row", "counts")
+    both, _ = written(docs.mapInArrow(run, "doc_id long, key long, n long, class long, row int, counts binary"))
+    return both.where("row is null").select("doc_id", "key", "n", "class"), both.where("row is not null").select("row", "counts")
 
 
 def _levels(counts: DataFrame) -> np.ndarray:
@@ -209,19 +209,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, wor
     placed, _ = written(pairs.join(blocks, "mate").select("a", "b", F.xxhash64("mate", F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))).alias("unit")))
     members = placed.select("unit", F.explode(F.array("a", "b")).alias("class")).distinct()
     wanted = members.groupBy("class").agg(F.collect_list("unit").alias("units"))
-    reps, _ = written(wanted.join(classes, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("units").alias("units")))
+    reps, _ = written(wanted.join(classes, "class").groupBy("class").agg(F.min("key").alias("key"), F.first("units").alias("units")))
     sent = pa.schema([("unit", pa.int64()), ("class", pa.int64()), ("set", pa.binary()), ("b", pa.int64())])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows of one key are sent once by a task
         for batch in batches:
             for part in slices(batch, 1, 1_000_000):
+                new = [c not in seen and not seen.add(c) for c in part.column(0).to_pylist()]
+                part = part.filter(pa.array(new, pa.bool_()))
                 sets = [s.tobytes() for s in shingle_sets(part.column(1).to_pylist(), words)]
                 rows = [(u, c, s) for c, units, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), sets, strict=True) for u in units]
                 for at in range(0, len(rows), 500):
                     some = rows[at : at + 500]
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.binary()), pa.nulls(len(some), pa.int64())], schema=sent)
 
-    texts = likely(docs, "doc_id", reps, reps.count()).join(reps, "doc_id").select("class", "text", "units")
+    texts = likely(docs, "key", reps, reps.count()).join(reps, "key").select("class", "text", "units")
     sets = texts.mapInArrow(sets_of, "unit long, class long, set binary, b long")
     asked = placed.select("unit", F.col("a").alias("class"), F.lit(None).cast("binary").alias("set"), "b")
 
@@ -258,7 +261,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, wor
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     classes, counts = _passes(docs, words)
     levels = docs.sparkSession.sparkContext.broadcast(_levels(counts))
     schema = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("before", pa.int32())])
