@@ -229,6 +229,17 @@ def test_license_scan(spark):
     assert sorted(got) == [(100, "mit"), (101, "apache-2.0"), (101, "apache-2.0"), (102, ""), (103, ""), (104, "")]
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files, to deal in the", "Software without restriction"]
+    gpl = ["This program is free software; you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "any later version."]
+    apache = "Licensed under the Apache License, Version 2.0."
+    rows = [(i, "The the of words and more text without any grant in line %d here." % i) for i in range(60)]
+    rows += [(100, "\n".join(mit)), (101, "/*\n * " + "\n * ".join(gpl) + "\n *\n * more\n */"), (102, "\n\n".join(mit)), (103, f"{apache}\n{apache}"), (104, "\n".join(f"dnl {x}" for x in mit))]
+    rows += [(105, "\n".join([apache, "", *mit])), (106, None)]
+    got = {r["doc_id"]: (r["n_license"], r["spans"]) for r in license_scan.license_report(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 100 or n_license > 0").collect()}
+    assert got == {100: (1, "0-2:mit"), 101: (1, "1-4:gpl-3"), 102: (0, ""), 103: (2, "0:apache-2.0,1:apache-2.0"), 104: (1, "0-2:mit"), 105: (2, "0:apache-2.0,2-4:mit"), 106: (0, "")}
+
+
 def test_ngram_join_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(300)]
