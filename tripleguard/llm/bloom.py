@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: 64-bit words of a block; a key sets one bit in each.
 WORDS = 8
 BITS_PER_KEY = 16
-#: Keys for which the filter may be sent to every executor: 16 bits a key, so 4 MB.
-BROADCAST_KEYS = 2_000_000
+#: Blocks of a filter that is sent to every executor, at most: 4 MB of bits.
+MOST_BLOCKS = 1 << 16
 
 
 def blocks_for(n_keys: int) -> int:
@@ -39,21 +39,19 @@ def filter_table(keys: DataFrame, key: str, n_blocks: int) -> DataFrame:
     )
 
 
-def probe(rows: DataFrame, key: str, blocks: DataFrame, n_blocks: int, small: bool) -> DataFrame:
-    """The rows whose key may be in the filter."""
+def probe(rows: DataFrame, key: str, blocks: DataFrame, n_blocks: int) -> DataFrame:
+    """The rows whose key may be in the filter. Spark picks the join by the size of blocks."""
     hit = F.lit(True)
     for i in range(WORDS):
         hit = hit & (F.call_function("shiftrightunsigned", F.col(f"w{i}"), _bit(F.col("h2"), i)).bitwiseAND(F.lit(1)) == 1)
-    asked = rows.withColumns(_hashes(key, n_blocks))
-    return asked.join(F.broadcast(blocks) if small else blocks, "block").where(hit).drop("block", "h2", *(f"w{i}" for i in range(WORDS)))
+    return rows.withColumns(_hashes(key, n_blocks)).join(blocks, "block").where(hit).drop("block", "h2", *(f"w{i}" for i in range(WORDS)))
 
 
 def likely(rows: DataFrame, key: str, keys: DataFrame, n_keys: int) -> DataFrame:
     """rows without most of those whose key is not among keys, to spare the shuffle of an exact join.
 
-    Beyond BROADCAST_KEYS keys, where the filter would be too large to send, all rows.
+    The filter has MOST_BLOCKS blocks at most, so that it can be sent everywhere; with more keys than it is made
+    for it lets more rows pass, and the exact join behind it still decides.
     """
-    if n_keys > BROADCAST_KEYS:
-        return rows
-    n_blocks = blocks_for(n_keys)
-    return probe(rows, key, filter_table(keys, key, n_blocks), n_blocks, True)
+    n_blocks = min(blocks_for(n_keys), MOST_BLOCKS)
+    return probe(rows, key, F.broadcast(filter_table(keys, key, n_blocks)), n_blocks)

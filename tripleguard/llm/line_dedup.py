@@ -1,18 +1,18 @@
 """Fuzzy line deduplication by MinHash. DataFrame operations only.
 
 Lines are the parts of a text between line feeds; blank lines are left alone. Equal lines are one
-node, named by a 64-bit hash. A node's signature holds, for each of ROWS * BANDS constants, the
+node, named by a 64-bit hash, and are shingled once. A node's signature holds, for each of ROWS * BANDS constants, the
 smallest shingle hash combined with the constant by exclusive or, over its windows of SHINGLE
-bytes of UTF-8. Nodes that agree on one band of a signature are candidates: the node of
+characters (a shorter line is one window). Nodes that agree on one band of a signature are candidates: the node of
 most occurrences in a bucket meets the others. Nodes whose buckets still hold different
 components then meet by a prefix filter over their shingles, which is exact, so nothing is lost
-and a large bucket is not paired with itself. Candidates are verified by the exact Jaccard similarity of their sets of SHINGLE-character shingles (a
-shorter line is one shingle). Verified pairs are joined into components, and one line of each
+and a large bucket is not paired with itself. Candidates are verified by the exact Jaccard similarity of
+their shingle sets. Verified pairs are joined into components, and one line of each
 stays: the first by doc_id and line number.
 
 At similarity s the bands find a pair with probability 1 - (1 - s**3)**7: 0.993 at 0.8, 0.9996 at 0.87.
-Defined results: null texts have no lines, empty texts one blank line; identical rows count as one document; ties are
-broken by doc_id and line number; further columns may have any name.
+Defined results: null texts have no lines, empty texts one blank line; rows of one id and text are copies, of which
+one keeps its lines; ties are broken by doc_id and line number; further columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,54 +24,44 @@ from pyspark.sql import functions as F
 
 from tripleguard.llm.bloom import likely
 from tripleguard.llm.components import connected_components
-from tripleguard.llm.shared import partitions, written
+from tripleguard.llm.shared import partitions, remove, written
 
 SHINGLE = 10
 BANDS, ROWS = 7, 3
 SIMILARITY = 0.8
 _CONSTANTS = [random.Random(i).getrandbits(31) for i in range(BANDS * ROWS)]
+#: 64-bit words of a bitmap of shingles.
+WORDS = 16
 #: Counters of the frequency sketch by which shingles are ordered; fixed, whatever the input.
 BUCKETS = 1 << 17
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """row_key, doc_id, line_no (from 0), line, node of each line that isn't blank."""
+    """row_key, place (doc_id, line_no from 0, row_key), line, node of each line that isn't blank."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return (
         rows.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .where(F.trim("line") != "")
-        .withColumn("node", F.xxhash64("line"))
+        .select("row_key", F.struct("doc_id", "line_no", "row_key").alias("place"), "line", F.xxhash64("line").alias("node"))
     )
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """node, weight (grows with its occurrences), m0..: the least values of each node."""
-    rows = lines.select("node", F.col("line").cast("binary").alias("b"))
-    last = F.greatest(F.lit(1), F.octet_length("b") - SHINGLE + 1)
-    shingles = rows.select("node", "b", F.explode(F.sequence(F.lit(1), last)).alias("i")).select(
-        "node", F.xxhash64(F.substring(F.col("b"), F.col("i"), F.lit(SHINGLE))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("h")
-    )
-    return shingles.groupBy("node").agg(
-        F.count(F.lit(1)).alias("weight"), *(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_CONSTANTS))
-    )
-
+def shingles(nodes: DataFrame, *keys: str) -> DataFrame:
+    """keys and the hashes h0 and h1 of two neighbouring windows of SHINGLE characters, for every other one of each line.
 
-def shingle_rows(rows: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
-    """keys and h for each shingle of SHINGLE characters of the line, repeated ones included."""
-    length = F.char_length(line)
-    # bytes are cut out faster than characters, and the hash of either is that of the bytes
-    cut = rows.select(*keys, line, F.col(line).cast("binary").alias("utf8"), (F.octet_length(line) == length).alias("ascii"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), length - SHINGLE + 1))).alias("i"))
-    by_byte, by_character = F.substring(F.col("utf8"), F.col("i"), F.lit(SHINGLE)), F.substring(F.col(line), F.col("i"), F.lit(SHINGLE)).cast("binary")
-    return cut.select(*keys, F.xxhash64(F.when(F.col("ascii"), by_byte).otherwise(by_character)).alias("h"))
+    Two windows a row halve the work of what aggregates them; a last window without neighbour comes twice.
+    """
+    # four bytes for each character, so that any window is cut out at once
+    points = nodes.select(*keys, F.encode("line", "UTF-32").alias("p")).select(*keys, "p", F.greatest(F.lit(1), F.octet_length("p") - 4 * SHINGLE + 1).alias("last"))
+    at = points.select(*keys, "p", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(8))).alias("i"))
+    window = lambda i: F.xxhash64(F.substring("p", i, F.lit(4 * SHINGLE)))
+    return at.select(*keys, window(F.col("i")).alias("h0"), window(F.least(F.col("i") + 4, F.col("last"))).alias("h1"))
 
 
-def shingle_set(line: Column) -> Column:
-    """Hashes of the distinct shingles of SHINGLE characters."""
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(line) - SHINGLE + 1))
-    utf8 = line.cast("binary")
-    by_byte = F.transform(places, lambda i: F.xxhash64(F.substring(utf8, i, F.lit(SHINGLE))))
-    by_character = F.transform(places, lambda i: F.xxhash64(F.substring(line, i, F.lit(SHINGLE))))
-    return F.array_distinct(F.when(F.octet_length(line) == F.char_length(line), by_byte).otherwise(by_character))
+def windows(line: Column) -> Column:
+    """The distinct windows of SHINGLE characters; the whole of a shorter line."""
+    every = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
+    return F.array_distinct(F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(every))
 
 
 def _once(*columns: Column) -> Column:
@@ -79,18 +69,49 @@ def _once(*columns: Column) -> Column:
     return F.explode(F.array(F.struct(*columns)))
 
 
+def signatures(nodes: DataFrame) -> DataFrame:
+    """node, weight, m0..: the least values of each node. nodes: node, line, weight."""
+    low = lambda h: F.col(h).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    rows = shingles(nodes, "node", "weight").select("node", "weight", low("h0").alias("h0"), low("h1").alias("h1"))
+    least = lambda c: F.min(F.least(F.col("h0").bitwiseXOR(F.lit(c)), F.col("h1").bitwiseXOR(F.lit(c))))
+    return rows.groupBy("node").agg(F.max("weight").alias("weight"), *(least(c).alias(f"m{i}") for i, c in enumerate(_CONSTANTS)))
+
+
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """node, size (its windows, repeated ones included) and a bitmap of its windows in words w0... texts: node, line."""
+    sized = texts.withColumn("size", F.greatest(F.lit(1), F.char_length("line") - SHINGLE + 1))
+    word = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(WORDS - 1)).cast("int")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(h).bitwiseAND(F.lit(63)).cast("int"))
+    rows = shingles(sized, "node", "size").select("node", "size", *(c for h in ("h0", "h1") for c in (word(h).alias(f"word_{h}"), bit(h).alias(f"bit_{h}"))))
+    own = lambda k, h: F.when(F.col(f"word_{h}") == k, F.col(f"bit_{h}")).otherwise(F.lit(0).cast("bigint"))
+    return rows.groupBy("node").agg(F.max("size").alias("size"), *(F.bit_or(own(k, "h0").bitwiseOR(own(k, "h1"))).alias(f"w{k}") for k in range(WORDS)))
+
+
+def possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow the similarity; none that reaches it is lost.
+
+    A bit that only one side has stands for a shingle at least that only this side has.
+    """
+    side = lambda s: maps.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), *(F.col(f"w{k}").alias(f"w{k}_{s}") for k in range(WORDS)))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    own = lambda x, y: sum((F.bit_count(F.col(f"w{k}_{x}").bitwiseAND(F.bitwise_not(f"w{k}_{y}"))) for k in range(WORDS)), F.lit(0))
+    apart = both.select("a", "b", "size_a", "size_b", own("a", "b").alias("own_a"), own("b", "a").alias("own_b"))
+    common = F.least(F.col("size_a") - F.col("own_a"), F.col("size_b") - F.col("own_b"))
+    return apart.where(common + 1e-9 >= similarity * (common + F.col("own_a") + F.col("own_b"))).select("a", "b")
+
+
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets reach the similarity. texts: node, line."""
     side = lambda s: texts.select(F.col("node").alias(s), F.col("line").alias(f"line_{s}"))
     lines = pairs.join(side("a"), "a").join(side("b"), "b").repartition(partitions(pairs), "a", "b")
-    sets = lines.select("a", "b", _once(shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y")).alias("s"))
+    sets = lines.select("a", "b", _once(windows(F.col("line_a")).alias("x"), windows(F.col("line_b")).alias("y")).alias("s"))
     common = F.size(F.array_intersect("s.x", "s.y"))
     return sets.where(common * (1 + similarity) >= similarity * (F.size("s.x") + F.size("s.y")) - 1e-9).select("a", "b")
 
 
-def frequency_levels(rows: DataFrame) -> Column:
+def frequency_levels(shingles: DataFrame) -> Column:
     """A binary literal: for each hash bucket a letter that grows with how often its shingles occur."""
-    counted = rows.groupBy(F.pmod("h", F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()  # BUCKETS rows at most
+    counted = shingles.groupBy(F.pmod("h", F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()  # BUCKETS rows at most
     mean = max(1.0, sum(r["n"] for r in counted) / BUCKETS)
     letters = bytearray(b"A" * BUCKETS)
     for r in counted:
@@ -105,77 +126,92 @@ def prefix_pairs(placed: DataFrame, texts: DataFrame, similarity: float) -> Data
     share one of. The shingles before the first common one belong to one node each, which bounds the similarity;
     so most nodes that merely hold the same passage never meet.
     """
-    lines = texts.join(placed, "node").repartition(partitions(placed), "node")
-    levels = frequency_levels(shingle_rows(lines, ["node"]))
+    lines = texts.join(placed, "node").select("node", "component", "line").repartition(partitions(placed), "node")
+    hashes = shingles(lines).select(F.explode(F.array("h0", "h1")).alias("h"))
+    levels = frequency_levels(hashes)
     level = lambda h: F.ascii(F.substring(levels, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string")).cast("bigint")
-    ordered = F.sort_array(F.transform(shingle_set(F.col("line")), lambda h: F.call_function("shiftleft", level(h), F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))))
-    sets = lines.select("node", "component", _once(ordered.alias("x")).alias("s")).select("node", "component", F.size("s.x").alias("n"), "s.x")
+    key = lambda h: F.call_function("shiftleft", level(F.col(h)), F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
+    ranked = shingles(lines, "node", "component").select("node", "component", F.explode(F.array(key("h0"), key("h1"))).alias("key"))
+    sets = ranked.groupBy("node", "component").agg(F.sort_array(F.collect_set("key")).alias("x")).select("node", "component", F.size("x").alias("n"), "x")
     first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1
-    tokens = sets.select("node", "component", "n", F.posexplode(F.slice("x", F.lit(1), first)).alias("before", "h"))
-    prefix, _ = written(tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1").drop("df"))
-    x, y = (prefix.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "before"))) for s in "xy")
+    tokens, tokens_at = written(sets.select("node", "component", "n", F.posexplode(F.slice("x", F.lit(1), first)).alias("before", "h")))
+    x, y = (tokens.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "before"))) for s in "xy")
     rest_x, rest_y = F.col("n_x") - F.col("before_x"), F.col("n_y") - F.col("before_y")
-    possible = F.least(rest_x, rest_y) + 1e-9 >= similarity * (F.col("before_x") + F.col("before_y") + F.greatest(rest_x, rest_y))
-    met = x.join(y, "h").where("node_x < node_y and component_x != component_y").where(possible).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    # of two prefixes one ends first: what is common up to there is in both, and behind it at most the rest of that set
-    own = prefix.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("h").alias("t"))
-    side = lambda s: own.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("t").alias(f"t_{s}"))
-    most = F.size(F.array_intersect("t_a", "t_b")) + F.ceil(F.greatest("n_a", "n_b") * similarity - 1e-9) - 1
-    enough = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", most.alias("most"))
-    return enough.where(F.col("most") * (1 + similarity) + 1e-9 >= similarity * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-
-
-def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """node, component for each node that is linked with another."""
-    sig = signatures(lines)
+    allowed = F.least(rest_x, rest_y) + 1e-9 >= similarity * (F.col("before_x") + F.col("before_y") + F.greatest(rest_x, rest_y))
+    met, _ = written(x.join(y, "h").where("node_x < node_y and component_x != component_y").where(allowed).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
+    remove(placed.sparkSession, tokens_at)
+    return met
+
+
+def _buckets(nodes: DataFrame) -> tuple[DataFrame, str]:
+    """node, bucket, centre (the node of most occurrences) for each bucket of two nodes or more. nodes: node, line, weight."""
     bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
-    mates = Window.partitionBy("bucket")
-    mates_all, _ = written(
-        sig.select("node", "weight", F.explode(bands).alias("bucket"))
-        .withColumns({"low": F.min("node").over(mates), "high": F.max("node").over(mates)})
+    signed, signed_at = written(signatures(nodes).select("node", "weight", bands.alias("bands")))
+    members = signed.select("node", "weight", F.explode("bands").alias("bucket"))
+    # aggregated and joined back rather than windowed, so that a crowded bucket is spread
+    crowded, crowded_at = written(
+        members.groupBy("bucket")
+        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(F.struct("weight", "node")).alias("most"))
         .where("low != high")
-        .select("node", "bucket", F.max_by("node", F.struct("weight", "node")).over(mates).alias("centre"))
+        .select("bucket", F.col("most.node").alias("centre"))
     )
-    nodes, _ = written(mates_all.select("node").distinct())
-    fetched = likely(lines.select("node", "line"), "node", nodes, nodes.count()).join(nodes, "node", "left_semi")
-    texts, _ = written(fetched.groupBy("node").agg(F.first("line").alias("line")))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = mates_all.where("node != centre").select(*pair("node", "centre")).distinct()
-    links, _ = written(similar(stars, texts, similarity))
+    found = written(likely(members.select("node", "bucket"), "bucket", crowded, crowded.count()).join(crowded, "bucket").select("node", "bucket", "centre"))
+    remove(nodes.sparkSession, signed_at, crowded_at)
+    return found
+
+
+def node_components(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """node, component for each node that is linked with another. nodes: node, line, weight."""
+    spark = nodes.sparkSession
+    mates, mates_at = _buckets(nodes)
+    wanted, wanted_at = written(mates.select("node").distinct())
+    texts, texts_at = written(likely(nodes.select("node", "line"), "node", wanted, wanted.count()).join(wanted, "node", "left_semi"))
+    maps, maps_at = written(bitmaps(texts))
+    stars, stars_at = written(mates.where("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
+    near, near_at = written(possible(stars, maps, similarity))
+    links, links_at = written(similar(near, texts, similarity))
     component = connected_components(links, "a", "b")
-    placed, _ = written(
-        mates_all.join(component, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-        .withColumns({"low": F.min("component").over(mates), "high": F.max("component").over(mates)})
-        .where("low != high")
-        .select("node", "component")
-        .distinct()
-    )
-    rest, _ = written(prefix_pairs(placed, texts, similarity).join(stars, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return component
-    more, _ = written(similar(rest, texts, similarity))
-    return component if more.isEmpty() else connected_components(links.unionByName(more), "a", "b")
+    # the centre has met all of its bucket; what is open are pairs of the others
+    others = mates.where("node != centre").join(component, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("component"))
+    divided = others.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    placed, placed_at = written(others.join(divided, "bucket", "left_semi").select("node", "component").distinct())
+    met = prefix_pairs(placed, texts, similarity)
+    rest, rest_at = written(possible(met.join(stars, ["a", "b"], "left_anti"), maps, similarity))
+    more, more_at = written(similar(rest, texts, similarity))
+    if not more.isEmpty():
+        component = connected_components(links.unionByName(more), "a", "b")
+    remove(spark, mates_at, wanted_at, texts_at, maps_at, stars_at, near_at, links_at, placed_at, rest_at, more_at)
+    return component
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """row_key (hash of id and text), removed: numbers of the lines that are not the first of their component."""
+    spark = docs.sparkSession
     lines = lines_of(docs, doc_id, text)
-    placed = (
-        lines.select("row_key", F.struct("doc_id", "line_no", "row_key").alias("place"), "node")
-        .join(line_components(lines, similarity), "node", "left")
-        .select("row_key", "place", F.coalesce("component", "node").alias("component"))
-    )
-    first = placed.groupBy("component").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("component", "first")
-    gone = placed.join(first, "component").where(~F.col("place").eqNullSafe(F.col("first")))
-    return gone.groupBy("row_key").agg(F.array_sort(F.collect_set("place.line_no")).alias("removed"))
+    nodes, nodes_at = written(lines.groupBy("node").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("weight"), F.min("place").alias("place")))
+    linked = node_components(nodes, similarity)
+    of_linked = linked.join(nodes.select("node", "place"), "node")
+    first = of_linked.groupBy("component").agg(F.min("place").alias("first"))
+    repeated = nodes.where("weight > 1").select("node", F.col("place").alias("first")).join(linked, "node", "left_anti")
+    # a node that occurs once and is like no other loses nothing
+    owners, _ = written(linked.join(first, "component").select("node", "first").unionByName(repeated))
+    remove(spark, nodes_at)
+    placed = likely(lines.select("row_key", "place", "node"), "node", owners, owners.count()).join(owners, "node")
+    gone, _ = written(placed.where("place != first").groupBy("row_key").agg(F.array_sort(F.collect_set("place.line_no")).alias("removed")))
+    return gone
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the text column reduced to the lines that stay, and the columns n_lines and removed behind its own."""
+    """docs with the text column reduced to the lines that stay, and the columns n_lines and removed behind its own.
+
+    Of rows of one id and text one stays, since the others would keep no line.
+    """
     own = [c for c in docs.columns if c not in ("n_lines", "removed")]
     gone = removed_lines(docs, similarity, doc_id, text).withColumnRenamed("row_key", "_row_key")
-    joined = docs.select(*own, F.xxhash64(doc_id, text).alias("_row_key")).join(gone, "_row_key", "left")
+    keyed = docs.select(*own, F.xxhash64(doc_id, text).alias("_row_key"))
+    repeated, _ = written(keyed.groupBy("_row_key").count().where("count > 1").select("_row_key"))
+    copies = keyed.join(repeated, "_row_key", "left_semi").groupBy("_row_key").agg(F.first(F.struct(*own)).alias("_row")).select(*(F.col(f"_row.`{c}`").alias(c) for c in own), "_row_key")
+    joined = keyed.join(repeated, "_row_key", "left_anti").unionByName(copies).join(gone, "_row_key", "left")
     lines = F.split(F.col(text), "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed"), lambda i: F.get(lines, i))
     return joined.select(
@@ -188,7 +224,12 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "
 def line_report(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers, comma-joined) for each row of docs."""
     gone = removed_lines(docs, similarity, doc_id, text)
-    lines = F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("row_key"), F.when(F.col(text).isNull(), 0).otherwise(lines).cast("long").alias("n_lines"))
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    full = F.filter(F.transform(lines, lambda line, i: F.when(F.trim(line) != "", i)), lambda i: i.isNotNull())
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("row_key"), F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.when(F.col(text).isNotNull(), full).alias("full"))
+    copies = rows.groupBy("doc_id", "row_key", "n_lines", "full").count()
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return rows.join(gone, "row_key", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
+    # of equal rows the first keeps its lines and the others keep none
+    each = copies.join(gone, "row_key", "left").select("doc_id", "n_lines", "full", removed.alias("removed"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy"))
+    said = F.when(F.col("copy") == 1, F.col("removed")).otherwise(F.coalesce("full", F.array().cast("array<int>")))
+    return each.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), said.alias("r")).select("doc_id", "n_lines", F.size("r").cast("long").alias("n_removed"), F.array_join(F.col("r").cast("array<string>"), ",").alias("removed"))

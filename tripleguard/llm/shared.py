@@ -8,7 +8,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+
+#: Whether Spark removes an execution's shuffle files at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,11 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder and read again, and its place.
 
-    Cuts the lineage; the files outlive any executor.
+    Cuts the lineage; the files outlive any executor. Shuffle files of the write go once it has ended, so
+    a chain of such steps needs the disk of its largest one.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -39,10 +48,11 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder made by written() that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders made by written() that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def slices(batch: pa.RecordBatch, column: int, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -59,7 +69,3 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 2_000_000) -> Iterato
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def sha256_hex(column) -> F.Column:
-    return F.sha2(column.cast("binary"), 256)

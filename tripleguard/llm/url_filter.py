@@ -1,10 +1,10 @@
 """URL filter: a blocked Bloom filter of listed canonical keys in front of an exact hash join.
 
-The list holds keys `host/path`: a host with all its subdomains and a path prefix, or, with
-exact=True, one whole URL. Each listed key sets a few bits in one block of the filter; the
-filter is a table of blocks. A URL asks for the keys that could list it (each suffix of its host
-with each listed path length, and its whole canonical form). Only keys whose bits are
-all set reach the exact join, which removes the filter's false positives.
+The list holds keys `host/path`: a host with all its subdomains and a path prefix. Each listed key sets a few
+bits in one block of the filter; the filter is a table of blocks that grows with the list. A URL asks for the keys that could
+list it (each suffix of its host with each listed path length). Only keys whose bits are
+all set reach the exact join, which removes the filter's false positives. Neither join is hinted: Spark picks
+how by the size of the list.
 
 Defined results: a null URL, or one without `://`, has an empty host and path and is
 allowed; repeated URLs each get their row; an empty list allows everything; an empty table gives an empty
@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleguard.llm.bloom import BROADCAST_KEYS, blocks_for, filter_table, probe
+from tripleguard.llm.bloom import blocks_for, filter_table, probe
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,7 +50,6 @@ def filter_urls(
     """
     rules = rules.dropDuplicates(["key", "verdict"])
     n_keys = rules.count()
-    small = n_keys <= BROADCAST_KEYS
     n_blocks = blocks_for(n_keys)
     blocks = filter_table(rules, "key", n_blocks)
     lengths = F.array(*(F.lit(r[0]) for r in rules.select("path_length").distinct().collect()) or [F.lit(0)])
@@ -70,8 +69,8 @@ def filter_urls(
     asked = split.where(F.col("host") != "").select("host", "path").distinct().select("host", "path", F.explode(F.array_distinct(keys)).alias("key"))
     exact = rules.select("key", F.col("verdict").alias("said"), "length")
     found = (
-        probe(asked, "key", blocks, n_blocks, small)
-        .join(F.broadcast(exact) if small else exact, "key")
+        probe(asked, "key", blocks, n_blocks)
+        .join(exact, "key")
         .groupBy("host", "path")
         .agg(F.min(F.struct((-F.col("length")).alias("l"), F.col("key").alias("rule"), F.col("said"))).alias("best"))
         .select("host", "path", "best.rule", "best.said")
