@@ -30,8 +30,8 @@ SHINGLE = 10
 BANDS, ROWS = 7, 3
 SIMILARITY = 0.8
 _CONSTANTS = [random.Random(i).getrandbits(31) for i in range(BANDS * ROWS)]
-#: 64-bit words of a bitmap of shingles.
-WORDS = 16
+#: 64-bit words of the two bitmaps of shingles.
+SMALL, LARGE = 16, 64
 #: Counters of the frequency sketch by which shingles are ordered; fixed, whatever the input.
 BUCKETS = 1 << 17
 
@@ -64,11 +64,6 @@ def windows(line: Column) -> Column:
     return F.array_distinct(F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(every))
 
 
-def _once(*columns: Column) -> Column:
-    """A struct of the columns, made by a generator so that what uses it doesn't compute them anew."""
-    return F.explode(F.array(F.struct(*columns)))
-
-
 def signatures(nodes: DataFrame) -> DataFrame:
     """node, weight, m0..: the least values of each node. nodes: node, line, weight."""
     low = lambda h: F.col(h).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
@@ -77,36 +72,47 @@ def signatures(nodes: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.max("weight").alias("weight"), *(least(c).alias(f"m{i}") for i, c in enumerate(_CONSTANTS)))
 
 
-def bitmaps(texts: DataFrame) -> DataFrame:
-    """node, size (its windows, repeated ones included) and a bitmap of its windows in words w0... texts: node, line."""
+def bitmaps(texts: DataFrame, words: int) -> DataFrame:
+    """node, a bitmap of its windows in so many words w0... (a power of two), n_bits (set in it) and hidden (windows that set no bit of their own). texts: node, line."""
     sized = texts.withColumn("size", F.greatest(F.lit(1), F.char_length("line") - SHINGLE + 1))
-    word = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(WORDS - 1)).cast("int")
+    word = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(words - 1)).cast("int")
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(h).bitwiseAND(F.lit(63)).cast("int"))
     rows = shingles(sized, "node", "size").select("node", "size", *(c for h in ("h0", "h1") for c in (word(h).alias(f"word_{h}"), bit(h).alias(f"bit_{h}"))))
     own = lambda k, h: F.when(F.col(f"word_{h}") == k, F.col(f"bit_{h}")).otherwise(F.lit(0).cast("bigint"))
-    return rows.groupBy("node").agg(F.max("size").alias("size"), *(F.bit_or(own(k, "h0").bitwiseOR(own(k, "h1"))).alias(f"w{k}") for k in range(WORDS)))
+    maps = rows.groupBy("node").agg(F.max("size").alias("size"), *(F.bit_or(own(k, "h0").bitwiseOR(own(k, "h1"))).alias(f"w{k}") for k in range(words)))
+    each = [F.col(f"w{k}") for k in range(words)]
+    return maps.withColumn("n_bits", sum(map(F.bit_count, each), F.lit(0))).select("node", "n_bits", (F.col("size") - F.col("n_bits")).alias("hidden"), *each)
 
 
-def possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+def possible(pairs: DataFrame, maps: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose bitmaps allow the similarity; none that reaches it is lost.
 
-    A bit that only one side has stands for a shingle at least that only this side has.
+    A bit that only one side has stands for a shingle at least that only this side has, so with x bits in
+    common at most x + hidden shingles are common, and at least n_bits_a + n_bits_b - 2 x are not.
     """
-    side = lambda s: maps.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), *(F.col(f"w{k}").alias(f"w{k}_{s}") for k in range(WORDS)))
+    side = lambda s: maps.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in maps.columns if c != "node"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    own = lambda x, y: sum((F.bit_count(F.col(f"w{k}_{x}").bitwiseAND(F.bitwise_not(f"w{k}_{y}"))) for k in range(WORDS)), F.lit(0))
-    apart = both.select("a", "b", "size_a", "size_b", own("a", "b").alias("own_a"), own("b", "a").alias("own_b"))
-    common = F.least(F.col("size_a") - F.col("own_a"), F.col("size_b") - F.col("own_b"))
-    return apart.where(common + 1e-9 >= similarity * (common + F.col("own_a") + F.col("own_b"))).select("a", "b")
+    common = sum((F.bit_count(F.col(f"w{k}_a").bitwiseAND(F.col(f"w{k}_b"))) for k in range(words)), F.lit(0))
+    least = similarity * (F.col("n_bits_a") + F.col("n_bits_b")) - (1 - similarity) * F.least("hidden_a", "hidden_b")
+    return both.where(common * (1 + similarity) + 1e-9 >= least).select("a", "b")
+
+
+def refined(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that large bitmaps allow, which are made only of the nodes in pairs."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    large, large_at = written(bitmaps(texts.join(ends, "node"), LARGE))
+    found, _ = written(possible(pairs, large, LARGE, similarity))
+    remove(pairs.sparkSession, large_at)
+    return found
 
 
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets reach the similarity. texts: node, line."""
     side = lambda s: texts.select(F.col("node").alias(s), F.col("line").alias(f"line_{s}"))
     lines = pairs.join(side("a"), "a").join(side("b"), "b").repartition(partitions(pairs), "a", "b")
-    sets = lines.select("a", "b", _once(windows(F.col("line_a")).alias("x"), windows(F.col("line_b")).alias("y")).alias("s"))
+    sets = lines.select("a", "b", F.explode(F.array(F.struct(windows(F.col("line_a")).alias("x"), windows(F.col("line_b")).alias("y")))).alias("s"))
     common = F.size(F.array_intersect("s.x", "s.y"))
-    return sets.where(common * (1 + similarity) >= similarity * (F.size("s.x") + F.size("s.y")) - 1e-9).select("a", "b")
+    return written(sets.where(common * (1 + similarity) >= similarity * (F.size("s.x") + F.size("s.y")) - 1e-9).select("a", "b"))[0]
 
 
 def frequency_levels(shingles: DataFrame) -> Column:
@@ -144,43 +150,50 @@ def prefix_pairs(placed: DataFrame, texts: DataFrame, similarity: float) -> Data
 
 
 def _buckets(nodes: DataFrame) -> tuple[DataFrame, str]:
-    """node, bucket, centre (the node of most occurrences) for each bucket of two nodes or more. nodes: node, line, weight."""
+    """node, bucket, centre (a node of most occurrences) for each bucket of two nodes or more. nodes: node, line, weight."""
     bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     signed, signed_at = written(signatures(nodes).select("node", "weight", bands.alias("bands")))
     members = signed.select("node", "weight", F.explode("bands").alias("bucket"))
+    # occurrences first, then the node; one number, so that no rows are sorted for it
+    order = F.call_function("shiftleft", F.least("weight", F.lit(32767)), F.lit(48)).bitwiseOR(F.shiftrightunsigned("node", 16))
     # aggregated and joined back rather than windowed, so that a crowded bucket is spread
-    crowded, crowded_at = written(
-        members.groupBy("bucket")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(F.struct("weight", "node")).alias("most"))
-        .where("low != high")
-        .select("bucket", F.col("most.node").alias("centre"))
-    )
+    crowded, crowded_at = written(members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max_by("node", order).alias("centre")).where("low != high").select("bucket", "centre"))
     found = written(likely(members.select("node", "bucket"), "bucket", crowded, crowded.count()).join(crowded, "bucket").select("node", "bucket", "centre"))
     remove(nodes.sparkSession, signed_at, crowded_at)
     return found
 
 
-def node_components(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """node, component for each node that is linked with another. nodes: node, line, weight."""
+def merged(component: DataFrame, links: DataFrame) -> DataFrame:
+    """component (node, component) after further links (a, b): only the components that they touch are joined up."""
+    of = lambda s: component.select(F.col("node").alias(s), F.col("component").alias(f"component_{s}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b"))
+    renamed = connected_components(between, "a", "b").withColumnRenamed("component", "joined")
+    old = component.join(renamed.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    # a node without links so far is its own component, and no row of component
+    new = renamed.join(component.select("component").distinct().withColumnRenamed("component", "node"), "node", "left_anti").select("node", F.col("joined").alias("component"))
+    return written(old.unionByName(new))[0]
+
+
+def node_components(nodes: DataFrame, nodes_at: str, similarity: float = SIMILARITY) -> DataFrame:
+    """node, component for each node that is linked with another. nodes: node, line, weight, written at nodes_at, which goes."""
     spark = nodes.sparkSession
     mates, mates_at = _buckets(nodes)
     wanted, wanted_at = written(mates.select("node").distinct())
-    texts, texts_at = written(likely(nodes.select("node", "line"), "node", wanted, wanted.count()).join(wanted, "node", "left_semi"))
-    maps, maps_at = written(bitmaps(texts))
+    texts, texts_at = written(likely(nodes.select("node", "line"), "node", wanted, wanted.count()).join(wanted, "node"))
+    remove(spark, nodes_at)
+    maps, maps_at = written(bitmaps(texts, SMALL))
     stars, stars_at = written(mates.where("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
-    near, near_at = written(possible(stars, maps, similarity))
-    links, links_at = written(similar(near, texts, similarity))
-    component = connected_components(links, "a", "b")
+    near, near_at = written(possible(stars, maps, SMALL, similarity))
+    component = connected_components(similar(near, texts, similarity), "a", "b")
     # the centre has met all of its bucket; what is open are pairs of the others
     others = mates.where("node != centre").join(component, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("component"))
     divided = others.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
     placed, placed_at = written(others.join(divided, "bucket", "left_semi").select("node", "component").distinct())
-    met = prefix_pairs(placed, texts, similarity)
-    rest, rest_at = written(possible(met.join(stars, ["a", "b"], "left_anti"), maps, similarity))
-    more, more_at = written(similar(rest, texts, similarity))
+    rest, rest_at = written(possible(prefix_pairs(placed, texts, similarity).join(stars, ["a", "b"], "left_anti"), maps, SMALL, similarity))
+    more = similar(refined(rest, texts, similarity), texts, similarity)
     if not more.isEmpty():
-        component = connected_components(links.unionByName(more), "a", "b")
-    remove(spark, mates_at, wanted_at, texts_at, maps_at, stars_at, near_at, links_at, placed_at, rest_at, more_at)
+        component = merged(component, more)
+    remove(spark, mates_at, wanted_at, texts_at, maps_at, stars_at, near_at, placed_at, rest_at)
     return component
 
 
@@ -188,16 +201,15 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str =
     """row_key (hash of id and text), removed: numbers of the lines that are not the first of their component."""
     spark = docs.sparkSession
     lines = lines_of(docs, doc_id, text)
-    nodes, nodes_at = written(lines.groupBy("node").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("weight"), F.min("place").alias("place")))
-    linked = node_components(nodes, similarity)
-    of_linked = linked.join(nodes.select("node", "place"), "node")
-    first = of_linked.groupBy("component").agg(F.min("place").alias("first"))
-    repeated = nodes.where("weight > 1").select("node", F.col("place").alias("first")).join(linked, "node", "left_anti")
+    nodes, nodes_at = written(lines.groupBy("node", "line").agg(F.count(F.lit(1)).alias("weight")))
+    repeated, repeated_at = written(nodes.where("weight > 1").select("node", F.col("node").alias("component")))
+    linked = node_components(nodes, nodes_at, similarity)
     # a node that occurs once and is like no other loses nothing
-    owners, _ = written(linked.join(first, "component").select("node", "first").unionByName(repeated))
-    remove(spark, nodes_at)
-    placed = likely(lines.select("row_key", "place", "node"), "node", owners, owners.count()).join(owners, "node")
-    gone, _ = written(placed.where("place != first").groupBy("row_key").agg(F.array_sort(F.collect_set("place.line_no")).alias("removed")))
+    shared, shared_at = written(linked.unionByName(repeated.join(linked, "node", "left_anti")))
+    placed, placed_at = written(likely(lines.select("row_key", "place", "node"), "node", shared, shared.count()).join(shared, "node").select("row_key", "place", "component"))
+    first = placed.groupBy("component").agg(F.min("place").alias("first"))
+    gone, _ = written(placed.join(first, "component").where("place != first").groupBy("row_key").agg(F.array_sort(F.collect_set("place.line_no")).alias("removed")))
+    remove(spark, repeated_at, shared_at, placed_at)
     return gone
 
 

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -31,11 +30,12 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 #: Kinds in the order in which spans of one start are listed; the last three are structural.
 KINDS = ("assign", "access", "hex", "jwt", "key", "pem")
 
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+={0,2}\.[A-Za-z0-9_-]+={0,2}\.[A-Za-z0-9_-]*={0,2}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\:,.-]*?)-----END \1-----")
-#: Encoded DER sequences (0x30 0x8X or a short length) and OpenSSH keys, in base64 or hexadecimal (also behind 0x).
+# Each scan reads a run of its letters once: a run has one place where a match may begin, and a block ends at the next beginning.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))([A-Za-z0-9_-]++={0,2}\.[A-Za-z0-9_-]++={0,2}\.[A-Za-z0-9_-]*+={0,2})")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY)-----((?:(?!-----)[A-Za-z0-9+/=\s\\:,.-])*+)-----END \1-----")
+#: Encoded DER sequences (0x30 0x8X or a short length), OpenSSH keys and PEM blocks, in base64, or the former two in hexadecimal (also behind 0x).
 ENCODED = re.compile(
-    r"(?<![A-Za-z0-9+/_-])(?:0[xX])?(M[A-Za-z0-9+/_-]{40,}={0,2}|b3BlbnNzaC1rZXk[A-Za-z0-9+/_-]{40,}={0,2}|30[0-9A-Fa-f]{60,}|6[Ff]70656[Ee]7373682[Dd]6[Bb]65792[Dd]7631[0-9A-Fa-f]{40,})"
+    r"(?<![A-Za-z0-9+/_-])(?:0[xX])?(M[A-Za-z0-9+/_-]{40,}={0,2}|b3BlbnNzaC1rZXk[A-Za-z0-9+/_-]{40,}={0,2}|LS0tLS1CRUdJTi[A-Za-z0-9+/_-]{40,}={0,2}|30[0-9A-Fa-f]{60,}|6[Ff]70656[Ee]7373682[Dd]6[Bb]65792[Dd]7631[0-9A-Fa-f]{40,})"
 )
 
 OUTPUT = pa.schema(
@@ -122,7 +122,11 @@ def is_openssh_key(data: bytes) -> bool:
 
 def is_key(text: str) -> bool:
     data = decoded(text)
-    return data is not None and (is_der_key(data) or is_openssh_key(data))
+    if data is None:
+        return False
+    if data.startswith(b"-----BEGIN "):
+        return any(is_pem(m[2]) for m in PEM.finditer(data.decode("latin-1")))
+    return is_der_key(data) or is_openssh_key(data)
 
 
 def is_signed_token(text: str) -> bool:
@@ -142,7 +146,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    found += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+    found += [("jwt", *m.span(1)) for m in JWT.finditer(text) if is_signed_token(m[1])]
     found += [("key", *m.span(1)) for m in ENCODED.finditer(text) if is_key(m[1])]
     if "-----BEGIN " in text:
         found += [("pem", *m.span()) for m in PEM.finditer(text) if is_pem(m[2])]
@@ -184,7 +188,3 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
     )
-
-
-def sha256_text(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
