@@ -112,6 +112,24 @@ def test_multi_index_recall_and_scores(spark):
     assert multi_index.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
 
 
+def test_bpe_of_long_words():
+    """The heap that contracts long pieces agrees with the recursive query and with the tiktoken library, and is not quadratic."""
+    ranks = open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
+    codec = bpe.Codec(ranks, P.PATTERN)
+    known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
+    library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=known, special_tokens={})
+    rng = np.random.default_rng(9)
+    for size in (1, 2, 30, 400):
+        word = "".join(rng.choice(list("abcdeéthinr中文学"), size))
+        (ids, back), = codec.encode([word])
+        assert b"".join(codec.contract(p.encode()) for p in codec.find(word)) == ids and back == word.encode()
+    long = "".join(rng.choice(list("abcdefthin"), bpe.LONG * 4))
+    (ids, back), = codec.encode([long])
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(long) and back == long.encode()
+    (ids, back), = codec.encode(["a" * 1_000_000])
+    assert back == b"a" * 1_000_000
+
+
 def test_bpe_equals_tiktoken(spark, odd):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
@@ -221,6 +239,20 @@ def test_secrets_behind_an_equals_sign_or_in_hexadecimal():
     assert not [k for k, *_ in secrets.spans_of(f"PRIVATE_KEY={b64(fake)} k=0x{fake.hex()}") if k == "key"]
 
 
+def test_secrets_in_hostile_texts():
+    """Many beginnings without an end: each scan stays linear, or this would not end."""
+    for text in ("-----BEGIN PRIVATE KEY-----" * 20_000, "eyJ" * 200_000, "eyJa." * 100_000, "M" * 1_000_000, "AKIA" * 100_000, "-" * 1_000_000):
+        assert all(kind not in ("jwt", "key", "pem") for kind, *_ in secrets.spans_of(text))
+
+
+def test_secrets_in_a_block_inside_base64():
+    der = b"\x30\x2e\x02\x01\x00\x30\x05\x06\x03\x2b\x65\x70\x04\x22\x04\x20" + bytes(range(32))
+    block = f"-----BEGIN PRIVATE KEY-----\n{base64.b64encode(der).decode()}\n-----END PRIVATE KEY-----\n"
+    inner = base64.b64encode(block.encode()).decode()
+    assert ("key", 4, 4 + len(inner)) in secrets.spans_of(f"key {inner} end")
+    assert [k for k, *_ in secrets.spans_of(block * 2) if k == "pem"] == ["pem"] * 2
+
+
 def test_decontamination_on_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "word word word"), (2, None), (3, "..."), (10, "One line only here one LINE only here one line only here"), (11, "absent words")], "item_id long, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.decontaminate(odd, bench).collect()}

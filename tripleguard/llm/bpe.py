@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +31,9 @@ from pyspark.sql import functions as F
 from tripleguard.llm.shared import slices
 
 CACHE, ROUND = 600_000, 40_000
+#: Bytes of a piece that the recursive query takes at most. Each of its rounds contracts one pair of a piece, so longer ones, such
+#: as a megabyte of letters without a break, are contracted over a heap of their pairs instead.
+LONG = 2_000
 
 #: One row for each way to cut a token into two tokens; rank is the id of the whole.
 MERGES = """
@@ -80,14 +84,42 @@ class Codec:
         self.db.execute("create table vocab as select id, bytes, hex(bytes) as hex from given").complete()
         self.db.unregister("given")
         self.db.execute(MERGES).complete()
+        self.pairs: dict[int, int] = {}  # merges, once a long piece has asked for them
         self.ids: dict[str, bytes] = {}
         self.back: dict[bytes, bytes] = {}
 
+    def contract(self, raw: bytes) -> bytes:
+        """The ids of one piece: the same contraction, leftmost minimum-rank pair first, in n log n steps."""
+        if not self.pairs:
+            self.pairs.update(self.db.execute("select pair, rank from merges").fetchall())
+        merge = self.pairs.get
+        tokens: list[int] = self.of_byte[np.frombuffer(raw, np.uint8)].tolist()
+        end = len(tokens)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = [(rank, i) for i in range(end - 1) if (rank := merge(tokens[i] << 32 | tokens[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if tokens[i] < 0 or j == end or merge(tokens[i] << 32 | tokens[j]) != rank:
+                continue  # one of the two has gone into another pair since
+            tokens[i], tokens[j], after[i] = rank, -1, after[j]
+            if after[j] < end:
+                before[after[j]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right < end and (new := merge(tokens[left] << 32 | tokens[right])) is not None:
+                    heapq.heappush(heap, (new, left))
+        return np.array([t for t in tokens if t >= 0], "<u4").tobytes()
+
     def learn(self, pieces: list[str]) -> None:
         """Encodes new pieces and decodes what they became."""
         if len(self.ids) + len(pieces) > CACHE:
             self.ids.clear()
             self.back.clear()
+        for piece in [p for p in pieces if len(p) * 4 > LONG and len(p.encode()) > LONG]:
+            self.ids[piece] = ids = self.contract(piece.encode())
+            self.back[ids] = self.decode([ids])[0]
+        pieces = [p for p in pieces if p not in self.ids]
         for at in range(0, len(pieces), ROUND):
             some = pieces[at : at + ROUND]
             raw = [p.encode() for p in some]

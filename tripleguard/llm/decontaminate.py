@@ -18,14 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripleguard.llm.shared import written
+from tripleguard.llm.bloom import likely
+from tripleguard.llm.shared import remove, written
 from tripleguard.llm.url_filter import LOWER, UPPER
 
 #: Separators: ASCII but for digits and lower-case letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
-#: Windows up to which their table is sent to every executor (a few hundred bytes each).
-BROADCAST_WINDOWS = 50_000
 
 
 def words_of(text: Column) -> Column:
@@ -54,22 +53,21 @@ def find_hits(
 ) -> DataFrame:
     """doc_key, start, size, item_id: each occurrence of a window of an item in a document, once.
 
-    doc_key tells the documents apart; start is the 0-based word.
+    doc_key tells the documents apart; start is the 0-based word. The plan is one at every size: a Bloom filter spares most
+    shingles of the documents the joins, and Spark picks how to join what is left.
     """
     spark = docs.sparkSession
-    held = windows_of(benchmark, item_id, item_text, window).cache()
+    held, held_at = written(windows_of(benchmark, item_id, item_text, window))
     windows = held.select("win").distinct().withColumn("win_id", F.xxhash64("win"))
-    n_windows = windows.count()
-    small = n_windows <= BROADCAST_WINDOWS
-    send = F.broadcast if small else (lambda df: df)
     texts = docs.select(F.col(doc_key).alias("doc_key"), words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
-    found = None
+    found, done = None, [held_at]
     for n in sorted({min(r[0], SHINGLE) for r in windows.select(F.least(F.size("win"), F.lit(SHINGLE))).distinct().collect()}):
         of_n = windows.where(F.least(F.size("win"), F.lit(SHINGLE)) == n)
-        shingles = of_n.select("win_id", "win", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("win") - n), lambda i: F.xxhash64(*(F.get(F.col("win"), i + k) for k in range(n))))).alias("offset", "h"))
+        shingles, shingles_at = written(of_n.select("win_id", "win", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("win") - n), lambda i: F.xxhash64(*(F.get(F.col("win"), i + k) for k in range(n))))).alias("offset", "h")))
         rows = texts.select("doc_key", "words", F.posexplode("words").alias("pos", "word")).withColumn("h", _shingle_at(F.col("words"), F.col("pos"), n))
-        counted = rows.select("h").join(send(shingles.select("h").distinct()), "h", "left_semi").groupBy("h").count()
-        prefix = (
+        known = shingles.select("h").distinct()
+        counted = likely(rows.select("h"), "h", known, known.count()).join(known, "h").groupBy("h").count()
+        prefix, prefix_at = written(
             shingles.join(counted, "h")  # a shingle that no document has rules its window out below
             .groupBy("win_id")
             .agg(F.min(F.struct("count", "h", "offset")).alias("rarest"), F.count_distinct("offset").alias("n_known"))
@@ -78,25 +76,22 @@ def find_hits(
             .where(F.col("n_known") == F.size("win") - n + 1)
             .select("h", "offset", "win_id", "win")
         )
-        start = F.col("pos") - F.col("offset")
-        fits = (start >= 0) & (start + F.size("win") <= F.size("words"))
-        same = F.slice(F.col("words"), start + 1, F.size("win")) == F.col("win")
-        if small:
-            hits = rows.join(F.broadcast(prefix), "h").where(fits).where(same).select("doc_key", start.alias("start"), "win_id", F.size("win").alias("size"))
-        else:
-            candidates = (
-                rows.select("doc_key", "pos", "h", F.size("words").alias("n_words"))
-                .join(prefix.select("h", "offset", "win_id", F.size("win").alias("size")), "h")
-                .where((start >= 0) & (start + F.col("size") <= F.col("n_words")))
-            )
-            hits = (
-                candidates.join(texts, "doc_key").join(of_n, "win_id").where(same).select("doc_key", start.alias("start"), "win_id", "size")
-            )
+        # the words around a shingle that a window can cover, so that no whole text is moved
+        first = F.greatest(F.lit(0), F.col("pos") - (window - n))
+        near = likely(rows, "h", prefix.select("h"), prefix.count()).select("doc_key", "h", (F.col("pos") - first).alias("inside"), first.alias("first"), F.slice("words", first + 1, F.lit(2 * window)).alias("around"))
+        at = F.col("inside") - F.col("offset")
+        same = F.slice(F.col("around"), at + 1, F.size("win")) == F.col("win")
+        hits = near.join(prefix, "h").where((at >= 0) & (at + F.size("win") <= F.size("around"))).where(same)
+        hits, hits_at = written(hits.select("doc_key", (F.col("first") + at).alias("start"), "win_id", F.size("win").alias("size")).distinct())
+        remove(spark, shingles_at, prefix_at)
+        done.append(hits_at)
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        return spark.createDataFrame([], "doc_key long, start int, size int, item_id long")
+        return spark.createDataFrame([], "doc_key long, start int, size int").withColumn("item_id", F.lit(None).cast(benchmark.schema[item_id].dataType))
     items = held.select("item_id", F.xxhash64("win").alias("win_id"))
-    return found.distinct().join(send(items), "win_id").select("doc_key", "start", "size", "item_id")
+    result, _ = written(found.join(items, "win_id").select("doc_key", "start", "size", "item_id"))
+    remove(spark, *done)
+    return result
 
 
 def decontaminate(
@@ -104,7 +99,7 @@ def decontaminate(
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted as strings) for each row of docs."""
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("doc_key", F.xxhash64("doc_id", "text"))
-    hits, _ = written(find_hits(keyed, benchmark, window, "doc_key", "text", item_id, item_text))  # read twice below
+    hits = find_hits(keyed, benchmark, window, "doc_key", "text", item_id, item_text)
     return keyed.select("doc_id", "doc_key", F.size(words_of(F.col("text"))).cast("long").alias("n_words")).join(
         summary(hits), "doc_key", "left"
     ).select(

@@ -4,7 +4,8 @@ A text is a vector of hashed byte n-grams (1 to 3 bytes of the lower-cased text,
 punctuation read as spaces), weighted by ln(1 + count) * inverse document frequency and
 normalised. Each language has a few centroids, found by spherical k-means over a bounded sample of
 labelled rows. A text gets the language of its nearest centroid by cosine and is
-rejected where it is further from it than the learned limit allows.
+rejected where it is further from it than texts of its length may be: the limit of each length (by powers of
+two of its n-grams) is learned from pieces of the sampled rows.
 
 The fit uses per_lang rows of each language at most (those of the smallest hash of the id), a stated
 bound; prediction covers every whole text. Defined results: null, empty and letterless texts get
@@ -15,6 +16,7 @@ text is `und`; rows repeat as they come; further columns may have any name.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMENSIONS = 8192
+#: Classes of length; a text is rejected below MARGIN times the cosine that all but QUANTILE of the pieces of its class reach.
+CLASSES, MARGIN, QUANTILE = 24, 0.8, 0.005
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
@@ -34,7 +38,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     of_lang: np.ndarray
-    least_cosine: float
+    least_cosine: np.ndarray  # by size_class()
 
 
 def counts_of(text: str) -> np.ndarray | None:
@@ -51,6 +55,10 @@ def counts_of(text: str) -> np.ndarray | None:
     return np.bincount(grams >> np.uint32(19), minlength=DIMENSIONS)
 
 
+def size_class(counts: np.ndarray) -> int:
+    return min(CLASSES - 1, int(counts.sum()).bit_length())
+
+
 def vectors_of(counts: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
     m = np.stack(counts).astype(np.float64)
     np.log1p(m, out=m)
@@ -84,16 +92,26 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str =
     counts = [(r["lang"], c) for r in sample if (c := counts_of(r["text"])) is not None]
     langs = sorted({x for x, _ in counts})
     if not langs:
-        return Model([], np.zeros(DIMENSIONS), np.zeros((0, DIMENSIONS)), np.zeros(0, int), 0.0)
+        return Model([], np.zeros(DIMENSIONS), np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros(CLASSES))
     seen = sum((c > 0).astype(np.int64) for _, c in counts)
     idf = np.log((1 + len(counts)) / (1 + seen)) + 1
     x, own = vectors_of([c for _, c in counts], idf), np.array([langs.index(a) for a, _ in counts])
     parts = [clusters(x[own == i], k) for i in range(len(langs))]
     centroids = np.concatenate(parts)
-    near = np.max(x @ centroids.T, axis=1)
-    # a text of another script or of noise shares next to nothing with any centroid
-    least = 0.25 * float(np.quantile(near, 0.01))
-    return Model(langs, idf, centroids, np.repeat(np.arange(len(langs)), [len(p) for p in parts]), least)
+    return Model(langs, idf, centroids, np.repeat(np.arange(len(langs)), [len(p) for p in parts]), limits([r["text"] for r in sample], idf, centroids))
+
+
+def limits(texts: list[str], idf: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The least cosine of each class of length, from one piece of each text for each class that it can fill."""
+    least = np.zeros(CLASSES)
+    for size in range(4, CLASSES):
+        length = (1 << size) // 4  # three n-grams a byte
+        pieces = [t[(at := zlib.crc32(t.encode()) % (len(t) - length + 1)) : at + length] for t in texts if len(t) >= length]
+        counts = [c for p in pieces if (c := counts_of(p)) is not None]
+        cosines = [np.max(vectors_of(counts[i : i + 128], idf) @ centroids.T, axis=1) for i in range(0, len(counts), 128)]
+        least[size] = MARGIN * float(np.quantile(np.concatenate(cosines), QUANTILE)) if cosines else 0.0
+    # longer texts are nearer; a class that too few texts fill takes the limit of the one before
+    return np.maximum.accumulate(least)
 
 
 def predict(texts: list[str | None], model: Model) -> list[tuple[str, float, bool]]:
@@ -106,10 +124,10 @@ def predict(texts: list[str | None], model: Model) -> list[tuple[str, float, boo
         if not counts:
             continue
         cosines = vectors_of([c for _, c in counts], model.idf) @ model.centroids.T
-        for (i, _), row in zip(counts, cosines, strict=True):
+        for (i, c), row in zip(counts, cosines, strict=True):
             best = int(np.argmax(row))
             score = float(min(1.0, max(0.0, row[best])))
-            out[i] = (model.langs[model.of_lang[best]], score, score < model.least_cosine)
+            out[i] = (model.langs[model.of_lang[best]], score, score < model.least_cosine[size_class(c)])
     return out
 
 

@@ -207,9 +207,10 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str =
     # a node that occurs once and is like no other loses nothing
     shared, shared_at = written(linked.unionByName(repeated.join(linked, "node", "left_anti")))
     placed, placed_at = written(likely(lines.select("row_key", "place", "node"), "node", shared, shared.count()).join(shared, "node").select("row_key", "place", "component"))
-    first = placed.groupBy("component").agg(F.min("place").alias("first"))
+    # written, so that a line of very many places is spread in the join
+    first, first_at = written(placed.groupBy("component").agg(F.min("place").alias("first")))
     gone, _ = written(placed.join(first, "component").where("place != first").groupBy("row_key").agg(F.array_sort(F.collect_set("place.line_no")).alias("removed")))
-    remove(spark, repeated_at, shared_at, placed_at)
+    remove(spark, repeated_at, shared_at, placed_at, first_at)
     return gone
 
 
