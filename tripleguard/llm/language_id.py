@@ -86,10 +86,13 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str =
         F.col(key).cast("string").alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")
     ).where("lang is not null and text is not null and text rlike '\\\\p{L}'")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    picked = rows.select("key", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("key", "lang")
+    # a few times per_lang rows of each language reach the window, however many there are
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang"))  # one row a language
+    share = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) * F.col("of_lang") < F.lit(4 * per_lang << 20)
+    picked = rows.join(F.broadcast(sizes), "lang").where(share).select("key", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("key", "lang")
     # bounded: per_lang rows of each language
     sample = rows.join(F.broadcast(picked), ["key", "lang"]).orderBy("lang", "key").collect()
-    counts = [(r["lang"], c) for r in sample if (c := counts_of(r["text"])) is not None]
+    counts = [(r["lang"], c.astype(np.int32)) for r in sample if (c := counts_of(r["text"])) is not None]
     langs = sorted({x for x, _ in counts})
     if not langs:
         return Model([], np.zeros(DIMENSIONS), np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros(CLASSES))
@@ -106,9 +109,11 @@ def limits(texts: list[str], idf: np.ndarray, centroids: np.ndarray) -> np.ndarr
     least = np.zeros(CLASSES)
     for size in range(4, CLASSES):
         length = (1 << size) // 4  # three n-grams a byte
-        pieces = [t[(at := zlib.crc32(t.encode()) % (len(t) - length + 1)) : at + length] for t in texts if len(t) >= length]
-        counts = [c for p in pieces if (c := counts_of(p)) is not None]
-        cosines = [np.max(vectors_of(counts[i : i + 128], idf) @ centroids.T, axis=1) for i in range(0, len(counts), 128)]
+        pieces = [t[(first := zlib.crc32(t.encode()) % (len(t) - length + 1)) : first + length] for t in texts if len(t) >= length]
+        cosines = []
+        for at in range(0, len(pieces), 64):
+            if counts := [c for p in pieces[at : at + 64] if (c := counts_of(p)) is not None]:
+                cosines.append(np.max(vectors_of(counts, idf) @ centroids.T, axis=1))
         least[size] = MARGIN * float(np.quantile(np.concatenate(cosines), QUANTILE)) if cosines else 0.0
     # longer texts are nearer; a class that too few texts fill takes the limit of the one before
     return np.maximum.accumulate(least)

@@ -115,14 +115,11 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return written(sets.where(common * (1 + similarity) >= similarity * (F.size("s.x") + F.size("s.y")) - 1e-9).select("a", "b"))[0]
 
 
-def frequency_levels(shingles: DataFrame) -> Column:
-    """A binary literal: for each hash bucket a letter that grows with how often its shingles occur."""
-    counted = shingles.groupBy(F.pmod("h", F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()  # BUCKETS rows at most
-    mean = max(1.0, sum(r["n"] for r in counted) / BUCKETS)
-    letters = bytearray(b"A" * BUCKETS)
-    for r in counted:
-        letters[r["bucket"]] += max(0, int(r["n"] / mean).bit_length() - 1)
-    return F.lit(bytes(letters))
+def frequency_levels(hashes: DataFrame) -> tuple[DataFrame, str]:
+    """bucket, level (grows with how often the shingles of the bucket occur) for BUCKETS buckets at most. hashes: h."""
+    counted, counted_at = written(hashes.groupBy(F.pmod("h", F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
+    mean = max(1.0, (counted.agg(F.sum("n")).first()[0] or 0) / BUCKETS)
+    return counted.select("bucket", F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / F.lit(mean)))).cast("bigint").alias("level")), counted_at
 
 
 def prefix_pairs(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -133,11 +130,10 @@ def prefix_pairs(placed: DataFrame, texts: DataFrame, similarity: float) -> Data
     so most nodes that merely hold the same passage never meet.
     """
     lines = texts.join(placed, "node").select("node", "component", "line").repartition(partitions(placed), "node")
-    hashes = shingles(lines).select(F.explode(F.array("h0", "h1")).alias("h"))
-    levels = frequency_levels(hashes)
-    level = lambda h: F.ascii(F.substring(levels, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string")).cast("bigint")
-    key = lambda h: F.call_function("shiftleft", level(F.col(h)), F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
-    ranked = shingles(lines, "node", "component").select("node", "component", F.explode(F.array(key("h0"), key("h1"))).alias("key"))
+    hashes = lambda *keys: shingles(lines, *keys).select(*keys, F.explode(F.array("h0", "h1")).alias("h"))
+    levels, levels_at = frequency_levels(hashes())
+    key = F.call_function("shiftleft", F.col("level"), F.lit(56)).bitwiseOR(F.shiftrightunsigned("h", 8))
+    ranked = hashes("node", "component").withColumn("bucket", F.pmod("h", F.lit(BUCKETS))).join(F.broadcast(levels), "bucket").select("node", "component", key.alias("key"))
     sets = ranked.groupBy("node", "component").agg(F.sort_array(F.collect_set("key")).alias("x")).select("node", "component", F.size("x").alias("n"), "x")
     first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1
     tokens, tokens_at = written(sets.select("node", "component", "n", F.posexplode(F.slice("x", F.lit(1), first)).alias("before", "h")))
@@ -145,7 +141,7 @@ def prefix_pairs(placed: DataFrame, texts: DataFrame, similarity: float) -> Data
     rest_x, rest_y = F.col("n_x") - F.col("before_x"), F.col("n_y") - F.col("before_y")
     allowed = F.least(rest_x, rest_y) + 1e-9 >= similarity * (F.col("before_x") + F.col("before_y") + F.greatest(rest_x, rest_y))
     met, _ = written(x.join(y, "h").where("node_x < node_y and component_x != component_y").where(allowed).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
-    remove(placed.sparkSession, tokens_at)
+    remove(placed.sparkSession, levels_at, tokens_at)
     return met
 
 
