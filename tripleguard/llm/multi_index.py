@@ -10,7 +10,7 @@ every row is indexed. Queries and entries meet block by block: an entry goes to
 hash of its id, so that a crowded cell spreads over all blocks, and each block answers each query block
 with its best k; a last aggregation keeps the best k of all.
 
-Vectors that are null, zero, or hold a null or non-finite component take no part. Ties go to the smaller id;
+Vectors that are null, zero, or hold a null or non-finite component take no part, nor do those whose length is not the commonest one. Ties go to the smaller id;
 repeated rows count as entries of their own. An empty index or no query gives an empty result; further columns may have
 any name.
 """
@@ -162,6 +162,9 @@ def search(
     share: the part of the index that each query visits before reranking, at every size.
     """
     rows = embeddings.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"), queries.alias("asks")).where(usable(F.col("vector")))
+    length = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    if length is not None:
+        rows = rows.where(F.size("vector") == length["n"])
     books = fit(rows, centroids, sample)
     result = "query_id long, rank int, vec_id long, score double"
     spark = embeddings.sparkSession
@@ -185,7 +188,7 @@ def search(
     books.held = counts
     full = spark.sparkContext.broadcast(books)
     total = int(counts.sum())
-    wanted = max(int(np.ceil(share * total)), 50 * k)
+    wanted = max(int(np.ceil(share * total)), k + 1)  # the query's own entry may be among them
     n_entries, n_queries = max(1, -(-total // entries_per_block)), max(1, -(-index.where("asks").count() // queries_per_block))
 
     def visiting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
