@@ -117,3 +117,37 @@ def test_stream_scores_like_the_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, scoring.scored(rows, vec, vec).collect()))
+
+
+def test_saturated_slots_are_searched_whole(spark):
+    """All but one tail is taken: draws alone would miss it, the search of what is left finds it, and a full slot gives null."""
+    known = spark.createDataFrame([(i, 0, 0, i) for i in range(199)] + [(300 + i, 1, 0, i) for i in range(200)], "pos long, h long, r long, t long")
+    rows = known.where("pos in (0, 1, 2, 300)")
+    got = {r["pos"]: r["t"] for r in corrupt.single_slot(rows, known, 200, 1, "1", ("t",), attempts=1).collect()}
+    assert got == {0: 199, 1: 199, 2: 199, 300: None}
+    full = spark.createDataFrame([(0, 0, 0)], "h long, r long, t long")
+    assert corrupt.fully_random(20, full, 2, 1, "1", attempts=1).count() == 20
+    assert corrupt.fully_random(3, full, 1, 1, "1").count() == 0
+
+
+def test_running_sums_do_not_depend_on_partitions(spark):
+    rows = spark.range(500).select(F.col("id"), (F.col("id") % 7).alias("x"))
+    for parts in ("1", "3", "64"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r["id"]: r["s"] for r in vocabulary.running_sums(rows, [F.desc("id")], {"s": "x"}).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert got == {i: sum(j % 7 for j in range(i, 500)) for i in range(500)}
+
+
+def test_bad_lines_repeat_the_triple_before(spark, tmp_path):
+    for name, lines in (("train", ["a\tr\tb", "bad", "worse", "c\tr\td"]), ("valid", ["none", "e\tr\tf"]), ("test", ["g\tr\th"])):
+        (tmp_path / f"{name}.txt").write_text("\n".join(lines) + "\n")
+    good, bad = triples.read_triples(spark, str(tmp_path), repeat_bad=True)
+    assert [r["h"] for r in good.orderBy("pos").collect()] == ["a", "a", "a", "c", "c", "e", "g"] and bad.count() == 3
+
+
+def test_neighbour_numbers_are_dense(spark):
+    g = triples.events_graph(spark.read.parquet(f"{SF}/events.parquet"))
+    rows = graph.numbered_neighbours(g, "1").groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("i").alias("d"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.max("degree").alias("degree"))
+    assert rows.where("n != d or lo != 0 or hi != n - 1 or degree != n").count() == 0

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleguard.functions.draws import draw, draw_below
+from tripleguard.session import materialised
 
 ATTEMPTS = 16
-#: Domains up to this size are searched whole instead of by attempts.
-SMALL_DOMAIN = 1000
 
 
 def shuffled(rows: DataFrame, seed: str, key: str = "pos") -> DataFrame:
@@ -29,26 +28,37 @@ def _clear(candidates: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def single_slot(rows: DataFrame, known: DataFrame, n_ent: int, n_rel: int, seed: str, slots: tuple[str, ...] = ("h", "r", "t"), attempts: int = ATTEMPTS) -> DataFrame:
-    """pos, slot, h, r, t of each row with one slot replaced; h, r and t are null where no free value was found.
+    """pos, slot, h, r, t of each row with one slot replaced; h, r and t are null where no value is free.
 
-    Relations (a small domain) are searched whole; entities by so many draws.
+    Relations are searched whole; entities by so many draws, and then, for the rows that found none, whole as well.
     """
     names = F.array(*map(F.lit, slots))
     chosen = rows.select("pos", "h", "r", "t", F.get(names, draw_below(len(slots), seed, "slot", F.col("pos")).cast("int")).alias("slot"))
     tries = chosen.where("slot != 'r'").select("*", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("i"))
     new = draw_below(n_ent, seed, "ent", F.col("pos"), F.col("i"))
-    entity = tries.select("pos", F.col("i").cast("bigint").alias("i"), F.when(F.col("slot") == "h", new).otherwise(F.col("h")).alias("h"), "r", F.when(F.col("slot") == "t", new).otherwise(F.col("t")).alias("t"))
+    put = lambda rows, at, value: rows.select("pos", at.cast("bigint").alias("i"), F.when(F.col("slot") == "h", value).otherwise(F.col("h")).alias("h"), "r", F.when(F.col("slot") == "t", value).otherwise(F.col("t")).alias("t"))
+    entity = put(tries, F.col("i"), new)
     values = chosen.where("slot = 'r'").select("pos", "h", "t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_rel - 1).cast("bigint"))).alias("r"))
     relation = values.select("pos", draw(seed, "rel", F.col("pos"), F.col("r")).alias("i"), "h", "r", "t")
-    found = _clear(entity.unionByName(relation), known)
+    found = materialised(_clear(entity.unionByName(relation), known))
+    left = materialised(chosen.where("slot != 'r'").join(found.select("pos"), "pos", "left_anti"))
+    if not left.isEmpty():
+        every = left.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_ent - 1).cast("bigint"))).alias("v"))
+        found = found.unionByName(_clear(put(every, draw(seed, "rest", F.col("pos"), F.col("v")), F.col("v")), known))
     return chosen.select("pos", "slot").join(found, "pos", "left")
 
 
 def fully_random(n: int, known: DataFrame, n_ent: int, n_rel: int, seed: str, attempts: int = ATTEMPTS) -> DataFrame:
-    """pos (0 to n-1), h, r, t: triples that are not known facts."""
-    tries = known.sparkSession.range(n).select(F.col("id").alias("pos"), F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("i"))
+    """pos (0 to n-1), h, r, t: triples that are not known facts. Rows that found none draw again, unless every triple is known."""
     drawn = lambda size, what: draw_below(size, seed, what, F.col("pos"), F.col("i"))
-    return _clear(tries.select("pos", F.col("i").cast("bigint").alias("i"), drawn(n_ent, "h").alias("h"), drawn(n_rel, "r").alias("r"), drawn(n_ent, "t").alias("t")), known)
+    left, found, first = known.sparkSession.range(n).select(F.col("id").alias("pos")), None, 0
+    while True:
+        tries = left.select("pos", F.explode(F.sequence(F.lit(first), F.lit(first + attempts - 1))).alias("i"))
+        clear = materialised(_clear(tries.select("pos", F.col("i").cast("bigint").alias("i"), drawn(n_ent, "h").alias("h"), drawn(n_rel, "r").alias("r"), drawn(n_ent, "t").alias("t")), known))
+        found = clear if found is None else found.unionByName(clear)
+        left, first = materialised(left.join(clear.select("pos"), "pos", "left_anti")), first + attempts
+        if left.isEmpty() or known.select("h", "r", "t").distinct().count() >= n_ent * n_rel * n_ent:
+            return found
 
 
 def head_or_tail(rows: DataFrame, n_ent: int, seed: str) -> DataFrame:
@@ -61,8 +71,8 @@ def head_or_tail(rows: DataFrame, n_ent: int, seed: str) -> DataFrame:
 def inject(triples: DataFrame, known: DataFrame, n_ent: int, n_rel: int, ratio: float, seed: str) -> DataFrame:
     """pos, h, r, t, label: the triples (0) and, at positions behind them, anomalies (1).
 
-    Half of the floor(ratio * n) anomalies replace one slot of a sampled triple, half are random. Attempts
-    that found no free triple are missing, so count label = 1 for what was realised.
+    Half of the floor(ratio * n) anomalies replace one slot of a sampled triple, half are random. A triple whose
+    slot has no free value is missing, so count label = 1 for what was realised.
     """
     n = triples.count()
     half = int(ratio * n + 1e-9) // 2
@@ -73,6 +83,12 @@ def inject(triples: DataFrame, known: DataFrame, n_ent: int, n_rel: int, ratio:
     return triples.select("pos", "h", "r", "t", F.lit(0).alias("label")).unionByName(one.unionByName(full).withColumn("label", F.lit(1)))
 
 
+def replaced(given: DataFrame, fallback: DataFrame) -> DataFrame:
+    """pos, h, r, t: the negative h2, r2, t2 of given, or that of fallback (pos, h, r, t) where one of the three is null."""
+    missing = F.col("h2").isNull() | F.col("r2").isNull() | F.col("t2").isNull()
+    return given.join(fallback.select("pos", "h", "r", "t"), "pos", "left").select("pos", *(F.when(missing, F.col(c)).otherwise(F.col(f"{c}2")).alias(c) for c in "hrt"))
+
+
 def changed(pairs: DataFrame) -> DataFrame:
     """pairs (h, r, t, h2, r2, t2) with moved: the slots that differ, or NONE."""
     parts = [F.when(~F.col(c).eqNullSafe(F.col(f"{c}2")), F.lit(name)) for c, name in (("h", "head"), ("r", "relation"), ("t", "tail"))]

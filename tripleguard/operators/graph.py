@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleguard.functions.draws import draw, draw_below
+from tripleguard.session import materialised
 
 OUT, IN = 0, 1
+#: Groups over which the edges of one entity are numbered.
+PARTS = 64
 
 
 def distinct_facts(triples: DataFrame) -> DataFrame:
@@ -39,14 +44,19 @@ def degrees(triples: DataFrame) -> DataFrame:
     return neighbours(triples).groupBy("e").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def neighbour_lists(triples: DataFrame, seed: str) -> DataFrame:
-    """e, degree, nbrs: its edges in the order of a draw.
+def numbered_neighbours(triples: DataFrame, seed: str) -> DataFrame:
+    """e, i (from 0, in the order of a draw), degree, h, r, t: one row for each edge of an entity.
 
-    One array an entity: a hub's list is as long as its degree, which the sampled forms below read once.
+    Edges are numbered inside parts of the draw and each part starts where the ones before it end, so that a hub is spread over PARTS groups.
     """
-    order = F.struct(draw(seed, "nbr", F.col("e"), F.col("side"), F.col("h"), F.col("t")).alias("w"), "side", "h", "r", "t")
-    lists = neighbours(triples).groupBy("e").agg(F.array_sort(F.collect_list(order)).alias("nbrs"))
-    return lists.select("e", F.size("nbrs").cast("bigint").alias("degree"), "nbrs")
+    edges = neighbours(triples).withColumn("w", draw(seed, "nbr", F.col("e"), F.col("side"), F.col("h"), F.col("t")))
+    parted = edges.withColumn("part", F.floor(F.col("w") / ((1 << 32) // PARTS)))
+    sizes = parted.groupBy("e", "part").agg(F.count(F.lit(1)).alias("n"))
+    of_entity = Window.partitionBy("e")
+    before = of_entity.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("e", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(of_entity).alias("degree"))
+    at = F.row_number().over(Window.partitionBy("e", "part").orderBy("w", "side", "h", "r", "t")) - 1
+    return parted.withColumn("at", at).join(starts, ["e", "part"]).select("e", (F.col("start") + F.col("at")).alias("i"), "degree", "h", "r", "t")
 
 
 def sampled(k: int, side: int, *key: Column | str) -> Column:
@@ -58,27 +68,30 @@ def sampled(k: int, side: int, *key: Column | str) -> Column:
 
 def sample_entities(triples: DataFrame, k: int, side: int, seed: str) -> DataFrame:
     """e, slot, h, r, t: k sampled edges of each entity."""
-    lists = neighbour_lists(triples, seed)
-    picks = lists.select("e", "nbrs", F.posexplode(sampled(k, side, seed, "slot", F.col("e"))).alias("slot", "at"))
-    return picks.select("e", "slot", F.get("nbrs", F.col("at").cast("int")).alias("n")).select("e", "slot", "n.h", "n.r", "n.t")
+    edges = materialised(numbered_neighbours(triples, seed))  # read twice
+    picks = edges.where("i = 0").select("e", F.posexplode(sampled(k, side, seed, "slot", F.col("e"))).alias("slot", "i"))
+    return picks.join(edges, ["e", "i"]).select("e", "slot", "h", "r", "t")
 
 
 def triple_neighbourhood(rows: DataFrame, triples: DataFrame, k: int, seed: str) -> DataFrame:
     """pos, slot (0 to 2k+1), h, r, t: each row, k edges of its head, the row again, k edges of its tail.
 
-    An entity without edges is filled up with the row itself.
+    An entity without edges is filled up with the row itself. Only the picked edges are joined, by entity and number,
+    so that a hub's edges are not moved once for each of its rows.
     """
-    lists = neighbour_lists(triples, seed)
-    halves = []
+    edges = materialised(numbered_neighbours(triples, seed))
+    degree = edges.where("i = 0").select("e", "degree")
+    whole, picked = [], []
     for side, end in ((OUT, "h"), (IN, "t")):
-        own = F.struct(F.lit(0).cast("bigint").alias("w"), F.lit(0).alias("side"), *(F.col(c) for c in "hrt"))
-        joined = rows.select("pos", "h", "r", "t", F.col(end).alias("e")).join(lists, "e", "left")
-        picks = F.when(F.col("degree").isNull(), F.array_repeat(F.lit(-1).cast("bigint"), k)).otherwise(sampled(k, side, seed, "row", F.col("pos")))
-        chosen = F.concat(F.array(F.lit(-1).cast("bigint")), picks)
-        expanded = joined.select("pos", "h", "r", "t", "nbrs", F.posexplode(chosen).alias("at", "pick"))
-        edge = F.when(F.col("pick") < 0, own).otherwise(F.get("nbrs", F.col("pick").cast("int")))
-        halves.append(expanded.select("pos", (F.col("at") + side * (k + 1)).alias("slot"), edge.alias("n")).select("pos", "slot", "n.h", "n.r", "n.t"))
-    return halves[0].unionByName(halves[1])
+        first = side * (k + 1)
+        joined = rows.select("pos", "h", "r", "t", F.col(end).alias("e")).join(degree, "e", "left")
+        whole.append(rows.select("pos", F.lit(first).alias("slot"), "h", "r", "t"))
+        alone = joined.where("degree is null")
+        whole.append(alone.select("pos", F.explode(F.sequence(F.lit(first + 1), F.lit(first + k))).alias("slot"), "h", "r", "t"))
+        picks = joined.where("degree is not null").select("pos", "e", F.posexplode(sampled(k, side, seed, "row", F.col("pos"))).alias("at", "i"))
+        picked.append(picks.select("pos", "e", "i", (F.col("at") + first + 1).alias("slot")))
+    found = picked[0].unionByName(picked[1]).join(edges.drop("degree"), ["e", "i"]).select("pos", "slot", "h", "r", "t")
+    return reduce(DataFrame.unionByName, whole, found)
 
 
 def type_pool(pairs: DataFrame, triples: DataFrame, end: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleguard.session import materialised
@@ -24,6 +24,21 @@ def dense_ids(rows: DataFrame, order: str) -> DataFrame:
     return placed.join(F.broadcast(starts), "_part").withColumn("id", F.col("_row") + F.col("_start")).drop("_part", "_row", "_start")
 
 
+def running_sums(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """rows with a column for each entry of sums (name: column): its sum over the rows up to this one in the order, which no two rows may share.
+
+    A range shuffle sorts the rows; each part sums its own and adds what the parts before it hold, one row a part.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialised(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_part").agg(*(F.sum(c).alias(f"_of_{name}") for name, c in sums.items()))
+    starts = totals.select("_part", *(F.coalesce(F.sum(f"_of_{name}").over(before), F.lit(0)).alias(f"_to_{name}") for name in sums))
+    summed = placed.withColumns({name: F.sum(c).over(own) for name, c in sums.items()}).join(F.broadcast(starts), "_part")
+    return summed.withColumns({name: F.col(name) + F.col(f"_to_{name}") for name in sums}).drop("_part", *(f"_to_{name}" for name in sums))
+
+
 def entity_vocabulary(triples: DataFrame) -> DataFrame:
     """(name, id) of heads and tails, the head of a row before its tail."""
     seen = triples.select(F.col("h").alias("name"), (2 * F.col("pos")).alias("at")).unionByName(triples.select(F.col("t").alias("name"), (2 * F.col("pos") + 1).alias("at")))

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripleguard.operators.vocabulary import running_sums
+
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """rk (from 1), id, score, label of the k largest scores; ties go to the smaller id."""
-    best = scores.orderBy(F.desc("score"), "id").limit(k)  # at most k rows reach the one window below
-    return best.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("bigint"))
+    best = scores.orderBy(F.desc("score"), "id").limit(k)
+    return running_sums(best.withColumn("_one", F.lit(1).cast("bigint")), [F.desc("score"), F.col("id")], {"rk": "_one"}).select("rk", *best.columns)
 
 
 def discovered(ranked: DataFrame, n_anomalies: int) -> DataFrame:
     """ranked with found, precision and recall at each rank."""
-    running = Window.orderBy("rk").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.sum(F.col("label").cast("bigint")).over(running)
-    return ranked.withColumn("found", found).withColumns({"precision": F.col("found") / F.col("rk"), "recall": F.col("found") / F.lit(float(n_anomalies))})
+    summed = running_sums(ranked.withColumn("_one", F.col("label").cast("bigint")), [F.col("rk")], {"found": "_one"}).drop("_one")
+    return summed.withColumns({"precision": F.col("found") / F.col("rk"), "recall": F.col("found") / F.lit(float(n_anomalies))})
 
 
 def every_tenth(curve: DataFrame, n: int) -> DataFrame:
@@ -28,15 +29,16 @@ def at_ratios(curve: DataFrame, ratios: list[float], n_original: int) -> DataFra
     """ratio, k = floor(ratio * n_original), and precision and recall there; null at k = 0 and beyond the curve."""
     rows = [(r, int(r * n_original + 1e-9)) for r in ratios]
     table = curve.sparkSession.createDataFrame(rows, "ratio double, k long")
-    return table.join(F.broadcast(curve.select(F.col("rk").alias("k"), "precision", "recall")), "k", "left").select("ratio", "k", "precision", "recall")
+    wanted = curve.where(F.col("rk").isin([k for _, k in rows])).select(F.col("rk").alias("k"), "precision", "recall")  # a rank for each ratio at most
+    return table.join(wanted, "k", "left").select("ratio", "k", "precision", "recall")
 
 
 def roc_auc(scores: DataFrame) -> DataFrame:
     """One row auc: ties count half; null with one class only. Works on one row for each distinct score."""
     by_score = scores.groupBy("score").agg(F.sum(F.col("label").cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    # above: negatives with a smaller score
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score.withColumn("less", F.coalesce(F.sum(F.col("n") - F.col("p")).over(below), F.lit(0.0)))
+    # negatives with a smaller score
+    summed = running_sums(by_score.withColumn("neg", F.col("n") - F.col("p")), [F.col("score")], {"upto": "neg"})
+    ranked = summed.withColumn("less", F.col("upto") - F.col("neg"))
     won = F.sum(F.col("p") * (F.col("less") + (F.col("n") - F.col("p")) / 2))
     n1, n0 = F.sum("p"), F.sum(F.col("n") - F.col("p"))
     return ranked.agg(F.when((n1 > 0) & (n0 > 0), won / (n1 * n0)).alias("auc"))
@@ -45,8 +47,7 @@ def roc_auc(scores: DataFrame) -> DataFrame:
 def average_precision(scores: DataFrame) -> DataFrame:
     """One row ap: the sum of precision times the gain of recall over the distinct scores, from the largest."""
     by_score = scores.groupBy("score").agg(F.sum(F.col("label").cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    summed = by_score.withColumns({"tp": F.sum("p").over(down), "k": F.sum("n").over(down)})
+    summed = running_sums(by_score, [F.desc("score")], {"tp": "p", "k": "n"})
     return summed.agg(F.when(F.sum("p") > 0, F.sum(F.col("p") * F.col("tp") / F.col("k")) / F.sum("p")).alias("ap"))
 
 

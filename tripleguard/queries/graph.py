@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tripleguard.functions import vectors as V
 from tripleguard.functions.draws import draw, draw_below
 from tripleguard.operators import attention, corrupt, graph, vocabulary
 from tripleguard.plans import experiments, ranking
+from tripleguard.session import materialised
 from tripleguard.sources import records, triples
 
 SEED, RATIO, K, BATCH = "7", 0.05, 39, 256
@@ -31,15 +34,18 @@ nl as (select *, row_number() over (partition by e order by {_d("'7'", "'nbr'",
 SAMPLE = f"{ENC}, src as (select * from enc order by {_d(chr(39) + '7' + chr(39), chr(39) + 'sample' + chr(39), 'pos')}, pos limit (select floor(0.05 * m + 1e-9)::bigint from n))"
 
 
-def _slot(rows: str, slots: tuple[str, ...] = ("h", "r", "t")) -> str:
-    """CTEs that end in cs: pos, slot, h, r, t."""
+def _slot(rows: str, slots: tuple[str, ...] = ("h", "r", "t"), p: str = "") -> str:
+    """CTEs that end in cs (its name, like those of all, behind p): pos, slot, h, r, t."""
     names = "[" + ", ".join(f"'{s}'" for s in slots) + "]"
-    return f"""ch as (select pos, h, r, t, {names}[1 + {_d("'7'", "'slot'", "pos")} % {len(slots)}] as slot from {rows}),
-tr as (select pos, slot, h, r, t, unnest(range(0, 16)) as i from ch where slot <> 'r'),
-ca as (select pos, i, case when slot = 'h' then {_d("'7'", "'ent'", "pos", "i")} % e else h end as h, r, case when slot = 't' then {_d("'7'", "'ent'", "pos", "i")} % e else t end as t from tr, n
-    union all select pos, {_d("'7'", "'rel'", "pos", "x.id")}, h, x.id, t from ch, rels x where slot = 'r'),
-fr as (select * from ca anti join facts using (h, r, t)), fi as (select pos, arg_min((h, r, t), (i, h, r, t)) as c from fr group by pos),
-cs as (select ch.pos, slot, c[1] as h, c[2] as r, c[3] as t from ch left join fi using (pos))"""
+    return f"""{p}ch as (select pos, h, r, t, {names}[1 + {_d("'7'", "'slot'", "pos")} % {len(slots)}] as slot from {rows}),
+{p}tr as (select pos, slot, h, r, t, unnest(range(0, 16)) as i from {p}ch where slot <> 'r'),
+{p}ca as (select pos, i, case when slot = 'h' then {_d("'7'", "'ent'", "pos", "i")} % e else h end as h, r, case when slot = 't' then {_d("'7'", "'ent'", "pos", "i")} % e else t end as t from {p}tr, n
+    union all select pos, {_d("'7'", "'rel'", "pos", "x.id")}, h, x.id, t from {p}ch, rels x where slot = 'r'),
+{p}fr as (select * from {p}ca anti join facts using (h, r, t)), {p}f1 as (select pos, arg_min((h, r, t), (i, h, r, t)) as c from {p}fr group by pos),
+{p}lo as (select ch.* from {p}ch ch anti join {p}f1 using (pos) where slot <> 'r'),
+{p}every as (select pos, {_d("'7'", "'rest'", "pos", "x.id")} as i, case when slot = 'h' then x.id else h end as h, r, case when slot = 't' then x.id else t end as t from {p}lo, ents x),
+{p}fi as (select * from {p}f1 union all select pos, arg_min((h, r, t), (i, h, r, t)) from (select * from {p}every anti join facts using (h, r, t)) group by pos),
+{p}cs as (select ch.pos, slot, c[1] as h, c[2] as r, c[3] as t from {p}ch ch left join {p}fi using (pos))"""
 
 
 def _full(n: str) -> str:
@@ -52,10 +58,22 @@ cf as (select pos, c[1] as h, c[2] as r, c[3] as t from cf0)"""
 
 
 class Graph:
+    """The graph of one folder. Vocabularies are made when a query asks for ids."""
+
     def __init__(self, spark: SparkSession, d: str) -> None:
         self.kg = triples.events_graph(spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "props"))
-        self.entities, self.relations = vocabulary.entity_vocabulary(self.kg), vocabulary.relation_vocabulary(self.kg)
-        self.rows = vocabulary.encode(self.kg, self.entities, self.relations)
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        return vocabulary.entity_vocabulary(self.kg)
+
+    @cached_property
+    def relations(self) -> DataFrame:
+        return vocabulary.relation_vocabulary(self.kg)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return vocabulary.encode(self.kg, self.entities, self.relations)
 
     @property
     def facts(self) -> DataFrame:
@@ -188,9 +206,9 @@ def corrupt_single_slot(g):
     return corrupt.single_slot(g.sample, g.facts, *g.sizes, SEED)
 
 
-@query(f"with {ENC}, {_full('500')} select * from cf")
+@query(f"""with {ENC}, {_full("floor(0.05 * m + 1e-9)::bigint // 2")} select * from cf""")
 def corrupt_full(g):
-    return corrupt.fully_random(500, g.facts, *g.sizes, SEED)
+    return corrupt.fully_random(int(RATIO * g.rows.count() + 1e-9) // 2, g.facts, *g.sizes, SEED)
 
 
 @query(
@@ -224,10 +242,12 @@ def freeze_roundtrip(g, spark, d):
 QUERIES["freeze_roundtrip"] = lambda s, d: freeze_roundtrip(Graph(s, d), s, d)
 
 
-@query(f"with {ENC}, {_slot('enc')} select enc.pos, enc.h, enc.r, enc.t, cs.h as h2, cs.r as r2, cs.t as t2 from enc join cs using (pos)")
+@query(f"with {INJECT}, {_slot('lab', p='n_')} select lab.pos, lab.h, lab.r, lab.t, label, n_cs.h as h2, n_cs.r as r2, n_cs.t as t2 from lab join n_cs using (pos)")
 def train_pairs(g):
-    negative = corrupt.single_slot(g.rows, g.facts, *g.sizes, SEED).select("pos", F.col("h").alias("h2"), F.col("r").alias("r2"), F.col("t").alias("t2"))
-    return g.rows.join(negative, "pos")
+    """One negative for each of the originals and the anomalies."""
+    labelled = materialised(corrupt.inject(g.rows, g.facts, *g.sizes, RATIO, SEED))
+    negative = corrupt.single_slot(labelled, g.facts, *g.sizes, SEED).select("pos", F.col("h").alias("h2"), F.col("r").alias("r2"), F.col("t").alias("t2"))
+    return labelled.join(negative, "pos")
 
 
 @query(f"""with {ENC} select pos, h, r, t, (row_number() over (order by {_d("'7'", "'epoch'", "pos")}, pos) - 1) // {BATCH} as batch_id from enc""")
@@ -261,11 +281,12 @@ def genuine_filter(g):
     return corrupt.changed(_pairs(g)).where("moved != 'NONE'").drop("moved")
 
 
-@query(f"with {PAIRS} select pos, coalesce(case when pos % 5 <> 0 then h2 end, h) as h, coalesce(r2, r) as r, coalesce(case when pos % 5 <> 0 then t2 end, t) as t from pairs")
+@query(f"with {PAIRS}, {_slot('src', p='n_')} select pos, case when pos % 5 = 0 then n_cs.h else h2 end as h, case when pos % 5 = 0 then n_cs.r else r2 end as r, case when pos % 5 = 0 then n_cs.t else t2 end as t from pairs join n_cs using (pos)")
 def null_replace(g):
+    """Where a source has given no negative, a random corruption of the triple stands in."""
     missing = F.col("pos") % 5 == 0
-    given = _pairs(g).withColumns({c: F.when(~missing, F.col(c)) for c in ("h2", "t2")})
-    return given.select("pos", *(F.coalesce(f"{c}2", c).alias(c) for c in "hrt"))
+    given = _pairs(g).withColumns({c: F.when(~missing, F.col(c)) for c in ("h2", "r2", "t2")}).select("pos", "h2", "r2", "t2")
+    return corrupt.replaced(given, corrupt.single_slot(g.sample, g.facts, *g.sizes, SEED))
 
 
 @query(f"with {PAIRS} select pos, h2 as h, r, t2 as t from pairs where exists (from enc where enc.r = pairs.r and enc.h = pairs.h2) and exists (from enc where enc.r = pairs.r and enc.t = pairs.t2)")
@@ -390,6 +411,7 @@ def discovered_curve(spark, d):
     return ranking.every_tenth(curve, 2 * n).select("rk", "found", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
+# The ratios of the report.
 RATIOS = [0.001, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07, 0.08, 0.09, 0.10, 0.11, 0.12, 0.13, 0.14, 0.15, 0.20, 0.30, 0.45]
 
 
@@ -412,9 +434,9 @@ def average_precision(spark, d):
     return ranking.average_precision(_labelled(spark, d)).select(F.round("ap", 8).alias("ap"))
 
 
-@query(f"with {TOP} select rk, id, score, label, (rk - 1) // 20 as interval, (rk - 1) // 20 // 5 as grid_row, (rk - 1) // 20 % 5 as grid_column from tk where rk <= 100")
+@query(f"with {TOP} select rk, id, score, label, (rk - 1) // 100 as interval, (rk - 1) // 100 // 5 as grid_row, (rk - 1) // 100 % 5 as grid_column from tk where rk <= 500")
 def score_intervals(spark, d):
-    return ranking.intervals(topk_ranking(spark, d), [(i, i + 20) for i in range(0, 100, 20)])
+    return ranking.intervals(topk_ranking(spark, d), [(i, i + 100) for i in range(0, 500, 100)])
 
 
 @query(f"with {SCORES} select id, round((score - (select min(score) from s)) / (select max(score) - min(score) from s), 8) as scaled from s")
@@ -422,9 +444,6 @@ def minmax_norm(spark, d):
     return ranking.min_max(_labelled(spark, d), "score").select("id", F.round("scaled", 8).alias("scaled"))
 
 
-LOG = r"(\w+)-(\d+) took ([0-9.]+) s"
-
-
 @query("select concat_ws('-', event_type, user_id) as key, arg_max(round(value, 3), event_id) as value from events where event_type is not null group by 1")
 def log_metrics(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")

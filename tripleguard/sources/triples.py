@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripleguard.operators.vocabulary import decode, encode
 
 SPLITS = ("train", "valid", "test")
-#: Each file may hold so many lines in one graph.
-FILE_STEP = 1 << 40
+#: The numbers of a file's lines stay below this for up to 2**27 splits of it.
+FILE_STEP = 1 << 60
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -36,8 +36,15 @@ def read_triples(spark: SparkSession, folder: str, repeat_bad: bool = False) ->
     bad = rows.where("not good").select("pos", "split", "value")
     good = rows.where("good").select("pos", "split", "h", "r", "t")
     if repeat_bad:
-        before = bad.join(good.select(F.col("pos").alias("p"), "h", "r", "t"), F.col("p") < F.col("pos"))
-        good = good.unionByName(before.groupBy("pos", "split").agg(F.max_by(F.struct("h", "r", "t"), "p").alias("x")).select("pos", "split", "x.h", "x.r", "x.t"))
+        # the last good line before each line: of its own split, or else of the nearest split before, one row a split
+        split_of, named = F.shiftright("pos", 33), F.when(F.col("good"), F.struct("h", "r", "t"))
+        parts = rows.select("pos", "split", "good", split_of.alias("part"), named.alias("x"))
+        ends = parts.where("good").groupBy("part").agg(F.max_by("x", "pos").alias("end"))
+        every = parts.select("part").distinct().join(ends, "part", "left")
+        carried = every.select("part", F.last("end", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+        own = F.last("x", ignorenulls=True).over(Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+        filled = parts.withColumn("own", own).join(F.broadcast(carried), "part").where("not good").select("pos", "split", F.coalesce("own", "carried").alias("x"))
+        good = good.unionByName(filled.where("x is not null").select("pos", "split", "x.h", "x.r", "x.t"))
     return good, bad
 
 
