@@ -66,7 +66,7 @@ def find_hits(
         shingles, shingles_at = written(of_n.select("win_id", "win", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("win") - n), lambda i: F.xxhash64(*(F.get(F.col("win"), i + k) for k in range(n))))).alias("offset", "h")))
         rows = texts.select("doc_key", "words", F.posexplode("words").alias("pos", "word")).withColumn("h", _shingle_at(F.col("words"), F.col("pos"), n))
         known = shingles.select("h").distinct()
-        counted = likely(rows.select("h"), "h", known, known.count()).join(known, "h").groupBy("h").count()
+        counted = likely(rows.select("h"), "h", known, known.count()).groupBy("h").count().join(known, "h")  # counted first, as one shingle may be everywhere
         prefix, prefix_at = written(
             shingles.join(counted, "h")  # a shingle that no document has rules its window out below
             .groupBy("win_id")
