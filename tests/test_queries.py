@@ -151,3 +151,24 @@ def test_neighbour_numbers_are_dense(spark):
     g = triples.events_graph(spark.read.parquet(f"{SF}/events.parquet"))
     rows = graph.numbered_neighbours(g, "1").groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("i").alias("d"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.max("degree").alias("degree"))
     assert rows.where("n != d or lo != 0 or hi != n - 1 or degree != n").count() == 0
+
+
+def test_sources_of_anomalies(spark, tmp_path):
+    from tripleguard.sources import negatives
+
+    t = toy(spark)
+    e, r = vocabulary.entity_vocabulary(t), vocabulary.relation_vocabulary(t)
+    rows = vocabulary.encode(t, e, r)
+    for name in negatives.POOL_FILES:
+        (tmp_path / name).write_text("Bob\tborn_in\tJapan\nCarol\tlives_in\tBob\n")
+    assert negatives.anomalies(spark, "pool", 9, rows, e, r, "1", folder=str(tmp_path)).count() == 4
+    (tmp_path / negatives.POOL_FILES[1]).write_text("Nobody\tborn_in\tJapan\n")
+    with pytest.raises(ValueError):
+        negatives.anomalies(spark, "pool", 9, rows, e, r, "1", folder=str(tmp_path))
+    with pytest.raises(ValueError):
+        negatives.anomalies(spark, "other", 2, rows, e, r, "1")
+    same = negatives.anomalies(spark, "generator", 3, rows, e, r, "1", generate=lambda x: x)
+    assert same.count() == 0  # what a generator gives back unchanged is no negative
+    frozen = f"file://{tmp_path}/frozen"
+    first = negatives.anomalies(spark, "random", 4, rows, e, r, "1", frozen=frozen).collect()
+    assert negatives.anomalies(spark, "pool", 4, rows, e, r, "2", folder="/none", frozen=frozen).collect() == first and len(first) == 4

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleguard.functions.draws import draw, draw_below
+from tripleguard.operators.vocabulary import dense_ids
 from tripleguard.session import materialised
 
 OUT, IN = 0, 1
@@ -94,6 +95,12 @@ def triple_neighbourhood(rows: DataFrame, triples: DataFrame, k: int, seed: str)
     return reduce(DataFrame.unionByName, whole, found)
 
 
+def expanded_batches(rows: DataFrame, triples: DataFrame, k: int, size: int, seed: str) -> DataFrame:
+    """batch_id, pos, slot, h, r, t and label: labelled rows in their order, cut into batches, each with its neighbourhood."""
+    placed = dense_ids(rows.select("pos", "label"), "pos").select("pos", "label", F.floor(F.col("id") / size).alias("batch_id"))
+    return triple_neighbourhood(rows, triples, k, seed).join(placed, "pos").select("batch_id", "pos", "slot", "h", "r", "t", "label")
+
+
 def type_pool(pairs: DataFrame, triples: DataFrame, end: str) -> DataFrame:
     """Pairs (r, end) that occur: the entities that a relation has been seen with on that end."""
     return pairs.join(triples.select("r", end).distinct(), ["r", end], "left_semi")

@@ -12,7 +12,7 @@ from tripleguard.functions.draws import draw, draw_below
 from tripleguard.operators import attention, corrupt, graph, vocabulary
 from tripleguard.plans import experiments, ranking
 from tripleguard.session import materialised
-from tripleguard.sources import records, triples
+from tripleguard.sources import negatives, records, triples
 
 SEED, RATIO, K, BATCH = "7", 0.05, 39, 256
 QUERIES, ORACLE_SQL = {}, {}
@@ -176,9 +176,9 @@ def neighbor_sample_tail(g):
     return graph.sample_entities(g.rows, K, graph.IN, SEED)
 
 
-def _half(end: str, side: int, plain: str) -> str:
-    return f"""select x.pos, {side * (K + 1)} + 1 + s as slot, nl.h, nl.r, nl.t from (select enc.pos, enc.{end} as e, degree, unnest(range(0, {K})) as s from enc join (select distinct e, degree from nl) g on g.e = enc.{end}) x
-join nl on nl.e = x.e and nl.i = case when x.{plain} then s else {_d("'7'", "'row'", "x.pos", f"'{side}'", "s")} % x.degree end union all select pos, {side * (K + 1)}, h, r, t from enc"""
+def _half(end: str, side: int, plain: str, rows: str = "enc") -> str:
+    return f"""select x.pos, {side * (K + 1)} + 1 + s as slot, nl.h, nl.r, nl.t from (select o.pos, o.{end} as e, degree, unnest(range(0, {K})) as s from {rows} o join (select distinct e, degree from nl) g on g.e = o.{end}) x
+join nl on nl.e = x.e and nl.i = case when x.{plain} then s else {_d("'7'", "'row'", "x.pos", f"'{side}'", "s")} % x.degree end union all select pos, {side * (K + 1)}, h, r, t from {rows}"""
 
 
 @query(f"with {NBR} {_half('h', 0, f'degree > {K}')} union all {_half('t', 1, f'degree >= {K}')}")
@@ -229,6 +229,23 @@ def inject_anomalies(g):
     return corrupt.inject(g.rows, g.facts, *g.sizes, RATIO, SEED)
 
 
+LABELLED = INJECT.removeprefix(ENC)
+
+
+@query(f"""with {NBR}{LABELLED}, ba as (select pos, label, (row_number() over (order by pos) - 1) // {BATCH} as batch_id from lab),
+ex as ({_half('h', 0, f'degree > {K}', 'lab')} union all {_half('t', 1, f'degree >= {K}', 'lab')}) select batch_id, ex.*, label from ex join ba using (pos)""")
+def test_batches(g):
+    labelled = materialised(corrupt.inject(g.rows, g.facts, *g.sizes, RATIO, SEED))
+    return graph.expanded_batches(labelled, g.rows, K, BATCH, SEED)
+
+
+@query(f"""with {ENC}, w as (select floor(0.05 * m + 1e-9)::bigint as k from n), src as (select * from enc order by {_d("'7'", "'sample'", "pos")}, pos limit (select floor(1.5 * k)::bigint + 1 from w)), {_slot('src', ('h', 't'))}
+select cs.pos, cs.h, cs.r, cs.t from cs join src using (pos) where cs.h is not null and (cs.h, cs.r, cs.t) <> (src.h, src.r, src.t) order by {_d("'7'", "'sample'", "cs.pos")}, cs.pos limit (select k from w)""")
+def oversampled_negatives(g):
+    make = lambda rows: corrupt.single_slot(rows, g.facts, *g.sizes, SEED, ("h", "t"))
+    return negatives.oversampled(g.rows, int(RATIO * g.rows.count() + 1e-9), make, SEED)
+
+
 @query(f"with {INJECT} select h, r, t, count(*) as n from lab where label = 1 group by all")
 def freeze_roundtrip(g, spark, d):
     from tripleguard.session import scratch
@@ -465,13 +482,19 @@ def run_aggregate(spark, d):
     return experiments.aggregate(runs).select(*experiments.CELL, "metric", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
+@query("select count(*) as n_runs, count(distinct (event_type, user_id % 3, user_id % 2)) as n_cells from events")
+def run_totals(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.agg(F.count(F.lit(1)).alias("n_runs"), F.count_distinct(F.struct("event_type", F.col("user_id") % 3, F.col("user_id") % 2)).alias("n_cells"))
+
+
 @query(r"select p_partkey, regexp_replace(trim(p_brand || '   ' || p_size), '^(\S+)\s+(\S.*)$', '\1==\2') as requirement from part")
 def requirement_rewrite(spark, d):
     parts = spark.read.parquet(f"{d}/part.parquet")
     return parts.select("p_partkey", records.requirement(F.concat_ws("   ", "p_brand", F.col("p_size").cast("string"))).alias("requirement"))
 
 
-for _name in ("l2_distance", "translation_score", "anomaly_score", "batch_softmax", "kl_batchmean", "margin_loss", "gated_attention", "topk_ranking", "discovered_curve", "precision_recall_ratio", "roc_auc", "average_precision", "score_intervals", "minmax_norm", "log_metrics", "run_aggregate", "requirement_rewrite"):
+for _name in ("l2_distance", "translation_score", "anomaly_score", "batch_softmax", "kl_batchmean", "margin_loss", "gated_attention", "topk_ranking", "discovered_curve", "precision_recall_ratio", "roc_auc", "average_precision", "score_intervals", "minmax_norm", "log_metrics", "run_aggregate", "run_totals", "requirement_rewrite"):
     QUERIES[_name] = globals()[_name]
 
 
