@@ -57,6 +57,12 @@ def test_html_keeps_the_article(spark):
     assert sorted(got) == sorted([(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "first", 5), (4, "second", 6), (5, "", 0)])
 
 
+def test_html_form_around_the_page():
+    page = "<body><form><nav>Menu</nav><input><article><p>One.</p><form>Your name <input></form><p>Two.</p></article><p>Sign in</p></form></body>"
+    assert html_extract.page_lines(page)[0] == ["One.", "Two."]
+    assert html_extract.page_lines("<body><p>Text.</p><form>Sign in</form></body>")[0] == ["Text."]
+
+
 def test_html_copies_of_a_plain_page_keep_their_text(spark):
     bare = lambda s: f"<div>Top bar</div><p>{s}</p><div>All pages end so</div>"
     rows = [(1, "http://c.d/x/1", bare("first")), (2, "http://c.d/x/1?a=2", bare("first")), (2, "http://c.d/x/1?a=2", bare("first")), (3, "http://c.d/x/2", bare("second"))]
