@@ -54,6 +54,17 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
+def relu(x: Column) -> Column:
+    return F.greatest(x, F.lit(0.0))
+
+
+def dropout(x: Column, rate: float, *key: Column | str) -> Column:
+    """For training: 0 for a drawn share of rate, else x over the share that stays."""
+    from tripleguard.functions.draws import draw
+
+    return F.when(draw(*key) / 2**32 < rate, F.lit(0.0)).otherwise(x / (1 - rate))
+
+
 def leaky_relu(x: Column, alpha: float = 0.2) -> Column:
     return F.when(x > 0, x).otherwise(x * alpha)
 

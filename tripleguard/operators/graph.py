@@ -101,6 +101,22 @@ def expanded_batches(rows: DataFrame, triples: DataFrame, k: int, size: int, see
     return triple_neighbourhood(rows, triples, k, seed).join(placed, "pos").select("batch_id", "pos", "slot", "h", "r", "t", "label")
 
 
+def paired_batches(pairs: DataFrame, triples: DataFrame, k: int, size: int, seed: str) -> DataFrame:
+    """batch_id, pos, y (1, or -1 for a negative), slot, h, r, t: training batches in a drawn order, both triples of a pair with their neighbourhoods.
+
+    pairs: pos, h, r, t, h2, r2, t2; one without a negative is left out.
+    """
+    from tripleguard.operators.corrupt import batches
+
+    whole = pairs.where("h2 is not null and r2 is not null and t2 is not null")
+    placed = batches(whole.select("pos"), size, seed)
+    # the two triples of a pair draw their neighbours apart
+    both = whole.select(F.explode(F.array(F.struct((2 * F.col("pos")).alias("pos"), "h", "r", "t"), F.struct((2 * F.col("pos") + 1).alias("pos"), F.col("h2").alias("h"), F.col("r2").alias("r"), F.col("t2").alias("t")))).alias("x")).select("x.*")
+    around = triple_neighbourhood(both, triples, k, seed)
+    y = F.when(F.col("pos") % 2 == 0, F.lit(1)).otherwise(F.lit(-1)).alias("y")
+    return around.select(F.floor(F.col("pos") / 2).alias("pos"), y, "slot", "h", "r", "t").join(placed, "pos").select("batch_id", "pos", "y", "slot", "h", "r", "t")
+
+
 def type_pool(pairs: DataFrame, triples: DataFrame, end: str) -> DataFrame:
     """Pairs (r, end) that occur: the entities that a relation has been seen with on that end."""
     return pairs.join(triples.select("r", end).distinct(), ["r", end], "left_semi")

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from tripleguard.functions import vectors as V
 from tripleguard.functions.draws import draw, draw_below
-from tripleguard.operators import attention, corrupt, graph, vocabulary
-from tripleguard.plans import experiments, ranking
+from tripleguard.operators import attention, corrupt, encoder, graph, vocabulary
+from tripleguard.plans import experiments, ranking, runs, training
 from tripleguard.session import materialised
 from tripleguard.sources import negatives, records, triples
 
 SEED, RATIO, K, BATCH = "7", 0.05, 39, 256
+#: Sizes of the encoder's vectors and states in the queries here.
+DIM, HIDDEN = 16, 8
 QUERIES, ORACLE_SQL = {}, {}
 
 
@@ -239,6 +241,46 @@ def test_batches(g):
     return graph.expanded_batches(labelled, g.rows, K, BATCH, SEED)
 
 
+def _training_pairs(g) -> DataFrame:
+    labelled = materialised(corrupt.inject(g.rows, g.facts, *g.sizes, RATIO, SEED))
+    negative = corrupt.single_slot(labelled, g.facts, *g.sizes, SEED).select("pos", F.col("h").alias("h2"), F.col("r").alias("r2"), F.col("t").alias("t2"))
+    return labelled.join(negative, "pos")
+
+
+@query(f"""with {NBR}{LABELLED}, {_slot('lab', p='n_')}, ba as (select pos, (row_number() over (order by {_d("'7'", "'epoch'", "pos")}, pos) - 1) // {BATCH} as batch_id from n_cs where h is not null),
+both_ as (select 2 * pos as pos, h, r, t from lab semi join ba using (pos) union all select 2 * pos + 1, h, r, t from n_cs where h is not null),
+ex as ({_half('h', 0, f'degree > {K}', 'both_')} union all {_half('t', 1, f'degree >= {K}', 'both_')})
+select batch_id, ba.pos, 1 - 2 * (ex.pos % 2) as y, slot, h, r, t from ex join ba on ba.pos = ex.pos // 2""")
+def train_batches(g):
+    return graph.paired_batches(materialised(_training_pairs(g)), g.rows, K, BATCH, SEED)
+
+
+def _encoded(g, neighbourhood: DataFrame) -> DataFrame:
+    """What attend() gives for a neighbourhood, with drawn vectors and weights."""
+    weights = encoder.initial_weights(DIM, HIDDEN, int(SEED))
+    vectors = [encoder.initial_vectors(v, DIM, kind, SEED) for v, kind in ((g.entities, "ent"), (g.relations, "rel"))]
+    return encoder.attend(neighbourhood, encoder.encode_triples(neighbourhood, *vectors, weights), weights)
+
+
+@query()
+def encoder_scores(g):
+    """Every original and anomaly by the two-view encoder; no SQL, as an LSTM is beyond it."""
+    labelled = materialised(corrupt.inject(g.rows, g.facts, *g.sizes, RATIO, SEED))
+    config = runs.Config(seed=int(SEED), neighbours=K, dim=DIM, hidden=HIDDEN)
+    return runs.scores(labelled, g.rows, g.entities, g.relations, config, encoder.initial_weights(DIM, HIDDEN, int(SEED))).select("id", F.round("score", 4).alias("score"), "label")
+
+
+@query()
+def encoder_losses(g):
+    """The training loss of each batch and its parts."""
+    around = materialised(train_batches(g))
+    both = _encoded(g, around.select((2 * F.col("pos") + F.when(F.col("y") > 0, 0).otherwise(1)).alias("pos"), "slot", "h", "r", "t")).withColumns({"y": F.col("pos") % 2, "pos": F.floor(F.col("pos") / 2)})
+    both = materialised(both)
+    names = ("translation", "second", "gap_a", "gap_b", "similar")
+    pairs = both.where("y = 0").join(both.where("y = 1").select("pos", *(F.col(c).alias(f"{c}_neg") for c in names)), "pos")
+    return training.batch_losses(pairs.join(around.select("pos", "batch_id").distinct(), "pos")).select("batch_id", "n", *(F.round(c, 4).alias(c) for c in ("pos_loss", "neg_loss", "margin", "kl_pos", "kl_neg", "similar_pos", "similar_neg", "total")))
+
+
 @query(f"""with {ENC}, w as (select floor(0.05 * m + 1e-9)::bigint as k from n), src as (select * from enc order by {_d("'7'", "'sample'", "pos")}, pos limit (select floor(1.5 * k)::bigint + 1 from w)), {_slot('src', ('h', 't'))}
 select cs.pos, cs.h, cs.r, cs.t from cs join src using (pos) where cs.h is not null and (cs.h, cs.r, cs.t) <> (src.h, src.r, src.t) order by {_d("'7'", "'sample'", "cs.pos")}, cs.pos limit (select k from w)""")
 def oversampled_negatives(g):
@@ -262,9 +304,7 @@ QUERIES["freeze_roundtrip"] = lambda s, d: freeze_roundtrip(Graph(s, d), s, d)
 @query(f"with {INJECT}, {_slot('lab', p='n_')} select lab.pos, lab.h, lab.r, lab.t, label, n_cs.h as h2, n_cs.r as r2, n_cs.t as t2 from lab join n_cs using (pos)")
 def train_pairs(g):
     """One negative for each of the originals and the anomalies."""
-    labelled = materialised(corrupt.inject(g.rows, g.facts, *g.sizes, RATIO, SEED))
-    negative = corrupt.single_slot(labelled, g.facts, *g.sizes, SEED).select("pos", F.col("h").alias("h2"), F.col("r").alias("r2"), F.col("t").alias("t2"))
-    return labelled.join(negative, "pos")
+    return _training_pairs(g)
 
 
 @query(f"""with {ENC} select pos, h, r, t, (row_number() over (order by {_d("'7'", "'epoch'", "pos")}, pos) - 1) // {BATCH} as batch_id from enc""")
@@ -312,6 +352,14 @@ def type_pool_mask(g):
     return graph.type_pool(graph.type_pool(moved, g.rows, "h"), g.rows, "t").select("pos", "h", "r", "t")
 
 
+@query(f"""with {PAIRS}, ps as (select *, h2 is not null as given, (h, r, t) = (h2, r2, t2) as same from pairs)
+select count(*) as processed, count_if(not given) as missing, count_if(given and same) as used_original,
+count_if(given and exists (from enc where enc.r = r2 and enc.h = h2) and exists (from enc where enc.r = r2 and enc.t = t2)) as type_valid,
+count_if(given and h <> h2 and t = t2) as moved_head, count_if(given and h = h2 and t <> t2) as moved_tail from ps""")
+def generator_statistics(g):
+    return negatives.statistics(_pairs(g), g.rows)
+
+
 @query(f"with {VOC}, other as (select name, row_number() over (order by name) + 999 as id from ents) select ents.name, ents.id as e, other.id as e_other from ents join other using (name)")
 def vocab_bridge(g):
     other = vocabulary.dense_ids(g.entities.select("name", F.col("name").alias("o")), "o").select("name", (F.col("id") + 1000).alias("id"))
@@ -482,6 +530,27 @@ def run_aggregate(spark, d):
     return experiments.aggregate(runs).select(*experiments.CELL, "metric", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
+@query("""with r as (select event_type as dataset, (user_id % 3)::varchar as neg_source, (user_id % 2)::varchar as test_anomaly_source, 0.05::double as anomaly_ratio, event_id % 5 as seed from events)
+select dataset, neg_source, test_anomaly_source, anomaly_ratio, count(*) as n_runs, string_agg(distinct seed::varchar, ',' order by seed::varchar) as seeds, case when min(seed) = 0 then '0.05,0.1,1e1' else '0.05' end as ks from r group by all""")
+def run_cells(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    value, few = F.lit(0.5), F.create_map(F.lit("0.05"), F.lit(0.5))
+    keys = F.when(F.col("event_id") % 5 == 0, F.create_map(F.lit("1e1"), value, F.lit("0.1"), value, F.lit("0.05"), value)).otherwise(few)
+    told = e.select(F.col("event_type").alias("dataset"), (F.col("user_id") % 3).cast("string").alias("neg_source"), (F.col("user_id") % 2).cast("string").alias("test_anomaly_source"), F.lit(0.05).alias("anomaly_ratio"), (F.col("event_id") % 5).alias("seed"), keys.alias("precision_at"))
+    return experiments.cells(told).select(*experiments.CELL, "n_runs", F.array_join("seeds", ",").alias("seeds"), F.array_join("ks", ",").alias("ks"))
+
+
+@query("""with l as (select event_id as seen, event_id % 2 as kind, round((user_id % 5 + 1) / 100, 6) as k, round(abs(value), 3) as v from events where event_id % 3 < 2)
+select k, arg_max(v, seen) filter (kind = 0) as precision, arg_max(v, seen) filter (kind = 1) as recall from l group by k""")
+def log_cutoffs(spark, d):
+    """Of lines of three anomaly ratios, those of 0.05 and what is near it."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    ratio = F.element_at(F.array(F.lit("0.050000"), F.lit("0.050030"), F.lit("0.150000")), (F.col("event_id") % 3 + 1).cast("int"))
+    metric = F.when(F.col("event_id") % 2 == 0, "Precision").otherwise("Recall ")
+    text = F.format_string("[Test][graph] %s %s-- %.6f : %.6f", metric, ratio, (F.col("user_id") % 5 + 1) / 100, F.round(F.abs("value"), 3))
+    return records.metrics_at(e.select(F.col("event_id").alias("at"), text.alias("value")), 0.05)
+
+
 @query("select count(*) as n_runs, count(distinct (event_type, user_id % 3, user_id % 2)) as n_cells from events")
 def run_totals(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
@@ -494,7 +563,7 @@ def requirement_rewrite(spark, d):
     return parts.select("p_partkey", records.requirement(F.concat_ws("   ", "p_brand", F.col("p_size").cast("string"))).alias("requirement"))
 
 
-for _name in ("l2_distance", "translation_score", "anomaly_score", "batch_softmax", "kl_batchmean", "margin_loss", "gated_attention", "topk_ranking", "discovered_curve", "precision_recall_ratio", "roc_auc", "average_precision", "score_intervals", "minmax_norm", "log_metrics", "run_aggregate", "run_totals", "requirement_rewrite"):
+for _name in ("l2_distance", "translation_score", "anomaly_score", "batch_softmax", "kl_batchmean", "margin_loss", "gated_attention", "topk_ranking", "discovered_curve", "precision_recall_ratio", "roc_auc", "average_precision", "score_intervals", "minmax_norm", "log_metrics", "run_aggregate", "run_totals", "run_cells", "log_cutoffs", "requirement_rewrite"):
     QUERIES[_name] = globals()[_name]
 
 

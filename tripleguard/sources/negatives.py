@@ -57,3 +57,18 @@ def anomalies(spark: SparkSession, source: str, n: int, rows: DataFrame, entitie
 
     made = make if frozen is None else (lambda: frozen_or(spark, frozen, entities, relations, make))
     return made().select("h", "r", "t")
+
+
+def statistics(pairs: DataFrame, triples: DataFrame) -> DataFrame:
+    """One row of counts over pairs (h, r, t and negatives h2, r2, t2): processed, missing, used_original, type_valid, moved_head, moved_tail.
+
+    A negative is type_valid if its relation occurs with its head and with its tail.
+    """
+    seen = lambda end: triples.select(F.col("r").alias("r2"), F.col(end).alias(f"{end}2"), F.lit(True).alias(f"{end}_seen")).distinct()
+    marked = corrupt.changed(pairs).join(seen("h"), ["r2", "h2"], "left").join(seen("t"), ["r2", "t2"], "left")
+    given = F.col("h2").isNotNull() & F.col("r2").isNotNull() & F.col("t2").isNotNull()
+    counts = {
+        "missing": ~given, "used_original": F.col("moved") == "NONE", "type_valid": F.col("h_seen") & F.col("t_seen"),
+        "moved_head": given & (F.col("moved") == "head"), "moved_tail": given & (F.col("moved") == "tail"),
+    }
+    return marked.agg(F.count(F.lit(1)).alias("processed"), *(F.count_if(c).alias(name) for name, c in counts.items()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = (
@@ -13,12 +13,27 @@ RECORD = (
 
 def read_records(spark: SparkSession, root: str) -> DataFrame:
     """The run records below a folder; files that can't be read are left out."""
-    reader = spark.read.schema(RECORD).option("recursiveFileLookup", True).option("pathGlobFilter", "*_run.json").option("multiLine", True).option("mode", "PERMISSIVE")
+    reader = spark.read.schema(RECORD).option("recursiveFileLookup", True).option("pathGlobFilter", "{*_run.json,part-*.json}").option("multiLine", True).option("mode", "PERMISSIVE")
     return reader.json(root).where("_corrupt_record is null and dataset is not null").drop("_corrupt_record")
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    records.write.mode("overwrite").json(path)
+    records.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """Writes id, score, label in place of what is there."""
+    scores.select("id", F.col("score").cast("double"), F.col("label").cast("int")).write.mode("overwrite").parquet(path)
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id long, score double, label int").parquet(path)
+
+
+def write_duration(spark: SparkSession, path: str, what: str, seconds: float, append: bool = False) -> None:
+    """A line with the seconds that something took, in place of the lines there or (append) behind them; total_minutes() reads it."""
+    line = spark.createDataFrame([(f"{what}, Duration: {seconds:f} seconds",)], "value string")
+    line.coalesce(1).write.mode("append" if append else "overwrite").text(path)
 
 
 def last_value(lines: DataFrame, pattern: str, key: int, value: int) -> DataFrame:
@@ -39,6 +54,19 @@ def total_minutes(lines: DataFrame, pattern: str, group: int) -> DataFrame:
     return got.agg((F.sum("s") / 60).alias("minutes"), F.count("s").alias("n"))
 
 
+def near(a: Column, b: Column | float, tolerance: float = 1e-4) -> Column:
+    return F.abs(a - b) < tolerance
+
+
+def metrics_at(lines: DataFrame, ratio: float) -> DataFrame:
+    """k, precision, recall of the log lines whose anomaly ratio is near the given one; of several, the line read last. lines: at, value."""
+    part = lambda i: F.regexp_extract("value", r"(Precision|Recall)\s+(\d+\.\d+)\s*--\s*(\d+\.\d+)\s*:\s*(\d+\.\d+)", i)
+    got = lines.select("at", part(1).alias("metric"), part(2).cast("double").alias("ratio"), F.round(part(3).cast("double"), 6).alias("k"), part(4).cast("double").alias("v"))
+    kept = got.where((F.col("metric") != "") & near(F.col("ratio"), ratio))
+    last = lambda name: F.max_by(F.when(F.col("metric") == name, F.col("v")), F.when(F.col("metric") == name, F.col("at"))).alias(name.lower())
+    return kept.groupBy("k").agg(last("Precision"), last("Recall"))
+
+
 def requirement(line):
     """`name version` as `name==version`; a line of one field is trimmed."""
     return F.regexp_replace(F.trim(line), r"^(\S+)\s+(\S.*)$", "$1==$2")
