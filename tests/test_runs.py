@@ -2,6 +2,7 @@
 
 import math
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tripleguard.functions import vectors as V
 from tripleguard.operators import encoder, graph
 from tripleguard.plans import experiments, runs, training
+from tripleguard.session import scratch
 from tripleguard.sources import records
 
 DIM, HIDDEN, K = 6, 4, 2
@@ -174,3 +176,13 @@ def test_negatives_with_nulls_are_counted_and_left_out_of_batches(spark):
     batches = graph.paired_batches(pairs, pairs, 2, 1, "1")
     assert batches.count() == 2 * 2 * 6 and {r["pos"] for r in batches.collect()} == {0, 2}
     assert batches.select("batch_id", "pos").distinct().count() == 2
+
+
+@pytest.mark.parametrize("settings, root", [({"spark.master": "local[8]"}, "file:///tmp/checkpoints/"), ({"spark.master": "local"}, "file:///tmp/checkpoints/"), ({"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///c/"}, "hdfs:///c/"), ({"spark.master": "yarn"}, None), ({"spark.master": "local-cluster[3,2,1024]"}, None)])
+def test_steps_go_to_the_shared_folder(settings, root):
+    session = SimpleNamespace(conf=settings)
+    if root is None:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch(session, "step")
+    else:
+        assert scratch(session, "step").startswith(f"{root}step-")
