@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tripleguard.session import scratch
 
 #: Whether Spark removes an execution's shuffle files at its end.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir.
-
-    Where the setting is absent (tests, a single machine) a folder under /tmp is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; see scratch()."""
+    return scratch(spark, "llm")
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
