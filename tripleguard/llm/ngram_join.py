@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tripleguard.llm.bloom import likely
 from tripleguard.llm.components import connected_components
-from tripleguard.llm.shared import partitions, slices, written
+from tripleguard.llm.shared import partitions, remove, slices, written
 
 WORDS = 4
 #: Per cent of the union that two sets must share.
@@ -124,8 +124,8 @@ def prefix(shingles: np.ndarray, levels: np.ndarray, order: int, percent: int) -
     return shingles[first[np.argsort(key[first])]]
 
 
-def _passes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, n, class) of each row, and (row, counts) of the sketch of each task: counts is compressed."""
+def _passes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, str]:
+    """(doc_id, key, n, class) of each row, and (row, counts) of the sketch of each task: counts is compressed. Both are written at the place given."""
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("row", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +141,8 @@ def _passes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
         none = pa.nulls(len(full), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(full.astype(np.int32)), pa.array([zlib.compress(rows[i], 1) for i in full], pa.binary())], schema=schema)
 
-    both, _ = written(docs.mapInArrow(run, "doc_id long, key long, n long, class long, row int, counts binary"))
-    return both.where("row is null").select("doc_id", "key", "n", "class"), both.where("row is not null").select("row", "counts")
+    both, both_at = written(docs.mapInArrow(run, "doc_id long, key long, n long, class long, row int, counts binary"))
+    return both.where("row is null").select("doc_id", "key", "n", "class"), both.where("row is not null").select("row", "counts"), both_at
 
 
 def _levels(counts: DataFrame) -> np.ndarray:
@@ -196,20 +196,20 @@ def _enough(pairs: DataFrame, open_tokens: DataFrame, percent: int) -> DataFrame
     return met.where(F.col("most") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b", "mate")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold. pairs: a, b, mate (a class that both are near).
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, words: int, percent: int) -> tuple[DataFrame, str]:
+    """The pairs (a, b) of classes whose sets reach the threshold, and their place. pairs: a, b, mate (a class that both are near).
 
     Classes with the same mate are compared in one place, so a set moves once for each such place and not
     for each pair; a mate of many classes is cut into blocks, and each pair of blocks is a place.
     """
-    pairs, _ = written(pairs)
+    pairs, pairs_at = written(pairs)
     ends = pairs.select("mate", F.explode(F.array("a", "b")).alias("class")).distinct()
     blocks = ends.groupBy("mate").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("long").alias("blocks"))
     block = lambda end: F.pmod(F.xxhash64(end), F.col("blocks"))
-    placed, _ = written(pairs.join(blocks, "mate").select("a", "b", F.xxhash64("mate", F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))).alias("unit")))
+    placed, placed_at = written(pairs.join(blocks, "mate").select("a", "b", F.xxhash64("mate", F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))).alias("unit")))
     members = placed.select("unit", F.explode(F.array("a", "b")).alias("class")).distinct()
     wanted = members.groupBy("class").agg(F.collect_list("unit").alias("units"))
-    reps, _ = written(wanted.join(classes, "class").groupBy("class").agg(F.min("key").alias("key"), F.first("units").alias("units")))
+    reps, reps_at = written(wanted.join(classes, "class").groupBy("class").agg(F.min("key").alias("key"), F.first("units").alias("units")))
     sent = pa.schema([("unit", pa.int64()), ("class", pa.int64()), ("set", pa.binary()), ("b", pa.int64())])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,13 +256,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, wor
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in good], pa.int64()) for i in range(2)], names=["a", "b"])
 
     together = sets.unionByName(asked).repartition(partitions(docs), "unit").sortWithinPartitions("unit", F.col("b").asc_nulls_first())
-    return together.mapInArrow(compare, "a long, b long").distinct()
+    links = written(together.mapInArrow(compare, "a long, b long").distinct())
+    remove(docs.sparkSession, pairs_at, placed_at, reps_at)
+    return links
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    classes, counts = _passes(docs, words)
+    classes, counts, classes_at = _passes(docs, words)
     levels = docs.sparkSession.sparkContext.broadcast(_levels(counts))
     schema = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("before", pa.int32())])
 
@@ -288,7 +290,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_
     mates = Window.partitionBy("token")
     # the class with the fewest rare shingles before this one is the likeliest to be like the others
     centre = F.min_by(F.struct("class", "n", "before"), F.struct(F.col("before") / F.col("n"), F.col("class"))).over(mates)
-    open_tokens, _ = written(
+    open_tokens, open_at = written(
         docs.mapInArrow(postings, "token long, class long, n int, before int")
         .withColumns({"low": F.min("class").over(mates), "high": F.max("class").over(mates)})
         .where("low != high")
@@ -298,9 +300,9 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_
     )
     stars = open_tokens.where("class != c.class").where(_possible("n", "before", "c.n", "c.before", percent)).select(F.least("c.class", "class").alias("a"), F.greatest("c.class", "class").alias("b"), F.col("c.class").alias("mate"))
     stars = stars.groupBy("a", "b").agg(F.min("mate").alias("mate"))
-    links, _ = written(_verified(_enough(stars, open_tokens, percent), docs, classes, levels, words, percent))
+    links, links_at = _verified(_enough(stars, open_tokens, percent), docs, classes, levels, words, percent)
     first = connected_components(links, "a", "b")
-    placed, _ = written(
+    placed, placed_at = written(
         open_tokens.join(first.select(F.col("node").alias("class"), "component"), "class", "left")
         .withColumn("component", F.coalesce("component", "class"))
         .withColumns({"c_low": F.min("component").over(mates), "c_high": F.max("component").over(mates)})
@@ -316,11 +318,18 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_
         .groupBy("a", "b")
         .agg(F.min("mate").alias("mate"))
     )
-    rest, _ = written(_enough(rest, open_tokens, percent))
-    links = links.unionByName(_verified(rest, docs, classes, levels, words, percent)) if not rest.isEmpty() else links
+    rest, rest_at = written(_enough(rest, open_tokens, percent))
+    remove(docs.sparkSession, open_at, placed_at)
+    done = [classes_at, links_at, rest_at]
+    if not rest.isEmpty():
+        more, more_at = _verified(rest, docs, classes, levels, words, percent)
+        links = links.unionByName(more)
+        done.append(more_at)
     linked = connected_components(links, "a", "b").select(F.col("node").alias("class"), "component")
-    named = classes.join(linked, "class", "left").select("doc_id", "n", F.coalesce("component", "class").alias("group"))
-    smallest = named.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    named, _ = written(classes.join(linked, "class", "left").select("doc_id", "n", F.coalesce("component", "class").alias("group")))
+    # written, so that a group of very many rows is spread in the join
+    smallest, _ = written(named.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("component_id")))
+    remove(docs.sparkSession, *done)
     return named.join(smallest, "group", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
