@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleguard.llm.bloom import likely
@@ -287,28 +287,25 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_
                         schema=schema,
                     )
 
-    mates = Window.partitionBy("token")
+    posted, posted_at = written(docs.mapInArrow(postings, "token long, class long, n int, before int"))
+    # aggregated and joined back rather than windowed, so that a token of very many classes is spread
+    shared, shared_at = written(posted.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("token"))
+    mates, mates_at = written(likely(posted, "token", shared, shared.count()).join(shared, "token").distinct())
     # the class with the fewest rare shingles before this one is the likeliest to be like the others
-    centre = F.min_by(F.struct("class", "n", "before"), F.struct(F.col("before") / F.col("n"), F.col("class"))).over(mates)
-    open_tokens, open_at = written(
-        docs.mapInArrow(postings, "token long, class long, n int, before int")
-        .withColumns({"low": F.min("class").over(mates), "high": F.max("class").over(mates)})
-        .where("low != high")
-        .select("token", "class", "n", "before")
-        .distinct()
-        .withColumn("c", centre)
-    )
+    centre = F.min_by(F.struct("class", "n", "before"), F.struct(F.col("before") / F.col("n"), F.col("class")))
+    centres, centres_at = written(mates.groupBy("token").agg(centre.alias("c")))
+    open_tokens, open_at = written(mates.join(centres, "token"))
+    remove(docs.sparkSession, posted_at, shared_at, mates_at, centres_at)
     stars = open_tokens.where("class != c.class").where(_possible("n", "before", "c.n", "c.before", percent)).select(F.least("c.class", "class").alias("a"), F.greatest("c.class", "class").alias("b"), F.col("c.class").alias("mate"))
     stars = stars.groupBy("a", "b").agg(F.min("mate").alias("mate"))
     links, links_at = _verified(_enough(stars, open_tokens, percent), docs, classes, levels, words, percent)
     first = connected_components(links, "a", "b")
-    placed, placed_at = written(
+    tagged, tagged_at = written(
         open_tokens.join(first.select(F.col("node").alias("class"), "component"), "class", "left")
-        .withColumn("component", F.coalesce("component", "class"))
-        .withColumns({"c_low": F.min("component").over(mates), "c_high": F.max("component").over(mates)})
-        .where("c_low != c_high")
-        .select("token", "class", "n", "before", F.col("c.class").alias("centre"), "component")
+        .select("token", "class", "n", "before", F.col("c.class").alias("centre"), F.coalesce("component", "class").alias("component"))
     )
+    divided, divided_at = written(tagged.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token"))
+    placed, placed_at = written(tagged.join(divided, "token"))
     x, y = (placed.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "before", "centre", "component"))) for s in "xy")
     rest = (
         x.join(y, "token")
@@ -319,7 +316,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_
         .agg(F.min("mate").alias("mate"))
     )
     rest, rest_at = written(_enough(rest, open_tokens, percent))
-    remove(docs.sparkSession, open_at, placed_at)
+    remove(docs.sparkSession, open_at, tagged_at, divided_at, placed_at)
     done = [classes_at, links_at, rest_at]
     if not rest.isEmpty():
         more, more_at = _verified(rest, docs, classes, levels, words, percent)
