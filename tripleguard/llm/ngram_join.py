@@ -182,14 +182,13 @@ def _possible(n: str, before: str, m: str, ahead: str, percent: int) -> Column:
     return F.least(rest_n, rest_m).cast("long") * 100 >= (F.col(before) + F.col(ahead) + F.greatest(rest_n, rest_m)).cast("long") * percent
 
 
-def _enough(pairs: DataFrame, open_tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs that share enough prefix shingles for the threshold.
+def _enough(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that share enough prefix shingles for the threshold. prefixes: class, n, t (tokens).
 
     Of two prefixes one ends first in the order; what is common up to there is common to both prefixes, and behind it at
     most the rest of that set can be.
     """
-    own = open_tokens.groupBy("class").agg(F.first("n").cast("long").alias("n"), F.collect_list("token").alias("t"))
-    side = lambda s: own.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("t").alias(f"t_{s}"))
+    side = lambda s: prefixes.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("t").alias(f"t_{s}"))
     rest = F.ceil(F.greatest("n_a", "n_b") * percent / 100) - 1
     most = F.least(F.size(F.array_intersect("t_a", "t_b")) + rest, F.col("n_a"), F.col("n_b"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "mate", "n_a", "n_b", most.alias("most"))
@@ -295,10 +294,12 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_
     centre = F.min_by(F.struct("class", "n", "before"), F.struct(F.col("before") / F.col("n"), F.col("class")))
     centres, centres_at = written(mates.groupBy("token").agg(centre.alias("c")))
     open_tokens, open_at = written(mates.join(centres, "token"))
+    # written, so that a class that meets very many others is spread in the joins
+    prefixes, prefixes_at = written(mates.groupBy("class").agg(F.first("n").cast("long").alias("n"), F.collect_list("token").alias("t")))
     remove(docs.sparkSession, posted_at, shared_at, mates_at, centres_at)
     stars = open_tokens.where("class != c.class").where(_possible("n", "before", "c.n", "c.before", percent)).select(F.least("c.class", "class").alias("a"), F.greatest("c.class", "class").alias("b"), F.col("c.class").alias("mate"))
-    stars = stars.groupBy("a", "b").agg(F.min("mate").alias("mate"))
-    links, links_at = _verified(_enough(stars, open_tokens, percent), docs, classes, levels, words, percent)
+    stars, stars_at = written(stars.groupBy("a", "b").agg(F.min("mate").alias("mate")))
+    links, links_at = _verified(_enough(stars, prefixes, percent), docs, classes, levels, words, percent)
     first = connected_components(links, "a", "b")
     tagged, tagged_at = written(
         open_tokens.join(first.select(F.col("node").alias("class"), "component"), "class", "left")
@@ -315,8 +316,9 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_
         .groupBy("a", "b")
         .agg(F.min("mate").alias("mate"))
     )
-    rest, rest_at = written(_enough(rest, open_tokens, percent))
-    remove(docs.sparkSession, open_at, tagged_at, divided_at, placed_at)
+    met, met_at = written(rest)
+    rest, rest_at = written(_enough(met, prefixes, percent))
+    remove(docs.sparkSession, open_at, prefixes_at, stars_at, tagged_at, divided_at, placed_at, met_at)
     done = [classes_at, links_at, rest_at]
     if not rest.isEmpty():
         more, more_at = _verified(rest, docs, classes, levels, words, percent)
