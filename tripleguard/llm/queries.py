@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleguard.llm import bpe, decontaminate, html_extract, language_id, license_scan, line_dedup, multi_index, ngram_join, secrets, url_filter
+from tripleguard.llm import bpe, chat_format, decontaminate, fill_middle, html_extract, language_id, license_scan, line_dedup, multi_index, ngram_join, secrets, spelling, url_filter
 from tripleguard.llm.shared import read_documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -60,6 +60,34 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(read_documents(spark, sf_dir))
 
 
+#: A conversation whose texts look like marks and escapes.
+HOSTILE = [(-7, turn, role, r"\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    whole = turns.unionByName(spark.createDataFrame(HOSTILE, turns.schema))
+    chats = chat_format.format_chats(whole.select("conv_id", "turn", "role", chat_format.text_parts(F.col("text")).alias("parts")))
+    read = chats.withColumns({"turns": chat_format.read_turns(F.col("formatted")), "learned": chat_format.loss_text(F.col("formatted"), F.col("turn_starts"), F.col("loss"))})
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    count = lambda c: F.char_length(c).cast("long")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"), count("learned").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), count("formatted").alias("formatted_chars"), F.size("attachments").cast("long").alias("n_attachments"), "n_tokens",
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_documents(spark, sf_dir)).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(read_documents(spark, sf_dir), seed=7)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_multi_index": op2_multi_index,
@@ -71,6 +99,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_ngram_join": op10_ngram_join,
+    "op11_chat_format": op11_chat_format,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
@@ -107,5 +138,35 @@ m as (
     from u join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id
 )
 select page_id, host, path, rule, coalesce(said, 'allow') as verdict from u left join m using (page_id)
+""",
+    "op11_chat_format": r"""
+with t as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, turn, role, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(turn, role)
+), w as (
+    select *, length(replace(replace(text, '\', '\b'), '<', '\l')) as written, length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g')) as named from t
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    sum(6 + named + 1 + written + 8)::bigint as formatted_chars, 0::bigint as n_attachments, 0::bigint as n_tokens
+from w group by conv_id
+""",
+    "op13_fill_in_middle": r"""
+with d as (
+    select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents
+), r as (
+    select *, len(u) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[25:32])::bigint as h4 from d
+), k as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+        case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form
+    from r
+), p as (
+    select *, array_to_string(u[1:a], '') as prefix, array_to_string(u[a + 1:b], '') as middle, array_to_string(u[b + 1:n], '') as suffix from k
+)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+    sha256(text) as restored_sha256
+from p
 """,
 }
