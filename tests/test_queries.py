@@ -120,13 +120,13 @@ def test_stream_scores_like_the_batch(spark, tmp_path):
 
 
 def test_saturated_slots_are_searched_whole(spark):
-    """All but one tail is taken: draws alone would miss it, the search of what is left finds it, and a full slot gives null."""
+    """All but one tail is taken: its rank among the free ones finds it, and a full slot gives null."""
     known = spark.createDataFrame([(i, 0, 0, i) for i in range(199)] + [(300 + i, 1, 0, i) for i in range(200)], "pos long, h long, r long, t long")
     rows = known.where("pos in (0, 1, 2, 300)")
-    got = {r["pos"]: r["t"] for r in corrupt.single_slot(rows, known, 200, 1, "1", ("t",), attempts=1).collect()}
+    got = {r["pos"]: r["t"] for r in corrupt.single_slot(rows, known, 200, 1, "1", ("t",)).collect()}
     assert got == {0: 199, 1: 199, 2: 199, 300: None}
     full = spark.createDataFrame([(0, 0, 0)], "h long, r long, t long")
-    assert corrupt.fully_random(20, full, 2, 1, "1", attempts=1).count() == 20
+    assert corrupt.fully_random(20, full, 2, 1, "1").count() == 20
     assert corrupt.fully_random(3, full, 1, 1, "1").count() == 0
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleguard.functions.draws import draw, draw_below
+from tripleguard.operators.scan import first_rows, nth_free, union
 from tripleguard.session import materialised
 
-ATTEMPTS = 16
+#: For each slot that is replaced, the two that stay.
+OTHERS = {"h": ("r", "t"), "r": ("h", "t"), "t": ("h", "r")}
+SLOT_KEYS = ["slot", "a", "b"]
 
 
 def shuffled(rows: DataFrame, seed: str, key: str = "pos") -> DataFrame:
@@ -17,48 +20,56 @@ def shuffled(rows: DataFrame, seed: str, key: str = "pos") -> DataFrame:
 
 
 def sample(rows: DataFrame, n: int, seed: str, key: str = "pos") -> DataFrame:
-    """n rows without replacement."""
-    return rows.orderBy(draw(seed, "sample", F.col(key)), key).limit(n)
+    """n rows without replacement; the key is a number that no two rows share."""
+    return first_rows(rows, [(draw(seed, "sample", F.col(key)), False), (F.col(key), False)], n)
 
 
-def _clear(candidates: DataFrame, known: DataFrame) -> DataFrame:
-    """pos, h, r, t: the first candidate of each pos that isn't a known fact."""
-    free = candidates.join(known.select("h", "r", "t"), ["h", "r", "t"], "left_anti")
-    return free.groupBy("pos").agg(F.min(F.struct("i", "h", "r", "t")).alias("c")).select("pos", "c.h", "c.r", "c.t")
+def _kept(slot: str) -> list[Column]:
+    return [F.lit(slot).alias("slot"), *(F.col(c).alias(name) for c, name in zip(OTHERS[slot], "ab"))]
 
 
-def single_slot(rows: DataFrame, known: DataFrame, n_ent: int, n_rel: int, seed: str, slots: tuple[str, ...] = ("h", "r", "t"), attempts: int = ATTEMPTS) -> DataFrame:
+def single_slot(rows: DataFrame, known: DataFrame, n_ent: int, n_rel: int, seed: str, slots: tuple[str, ...] = ("h", "r", "t")) -> DataFrame:
     """pos, slot, h, r, t of each row with one slot replaced; h, r and t are null where no value is free.
 
-    Relations are searched whole; entities by so many draws, and then, for the rows that found none, whole as well.
+    The values that known facts hold for the two other slots are taken; of those that are free one is drawn by its rank, so
+    every free value is as likely and no candidate is tried in vain.
     """
     names = F.array(*map(F.lit, slots))
     chosen = rows.select("pos", "h", "r", "t", F.get(names, draw_below(len(slots), seed, "slot", F.col("pos")).cast("int")).alias("slot"))
-    tries = chosen.where("slot != 'r'").select("*", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("i"))
-    new = draw_below(n_ent, seed, "ent", F.col("pos"), F.col("i"))
-    put = lambda rows, at, value: rows.select("pos", at.cast("bigint").alias("i"), F.when(F.col("slot") == "h", value).otherwise(F.col("h")).alias("h"), "r", F.when(F.col("slot") == "t", value).otherwise(F.col("t")).alias("t"))
-    entity = put(tries, F.col("i"), new)
-    values = chosen.where("slot = 'r'").select("pos", "h", "t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_rel - 1).cast("bigint"))).alias("r"))
-    relation = values.select("pos", draw(seed, "rel", F.col("pos"), F.col("r")).alias("i"), "h", "r", "t")
-    found = materialised(_clear(entity.unionByName(relation), known))
-    left = materialised(chosen.where("slot != 'r'").join(found.select("pos"), "pos", "left_anti"))
-    if not left.isEmpty():
-        every = left.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_ent - 1).cast("bigint"))).alias("v"))
-        found = found.unionByName(_clear(put(every, draw(seed, "rest", F.col("pos"), F.col("v")), F.col("v")), known))
-    return chosen.select("pos", "slot").join(found, "pos", "left")
-
-
-def fully_random(n: int, known: DataFrame, n_ent: int, n_rel: int, seed: str, attempts: int = ATTEMPTS) -> DataFrame:
-    """pos (0 to n-1), h, r, t: triples that are not known facts. Rows that found none draw again, unless every triple is known."""
-    drawn = lambda size, what: draw_below(size, seed, what, F.col("pos"), F.col("i"))
-    left, found, first = known.sparkSession.range(n).select(F.col("id").alias("pos")), None, 0
-    while True:
-        tries = left.select("pos", F.explode(F.sequence(F.lit(first), F.lit(first + attempts - 1))).alias("i"))
-        clear = materialised(_clear(tries.select("pos", F.col("i").cast("bigint").alias("i"), drawn(n_ent, "h").alias("h"), drawn(n_rel, "r").alias("r"), drawn(n_ent, "t").alias("t")), known))
-        found = clear if found is None else found.unionByName(clear)
-        left, first = materialised(left.join(clear.select("pos"), "pos", "left_anti")), first + attempts
-        if left.isEmpty() or known.select("h", "r", "t").distinct().count() >= n_ent * n_rel * n_ent:
-            return found
+    stays = lambda i: F.coalesce(*(F.when(F.col("slot") == s, F.col(OTHERS[s][i])) for s in slots))
+    chosen = materialised(chosen.withColumns({"a": stays(0), "b": stays(1)}))
+    taken = union([known.select(*_kept(s), F.col(s).alias("u")) for s in slots]).distinct()
+    held = materialised(taken.join(chosen.select(*SLOT_KEYS).distinct(), SLOT_KEYS, "left_semi"))
+    counted = chosen.join(held.groupBy(*SLOT_KEYS).agg(F.count(F.lit(1)).alias("held")), SLOT_KEYS, "left")
+    free = F.when(F.col("slot") == "r", F.lit(n_rel)).otherwise(F.lit(n_ent)).cast("long") - F.coalesce("held", F.lit(0).cast("long"))
+    asks = counted.select("pos", *SLOT_KEYS, free.alias("n")).where("n > 0").select("pos", *SLOT_KEYS, draw_below(F.col("n"), seed, "free", F.col("pos")).alias("k"))
+    found = chosen.join(nth_free(asks, held, SLOT_KEYS), "pos", "left")
+    value = lambda c: F.when(F.col("free").isNotNull(), F.when(F.col("slot") == c, F.col("free")).otherwise(F.col(c))).alias(c)
+    return found.select("pos", "slot", *map(value, "hrt"))
+
+
+def fully_random(n: int, known: DataFrame, n_ent: int, n_rel: int, seed: str) -> DataFrame:
+    """pos (0 to n-1), h, r, t: triples that are not known facts, each as likely; no rows if every triple is known.
+
+    All triples are numbered by h, r and t, in decimals of 38 digits; the drawn rank among the free numbers gives the triple.
+    """
+    wide = lambda x: (F.lit(x) if isinstance(x, int) else x).cast("decimal(38,0)")
+    facts = materialised(known.select("h", "r", "t").distinct())
+    free = n_ent * n_rel * n_ent - facts.count()
+    rows = known.sparkSession.range(n if free > 0 else 0).select(F.col("id").alias("pos"), F.lit(0).alias("all"))
+    digit = lambda i: wide(draw(seed, f"free{i}", F.col("pos")))
+    drawn = (digit(0) * F.lit(str(2**64)).cast("decimal(20,0)") + digit(1) * wide(2**32) + digit(2)).cast("decimal(38,0)")
+    asks = rows.withColumn("k", F.pmod(drawn, F.lit(str(max(free, 1))).cast("decimal(38,0)")))
+    number = ((wide(F.col("h")) * wide(n_rel) + wide(F.col("r"))).cast("decimal(38,0)") * wide(n_ent) + wide(F.col("t"))).cast("decimal(38,0)")
+    found = nth_free(asks, facts.select(F.lit(0).alias("all"), number.alias("u")), ["all"])
+
+    def split(x: Column, size: int) -> tuple[Column, Column]:
+        rest = F.pmod(x, wide(size))
+        return ((x - rest) / wide(size)).cast("decimal(38,0)"), rest.cast("long")
+
+    pair, t = split(wide(F.col("free")), n_ent)
+    h, r = split(pair, n_rel)
+    return found.select("pos", h.cast("long").alias("h"), r.alias("r"), t.alias("t"))
 
 
 def head_or_tail(rows: DataFrame, n_ent: int, seed: str) -> DataFrame:
@@ -96,9 +107,14 @@ def changed(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("moved", F.when(moved == "", F.lit("NONE")).otherwise(moved))
 
 
-def batches(rows: DataFrame, size: int, seed: str) -> DataFrame:
-    """rows with batch_id: a drawn order cut into batches of the size, the rest last."""
+def iterations(n: int, size: int) -> int:
+    """How many batches of the size n rows make."""
+    return -(-n // size)
+
+
+def batches(rows: DataFrame, size: int, seed: str, epoch: int | str = "epoch") -> DataFrame:
+    """rows with batch_id: an order drawn for the epoch, cut into batches of the size, the rest last."""
     from tripleguard.operators.vocabulary import dense_ids
 
-    ordered = rows.withColumn("_w", F.struct(draw(seed, "epoch", F.col("pos")), "pos"))
+    ordered = rows.withColumn("_w", F.struct(draw(seed, epoch, F.col("pos")), "pos"))
     return dense_ids(ordered, "_w").withColumn("batch_id", F.floor(F.col("id") / size)).drop("_w", "id")

@@ -117,6 +117,25 @@ def paired_batches(pairs: DataFrame, triples: DataFrame, k: int, size: int, seed
     return around.select(F.floor(F.col("pos") / 2).alias("pos"), y, "slot", "h", "r", "t").join(placed, "pos").select("batch_id", "pos", "y", "slot", "h", "r", "t")
 
 
+def pairs_with_replacement(pairs: DataFrame, n: int, seed: str, epoch: int = 0) -> DataFrame:
+    """slot (0 to n-1) and the columns of pairs: n draws with replacement, by place in the order of pos, so that how often a pair comes doesn't depend on partitions."""
+    numbered = materialised(dense_ids(pairs, "pos"))
+    size = numbered.count()
+    picks = pairs.sparkSession.range(n if size else 0).select(F.col("id").alias("slot"), draw_below(max(size, 1), seed, "pick", epoch, F.col("id")).alias("id"))
+    return picks.join(numbered, "id").drop("id")
+
+
+def embedded_batches(batch: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """batch_id, n and tensor: the vectors of head, relation and tail of a batch's rows, one behind the other in the order of pos and slot.
+
+    batch: batch_id, pos, slot, h, r, t; entities, relations: id, vector. A batch is one row, bounded by its size times the neighbourhood.
+    """
+    named = lambda v, c: v.select(F.col("id").alias(c), F.col("vector").alias(f"v{c}"))
+    found = batch.join(named(relations, "r"), "r").join(named(entities, "h"), "h").join(named(entities, "t"), "t")
+    rows = found.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "slot", F.concat("vh", "vr", "vt").alias("v")))).alias("rows"))
+    return rows.select("batch_id", F.size("rows").cast("long").alias("n"), F.flatten(F.transform("rows", lambda x: x["v"])).alias("tensor"))
+
+
 def type_pool(pairs: DataFrame, triples: DataFrame, end: str) -> DataFrame:
     """Pairs (r, end) that occur: the entities that a relation has been seen with on that end."""
     return pairs.join(triples.select("r", end).distinct(), ["r", end], "left_semi")

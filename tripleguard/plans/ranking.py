@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripleguard.operators.scan import first_rows
 from tripleguard.operators.vocabulary import running_sums
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """rk (from 1), id, score, label of the k largest scores; ties go to the smaller id."""
-    best = scores.orderBy(F.desc("score"), "id").limit(k)
-    return running_sums(best.withColumn("_one", F.lit(1).cast("bigint")), [F.desc("score"), F.col("id")], {"rk": "_one"}).select("rk", *best.columns)
+    best = first_rows(scores, [(F.col("score"), True), (F.col("id"), False)], k)
+    ranked = running_sums(best.withColumn("_one", F.lit(1).cast("bigint")), [F.desc("score"), F.col("id")], {"rk": "_one"})
+    return ranked.where(F.col("rk") <= k).select("rk", *best.columns)
 
 
 def discovered(ranked: DataFrame, n_anomalies: int) -> DataFrame:

@@ -78,8 +78,11 @@ def evaluate(spark: SparkSession, config: Config, generate: Callable[[DataFrame]
     total = rows.count()
     wanted = int(config.anomaly_ratio * total + 1e-9)
     planted = materialised(negatives.anomalies(spark, config.test_anomaly_source, wanted, rows, entities, relations, str(config.seed), config.data, generate, config.anomaly_file))
-    behind = (F.lit(len(triples.SPLITS) * triples.FILE_STEP) + F.monotonically_increasing_id()).alias("pos")
-    labelled = rows.withColumn("label", F.lit(0)).unionByName(planted.select(behind, "h", "r", "t", F.lit(1).alias("label")))
+    # numbered by value, so that a frozen set gets the same positions, and with them the same neighbours, in every run
+    copies = planted.groupBy("h", "r", "t").agg(F.count(F.lit(1)).alias("n")).select("h", "r", "t", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    behind = (F.lit(len(triples.SPLITS) * triples.FILE_STEP) + F.col("id")).alias("pos")
+    numbered = vocabulary.dense_ids(copies.withColumn("_by", F.struct("h", "r", "t", "copy")), "_by")
+    labelled = rows.withColumn("label", F.lit(0)).unionByName(numbered.select(behind, "h", "r", "t", F.lit(1).alias("label")))
     weights = encoder.load_weights(spark, config.weights) if config.weights else encoder.initial_weights(config.dim, config.hidden, config.seed)
     here = f"{config.output}/{config.label}"
     records.write_scores(scores(materialised(labelled), rows, entities, relations, config, weights), f"{here}_scores")

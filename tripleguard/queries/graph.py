@@ -39,24 +39,24 @@ SAMPLE = f"{ENC}, src as (select * from enc order by {_d(chr(39) + '7' + chr(39)
 def _slot(rows: str, slots: tuple[str, ...] = ("h", "r", "t"), p: str = "") -> str:
     """CTEs that end in cs (its name, like those of all, behind p): pos, slot, h, r, t."""
     names = "[" + ", ".join(f"'{s}'" for s in slots) + "]"
+    put = lambda c: f"case when k is not null then case when slot = '{c}' then k + c else {c} end end as {c}"
     return f"""{p}ch as (select pos, h, r, t, {names}[1 + {_d("'7'", "'slot'", "pos")} % {len(slots)}] as slot from {rows}),
-{p}tr as (select pos, slot, h, r, t, unnest(range(0, 16)) as i from {p}ch where slot <> 'r'),
-{p}ca as (select pos, i, case when slot = 'h' then {_d("'7'", "'ent'", "pos", "i")} % e else h end as h, r, case when slot = 't' then {_d("'7'", "'ent'", "pos", "i")} % e else t end as t from {p}tr, n
-    union all select pos, {_d("'7'", "'rel'", "pos", "x.id")}, h, x.id, t from {p}ch, rels x where slot = 'r'),
-{p}fr as (select * from {p}ca anti join facts using (h, r, t)), {p}f1 as (select pos, arg_min((h, r, t), (i, h, r, t)) as c from {p}fr group by pos),
-{p}lo as (select ch.* from {p}ch ch anti join {p}f1 using (pos) where slot <> 'r'),
-{p}every as (select pos, {_d("'7'", "'rest'", "pos", "x.id")} as i, case when slot = 'h' then x.id else h end as h, r, case when slot = 't' then x.id else t end as t from {p}lo, ents x),
-{p}fi as (select * from {p}f1 union all select pos, arg_min((h, r, t), (i, h, r, t)) from (select * from {p}every anti join facts using (h, r, t)) group by pos),
-{p}cs as (select ch.pos, slot, c[1] as h, c[2] as r, c[3] as t from {p}ch ch left join {p}fi using (pos))"""
+{p}ky as (select *, case slot when 'h' then r else h end as a, case slot when 't' then r else t end as b from {p}ch),
+{p}tk as (select 'h' as slot, r as a, t as b, h as u from facts union all select 'r', h, t, r from facts union all select 't', h, r, t from facts),
+{p}nu as (select slot, a, b, u - row_number() over (partition by slot, a, b order by u) + 1 as below from {p}tk), {p}ct as (select slot, a, b, count(*) as held from {p}tk group by all),
+{p}fr as (select {p}ky.*, case slot when 'r' then q else e end - coalesce(held, 0) as free from n, {p}ky left join {p}ct using (slot, a, b)),
+{p}ak as (select *, case when free > 0 then {_d("'7'", "'free'", "pos")} % free end as k from {p}fr),
+{p}gp as (select x.pos, count(below) as c from {p}ak x left join {p}nu y on x.slot = y.slot and x.a = y.a and x.b = y.b and below <= k group by x.pos),
+{p}cs as (select pos, slot, {put('h')}, {put('r')}, {put('t')} from {p}ak join {p}gp using (pos))"""
 
 
 def _full(n: str) -> str:
     """CTEs that end in cf: pos, h, r, t."""
-    part = lambda what, size: f"""{_d("'7'", f"'{what}'", "pos", "i")} % {size} as {what}"""
-    return f"""ft as (select pos, unnest(range(0, 16)) as i from (select unnest(range(0, {n})) as pos from n)),
-fc as (select pos, i, {part('h', 'e')}, {part('r', 'q')}, {part('t', 'e')} from ft, n),
-ff as (select * from fc anti join facts using (h, r, t)), cf0 as (select pos, arg_min((h, r, t), (i, h, r, t)) as c from ff group by pos),
-cf as (select pos, c[1] as h, c[2] as r, c[3] as t from cf0)"""
+    digit = lambda i: f"""({_d("'7'", f"'free{i}'", "pos")})::hugeint"""
+    return f"""fu as (select (h::hugeint * q + r) * e + t as u from facts, n), fn as (select u - row_number() over (order by u) + 1 as below from fu),
+fk as (select pos, ({digit(0)} * 18446744073709551616 + {digit(1)} * 4294967296 + {digit(2)}) % (e::hugeint * q * e - (select count(*) from facts)) as k from (select unnest(range(0, {n})) as pos from n), n),
+fc as (select pos, k + count(below) as u from fk left join fn on below <= k group by pos, k),
+cf as (select pos, (u // (q::hugeint * e))::bigint as h, (u // e % q)::bigint as r, (u % e)::bigint as t from fc, n)"""
 
 
 class Graph:
@@ -75,7 +75,7 @@ class Graph:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return vocabulary.encode(self.kg, self.entities, self.relations)
+        return materialised(vocabulary.encode(self.kg, self.entities, self.relations))
 
     @property
     def facts(self) -> DataFrame:
@@ -360,6 +360,80 @@ def generator_statistics(g):
     return negatives.statistics(_pairs(g), g.rows)
 
 
+def _pool_pairs(rows: str) -> str:
+    """CTEs that end in tp: pos, slot, h, r, t."""
+    return f"""al as (select h, r, t from facts union select h, r, t from {rows}),
+pl as (select *, row_number() over (partition by side, r order by e) - 1 as rank from (select distinct 'h' as side, r, h as e from facts union all select distinct 't', r, t from facts)),
+sz as (select side, r, count(*) as size from pl group by all),
+hd as (select pl.side, pl.r, al.t as other, rank as u from al join pl on side = 'h' and pl.r = al.r and e = al.h union all select pl.side, pl.r, al.h, rank from al join pl on side = 't' and pl.r = al.r and e = al.t),
+hc as (select side, r, other, count(*) as gone from hd group by all), gaps as (select side, r, other, u - row_number() over (partition by side, r, other order by u) + 1 as below from hd),
+fe as (select x.*, coalesce(a.size, 0) - coalesce(b.gone, 0) as fh, coalesce(c.size, 0) - coalesce(d.gone, 0) as ft from {rows} x left join sz a on a.side = 'h' and a.r = x.r left join hc b on b.side = 'h' and b.r = x.r and b.other = x.t
+    left join sz c on c.side = 't' and c.r = x.r left join hc d on d.side = 't' and d.r = x.r and d.other = x.h),
+dw as (select *, {_d("'7'", "'corruptible'", "pos")} % (fh + ft) as x from fe where fh + ft > 0),
+kk as (select pos, r, case when x < fh then 'h' else 't' end as side, case when x < fh then t else h end as other, case when x < fh then x else x - fh end as k from dw),
+rk as (select kk.pos, kk.side, kk.r, kk.k + count(below) as rank from kk left join gaps g on g.side = kk.side and g.r = kk.r and g.other = kk.other and below <= kk.k group by kk.pos, kk.side, kk.r, kk.k),
+tp as (select y.pos, rk.side as slot, case rk.side when 'h' then e when 't' then y.h end as h, case when rk.side is not null then y.r end as r, case rk.side when 't' then e when 'h' then y.t end as t
+    from {rows} y left join rk on rk.pos = y.pos left join pl on pl.side = rk.side and pl.r = rk.r and pl.rank = rk.rank)"""
+
+
+@query(f"with {ENC}, {_pool_pairs('enc')} select * from tp")
+def type_pool_negatives(g):
+    """A negative of every triple within the pools of its relation."""
+    return negatives.type_pool_negatives(g.rows, g.facts, SEED)
+
+
+@query(f"""with {ENC}, {_pool_pairs('enc')}, ps as (select enc.*, tp.h as h2, tp.r as r2, tp.t as t2 from enc join tp using (pos))
+select count(*) as processed, count_if(h2 is null) as missing, count_if((h, r, t) = (h2, r2, t2)) as used_original, count_if(exists (from enc where enc.r = r2 and enc.h = h2) and exists (from enc where enc.r = r2 and enc.t = t2)) as type_valid,
+count_if(h <> h2 and t = t2) as moved_head, count_if(h = h2 and t <> t2) as moved_tail from ps""")
+def type_pool_statistics(g):
+    made = type_pool_negatives(g).select("pos", F.col("h").alias("h2"), F.col("r").alias("r2"), F.col("t").alias("t2"))
+    return negatives.statistics(materialised(g.rows.join(made, "pos")), g.rows)
+
+
+@query(f"""with {ENC}, w as (select floor(0.05 * m + 1e-9)::bigint as k from n), src as (select * from enc order by {_d("'7'", "'sample'", "pos")}, pos limit (select floor(1.5 * k)::bigint + 1 from w)), {_pool_pairs('src')},
+an as (select tp.h, tp.r, tp.t from tp where tp.h is not null order by {_d("'7'", "'sample'", "pos")}, pos limit (select k from w)) select h, r, t, count(*) as n from an group by all""")
+def type_pool_anomalies(g):
+    """Test anomalies from the generator that stands behind the source of that name."""
+    wanted = int(RATIO * g.rows.count() + 1e-9)
+    made = negatives.anomalies(g.rows.sparkSession, "generator", wanted, g.rows, g.entities, g.relations, SEED)
+    return made.groupBy("h", "r", "t").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {PAIRS}, f as (select * from pairs order by pos limit 20), nm as (select f.*, concat_ws(', ', a.name, b.name, c.name) as positive, concat_ws(', ', x.name, y.name, z.name) as negative from f join ents a on a.id = h join rels b on b.id = r join ents c on c.id = t
+    left join ents x on x.id = h2 left join rels y on y.id = r2 left join ents z on z.id = t2)
+select pos, positive, nullif(negative, '') as negative, coalesce(nullif(concat_ws(',', case when h is distinct from h2 then 'head' end, case when r is distinct from r2 then 'relation' end, case when t is distinct from t2 then 'tail' end), ''), 'NONE') as moved from nm""")
+def pair_preview(g):
+    """The first twenty pairs, as names."""
+    return negatives.preview(_pairs(g), g.entities, g.relations)
+
+
+@query(f"""with {PAIRS}, num as (select *, row_number() over (order by pos) - 1 as id from pairs), p as (select unnest(range(0, (select count(*) from enc))) as slot)
+select slot, pos, h, r, t, h2, r2, t2 from (select slot, {_d("'7'", "'pick'", "0", "slot")} % (select count(*) from pairs) as id from p) join num using (id)""")
+def pairs_with_replacement(g):
+    """As many draws of a pair, with replacement, as there are triples."""
+    return graph.pairs_with_replacement(_pairs(g), g.rows.count(), SEED)
+
+
+@query(f"""with {NBR}, src as (select * from enc order by {_d("'7'", "'sample'", "pos")}, pos limit (select floor(0.05 * m + 1e-9)::bigint from n)), ba as (select pos, (row_number() over (order by pos) - 1) // {BATCH} as batch_id from src),
+ex as ({_half('h', 0, f'degree > {K}', 'src')} union all {_half('t', 1, f'degree >= {K}', 'src')}), v as (select vec_id as id, embedding::double[] as vector from embeddings), c as (select count(*) as n from v),
+fl as (select batch_id, ex.pos, ex.slot, list_concat(list_concat(a.vector, b.vector), d.vector) as w from ex join ba using (pos), c join v a on a.id = ex.h % c.n join v b on b.id = ex.r join v d on d.id = ex.t % c.n),
+nu as (select batch_id, unnest(w) as x, (row_number() over (partition by batch_id order by pos, slot) - 1) * 192 + unnest(range(1, 193)) as place from fl)
+select batch_id, count(*) // 192 as n, count(*) as size, round(sum(x), 3) as total, round(sum(x * (place % 1009)), 2) as weighted from nu group by batch_id""")
+def embedded_batches(g, spark, d):
+    """Sampled triples with their neighbourhoods as flat tensors, checked by sums over values and places."""
+    e = materialised(spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector")))
+    n = e.count()
+    of_entity = g.entities.select("id", (F.col("id") % n).alias("v")).join(e.withColumnRenamed("id", "v"), "v").select("id", "vector")
+    rows = materialised(g.sample)
+    batches = graph.expanded_batches(rows.withColumn("label", F.lit(0)), g.rows, K, BATCH, SEED)
+    whole = graph.embedded_batches(batches, of_entity, e)
+    total = lambda f: F.aggregate(F.transform("tensor", f), F.lit(0.0), lambda a, x: a + x)
+    return whole.select("batch_id", "n", F.size("tensor").cast("long").alias("size"), F.round(total(lambda x: x), 3).alias("total"), F.round(total(lambda x, i: x * ((i + 1) % 1009)), 2).alias("weighted"))
+
+
+QUERIES["embedded_batches"] = lambda s, d: embedded_batches(Graph(s, d), s, d)
+
+
 @query(f"with {VOC}, other as (select name, row_number() over (order by name) + 999 as id from ents) select ents.name, ents.id as e, other.id as e_other from ents join other using (name)")
 def vocab_bridge(g):
     other = vocabulary.dense_ids(g.entities.select("name", F.col("name").alias("o")), "o").select("name", (F.col("id") + 1000).alias("id"))

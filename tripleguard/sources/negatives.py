@@ -8,23 +8,59 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleguard.functions.draws import draw
+from tripleguard.functions.draws import draw, draw_below
 from tripleguard.operators import corrupt
-from tripleguard.operators.vocabulary import encode
+from tripleguard.operators.scan import first_rows, nth_free, running_in_groups, union
+from tripleguard.operators.vocabulary import decode, encode
+from tripleguard.session import materialised
 from tripleguard.sources.triples import frozen_or, read_lines, split_triples
 
 # The files of a verified pool.
 POOL_FILES = ("valid_negatives.txt", "test_negatives.txt")
 
 
-def read_pool(spark: SparkSession, folder: str, entities: DataFrame, relations: DataFrame, seed: str) -> DataFrame:
-    """pos, h, r, t of all verified negatives, in a drawn order. A missing file, a bad line and an unknown name are errors."""
+def read_pool(spark: SparkSession, folder: str, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """pos, h, r, t of all verified negatives. A missing file, a bad line and an unknown name are errors."""
     parts = [split_triples(read_lines(spark, f"{folder}/{name}")).select(F.lit(i).alias("file"), "at", "h", "r", "t") for i, name in enumerate(POOL_FILES)]
     named = reduce(DataFrame.unionByName, parts)
     encoded = encode(named, entities, relations)
     if named.count() != encoded.count():
         raise ValueError(f"the pool in {folder} has bad lines, or names that the vocabulary lacks")
-    return encoded.select((F.col("at") + F.col("file").cast("bigint") * F.lit(1 << 60)).alias("pos"), "h", "r", "t").orderBy(draw(seed, "pool", F.col("pos")), "pos")
+    return encoded.select((F.col("at") + F.col("file").cast("bigint") * F.lit(1 << 60)).alias("pos"), "h", "r", "t")
+
+
+def type_pool_negatives(rows: DataFrame, known: DataFrame, seed: str) -> DataFrame:
+    """pos, slot, h, r, t of each row with its head or its tail replaced by an entity that its relation has been seen with there.
+
+    Masks: the new triple is no known fact and none of the rows, so it is never the row itself. How corruptible a slot is, is how many
+    entities its pool has left; one draw below the sum of both chooses slot and rank, so every allowed triple is as likely. The rank is
+    looked up among the gaps in the pool's numbering. Rows that have nothing left stay, with null slot, h, r and t.
+    """
+    one, side = F.lit(1).cast("long"), ["side", "r"]
+    ends = lambda t, other: [t.select(F.lit(c).alias("side"), "r", *([F.col(o).alias("other")] if other else []), F.col(c).alias("e")) for c, o in (("h", "t"), ("t", "h"))]
+    seen = union(ends(known, False)).distinct().withColumn("_one", one)
+    pool = materialised(running_in_groups(seen, side, ["e"], "_one", "rank").select(*side, "e", (F.col("rank") - 1).alias("rank")))
+    masked = union([known.select("h", "r", "t"), rows.select("h", "r", "t")]).distinct()
+    held = materialised(union(ends(masked, True)).join(pool, [*side, "e"]).select(*side, "other", F.col("rank").alias("u")))
+    sizes, taken = pool.groupBy(*side).agg(F.count(one).alias("size")), held.groupBy(*side, "other").agg(F.count(one).alias("taken"))
+
+    def left(of: DataFrame, c: str, o: str) -> DataFrame:
+        size = sizes.where(F.col("side") == c).select("r", "size")
+        gone = taken.where(F.col("side") == c).select("r", F.col("other").alias(o), "taken")
+        free = F.coalesce("size", F.lit(0)) - F.coalesce("taken", F.lit(0))
+        return of.join(size, "r", "left").join(gone, ["r", o], "left").withColumn(f"free_{c}", free).drop("size", "taken")
+
+    counted = left(left(rows.select("pos", "h", "r", "t"), "h", "t"), "t", "h")
+    total = F.col("free_h") + F.col("free_t")
+    drawn = materialised(counted.withColumn("x", F.when(total > 0, draw_below(total, seed, "corruptible", F.col("pos")))))
+    head = F.col("x") < F.col("free_h")
+    asks = drawn.where("x is not null").select(
+        "pos", F.when(head, "h").otherwise("t").alias("side"), "r", F.when(head, F.col("t")).otherwise(F.col("h")).alias("other"), F.when(head, F.col("x")).otherwise(F.col("x") - F.col("free_h")).alias("k")
+    )
+    ranked = nth_free(asks, held, [*side, "other"]).withColumnRenamed("free", "rank").join(asks.select("pos", *side), "pos")
+    found = ranked.join(pool, [*side, "rank"]).select("pos", F.col("side").alias("slot"), "e")
+    put = lambda c: F.when(F.col("slot") == c, F.col("e")).when(F.col("slot").isNotNull(), F.col(c)).alias(c)
+    return drawn.join(found, "pos", "left").select("pos", "slot", put("h"), F.when(F.col("slot").isNotNull(), F.col("r")).alias("r"), put("t"))
 
 
 def oversampled(rows: DataFrame, n: int, generate: Callable[[DataFrame], DataFrame], seed: str) -> DataFrame:
@@ -35,20 +71,21 @@ def oversampled(rows: DataFrame, n: int, generate: Callable[[DataFrame], DataFra
     sources = corrupt.sample(rows, int(1.5 * n) + 1, seed).select("pos", "h", "r", "t")
     made = generate(sources).select("pos", *(F.col(c).alias(f"{c}2") for c in "hrt")).where("h2 is not null and r2 is not null and t2 is not null")
     genuine = corrupt.changed(sources.join(made, "pos")).where("moved != 'NONE'")
-    return genuine.orderBy(draw(seed, "sample", F.col("pos")), "pos").limit(n).select("pos", *(F.col(f"{c}2").alias(c) for c in "hrt"))
+    return corrupt.sample(materialised(genuine), n, seed).select("pos", *(F.col(f"{c}2").alias(c) for c in "hrt"))
 
 
 def anomalies(spark: SparkSession, source: str, n: int, rows: DataFrame, entities: DataFrame, relations: DataFrame, seed: str, folder: str | None = None, generate: Callable[[DataFrame], DataFrame] | None = None, frozen: str | None = None) -> DataFrame:
-    """h, r, t of n anomalies from the source random, pool (folder) or generator (generate); count what comes, as it may be fewer.
+    """h, r, t of n anomalies from the source random, pool (folder) or generator (generate, or else type_pool_negatives); count what comes, as it may be fewer.
 
     frozen: a path that wins over the source where it exists, and is written where it doesn't.
     """
 
     def make() -> DataFrame:
         if source == "pool":
-            return read_pool(spark, folder or "", entities, relations, seed).limit(n)
-        if source == "generator" and generate is not None:
-            return oversampled(rows, n, generate, seed)
+            pool = read_pool(spark, folder or "", entities, relations)
+            return first_rows(pool, [(draw(seed, "pool", F.col("pos")), False), (F.col("pos"), False)], n)
+        if source == "generator":
+            return oversampled(rows, n, generate or (lambda sources: type_pool_negatives(sources, rows, seed)), seed)
         if source == "random":
             known, sizes = rows.select("h", "r", "t").distinct(), (entities.count(), relations.count())
             one = corrupt.single_slot(corrupt.sample(rows, n // 2, seed), known, *sizes, seed).where("h is not null")
@@ -59,6 +96,18 @@ def anomalies(spark: SparkSession, source: str, n: int, rows: DataFrame, entitie
     return made().select("h", "r", "t")
 
 
+def preview(pairs: DataFrame, entities: DataFrame, relations: DataFrame, limit: int = 20) -> DataFrame:
+    """pos, positive, negative (as names) and moved of the first pairs (pos, h, r, t and h2, r2, t2) by pos."""
+    first = corrupt.changed(materialised(pairs.orderBy("pos").limit(limit)))
+
+    def named(columns: list[str], name: str) -> DataFrame:
+        ids = first.select("pos", *(F.col(c).alias(x) for c, x in zip(columns, "hrt")))
+        return decode(ids, entities, relations).select("pos", F.concat_ws(", ", "h", "r", "t").alias(name))
+
+    both = named(["h", "r", "t"], "positive").join(named(["h2", "r2", "t2"], "negative"), "pos", "left")
+    return both.join(first.select("pos", "moved"), "pos").select("pos", "positive", "negative", "moved")
+
+
 def statistics(pairs: DataFrame, triples: DataFrame) -> DataFrame:
     """One row of counts over pairs (h, r, t and negatives h2, r2, t2): processed, missing, used_original, type_valid, moved_head, moved_tail.
 
