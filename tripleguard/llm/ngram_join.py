@@ -19,6 +19,7 @@ their sets are equal; null ids are linked like others, and a component that has
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -44,12 +45,13 @@ UNIT = 256
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
 _random = np.random.Generator(np.random.PCG64(2024))
-_BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]  # ASCII letters in either case
 _STEP = 0x9E3779B97F4A7C15
 _PLACE = _random.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -60,29 +62,36 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the step and of its inverse, mod 2**64."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        up, down = (np.full(size, v % (1 << 64), np.uint64) for v in (_STEP, pow(_STEP, -1, 1 << 64)))
-        up[0] = down[0] = 1
-        _POWERS[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    up, down = _POWERS[size]
-    return up[:n], down[:n]
+def word_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words text[start:end] (bytes, lower-cased, at least 8 more behind the last).
+
+    Eight bytes at a time go through the mixing, all words of that length together, so each byte's effect depends on all before it;
+    long words take a keyed digest instead.
+    """
+    eight = np.ndarray(len(text) - 7, "<u8", text.data, strides=(1,))
+    size = end - start
+    h = mixed(size.astype(np.uint64), 3)
+    at, rest = np.flatnonzero(size <= LONG_WORD), None
+    for first in range(0, LONG_WORD, 8):
+        rest = size[at] - first
+        at, rest = at[rest > 0], rest[rest > 0]
+        if not len(at):
+            break
+        unused = np.uint64(8) * np.maximum(8 - rest, 0).astype(np.uint64)
+        h[at] = mixed(h[at] ^ mixed(eight[start[at] + first] << unused, 4), 2)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(text[start[i] : end[i]].data, digest_size=8, key=b"word").digest(), "little")
+    return h
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes (uint64) of each text."""
     raw = [t.encode() if t else b"" for t in texts]
-    b = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
+    b = _LOWER[np.frombuffer(b" " + b" ".join(raw) + b" " * 9, np.uint8)]
     first = np.cumsum([1, *(len(r) + 1 for r in raw)])
-    up, down = _powers(len(b))
     sep = _SEPARATOR[b]
     start, end = np.flatnonzero(sep[:-1] & ~sep[1:]) + 1, np.flatnonzero(~sep[:-1] & sep[1:]) + 1
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * up, out=sums[1:])
-    word = mixed((sums[end] - sums[start]) * down[start])
+    word = word_hashes(b, start, end)
     bounds = np.searchsorted(start, first)
     out = []
     whole = np.zeros(max(0, len(word) - words + 1), np.uint64)
