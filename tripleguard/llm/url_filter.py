@@ -53,8 +53,11 @@ def filter_urls(
     n_blocks = blocks_for(n_keys)
     blocks = filter_table(rules, "key", n_blocks)
     lengths = F.array(*(F.lit(r[0]) for r in rules.select("path_length").distinct().collect()) or [F.lit(0)])
+    # a longer suffix than the longest listed host can't be listed, so a host of very many labels costs no more
+    most = rules.agg(F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\."))).alias("n")).first()["n"] or 0
     split = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    labels = F.split("host", r"\.")
+    labels = F.slice(F.split("host", r"\."), -max(most, 1), max(most, 1))
+    labels = F.when(F.size(F.split("host", r"\.")) > max(most, 1), labels).otherwise(F.split("host", r"\."))
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
