@@ -15,20 +15,21 @@ text is `und`; rows repeat as they come; further columns may have any name.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMENSIONS = 8192
 #: Classes of length; a text is rejected below MARGIN times the cosine that all but QUANTILE of the pieces of its class reach.
 CLASSES, MARGIN, QUANTILE = 24, 0.8, 0.005
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Marks (vowel signs, accents) belong to the letters that they stand on.
+NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 UNKNOWN = "und"
 
 
