@@ -1,0 +1,211 @@
+"""Hostile and odd input of the text operators: pages that are no markup, constructed words, near ties, long hosts, marks on letters, licence texts."""
+
+import hashlib
+import random
+import time
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tripleguard.llm import html_extract, language_id, license_scan, multi_index, ngram_join, url_filter
+
+
+@pytest.mark.parametrize(
+    "html, lines",
+    [
+        ("<p>a</p><![ x]>b", ["a", "b"]), ("<![foo[x]]>q", ["q"]), ("<!DOCTYPE html><?xml x?>q", ["q"]), ("x<!-- open", ["x"]), ("x<!-->y<!--->z", ["xyz"]),
+        ("a < b &amp; c<br>d &lt;p&gt; &unknown; &#x41;", ["a < b & c d <p> &unknown; A"]), ("<p title=\"a>b\" x='>' y=z>t</ p>u</3>v", ["tuv"]), ("<a href=\"open>text", ["text"]),
+        ('<script>var a="</p><!--";</script>ok<style>a', ["ok"]), ("<p>one<p>two</i></b>three", ["one", "twothree"]), ("<a", []), ("</", []), ("<>", ["<>"]),
+        ("<td><b>x</td></b>y", ["x", "y"]), ("<SCRIPT>x</sCRIPT >y", ["y"]), ("\x00a\x00", ["\x00a\x00"]),
+    ],
+)
+def test_markup_of_any_kind_is_read(html, lines):
+    assert html_extract.page_lines(html)[0] == lines
+
+
+def test_classes_are_judged_by_whole_names():
+    kept = ["social-history", "share-price", "ad-free", "comment-on-law", "notice-of-award", "widget-theory", "related-work", "navigator", "adventure", "headings", "cookie-recipes"]
+    gone = ["ad", "ads", "ad-banner", "cookie-notice", "cookieNotice", "commentlist", "responses", "author-box", "tags", "related-posts", "site-footer", "sidebar-left", "widget_area", "social-share", "nav2"]
+    page = "<article>" + "".join(f"<section class='x {c}'>{c}</section>" for c in kept + gone) + "</article>"
+    assert html_extract.page_lines(page)[0] == kept
+
+
+@pytest.mark.parametrize("piece", ["<b>", "</i>", "<a ", "<", "<!", "</", "<a href='", "<script>", "&", "<p class=", "<body>", "<ul><li>", "<td></b>", "<!--", "<i><article><b></i>", "=\"'", "&amp"])
+def test_a_megabyte_of_anything_takes_seconds(piece):
+    began = time.time()
+    html_extract.page_lines(piece * (1_000_000 // len(piece)))
+    html_extract.page_lines("<b>" * 150_000 + piece * (500_000 // len(piece)))
+    assert time.time() - began < 12
+
+
+def plain_extract(pages):
+    """Nearest page by path (the earlier one of two) on each host among distinct line lists, and lines outside a longest common subsequence."""
+    found, hosts = {}, {}
+    for page_id, url, html in pages:
+        rest = url.split("://", 1)[1]
+        host, _, path = rest.partition("/")
+        lines = tuple(html_extract.page_lines(html)[0])
+        hosts.setdefault(host, {}).setdefault(lines, []).append(f"/{path}")
+        found[page_id] = host, lines
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)) if a != b else 1 << 40)
+    lcs = lambda a, b: [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    mates = {}
+    for host, of in hosts.items():
+        order = sorted((min(paths), hashlib.md5("\n".join(lines).encode()).hexdigest(), lines) for lines, paths in of.items())
+        for i, (path, _, lines) in enumerate(order):
+            near = [(shared(path, order[j][0]), -k, order[j][2]) for k, j in enumerate((i - 1, i + 1)) if 0 <= j < len(order)]
+            mates[host, lines] = max(near)[2] if near else None
+    out = {}
+    for page_id, (host, lines) in found.items():
+        mate = mates[host, lines]
+        if mate is None:
+            out[page_id] = len(lines), set(lines)
+            continue
+        t = lcs(lines, mate)
+        for i in range(len(lines)):
+            for j in range(len(mate)):
+                t[i + 1][j + 1] = t[i][j] + 1 if lines[i] == mate[j] else max(t[i][j + 1], t[i + 1][j])
+        out[page_id] = len(lines) - t[-1][-1], set(lines)
+    return out
+
+
+def test_differencing_of_plain_pages_equals_brute_force(spark):
+    rng = random.Random(5)
+    pages = []
+    for i in range(200):
+        host = rng.randrange(6)
+        body = [f"Menu {host}", f"Top {host}", *(f"text {rng.randrange(40)}" for _ in range(rng.randrange(1, 6))), f"Foot {host}"]
+        if rng.random() < 0.1 and pages:
+            body = None
+        html = pages[-1][2] if body is None else "".join(f"<div>{x}</div>" for x in body)
+        pages.append((i, f"https://h{host}.net/{rng.choice('abc')}/{rng.choice('de')}/{rng.randrange(50)}", html))
+    want = plain_extract(pages)
+    got = html_extract.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()
+    assert len(got) == 200
+    for r in got:
+        n, lines = want[r["page_id"]]
+        mine = r["text"].split("\n") if r["text"] else []
+        assert len(mine) == n and set(mine) <= lines, r["page_id"]
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_constructed_words_do_not_collide(spark):
+    x = thue_morse(1024)
+    y = x.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, x), (2, y), (3, x.upper()), (4, y * 3), (5, x * 3)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.components(docs).collect()) == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 5)]
+
+
+def test_words_of_all_lengths_have_names_of_their_own():
+    rng = random.Random(1)
+    words = {"".join(rng.choices("abÿ😀.", k=n)) for n in list(range(1, 150)) * 6} | {"w" * n for n in range(1, 200)}
+    texts = sorted(words)
+    one = [int(s[0]) for s in ngram_join.shingle_sets(texts)]
+    assert len(set(one)) == len(texts)
+    assert one == [int(ngram_join.shingle_sets([f"\t{t.upper() if t.isascii() else t} "])[0][0]) for t in texts]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6, 1e12])
+def test_near_ties_of_vectors_of_any_length(spark, scale):
+    """Scores apart by a few roundings: the exact double-precision order decides."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    x = np.array([base * (1 + rng.integers(-40, 40) * 2.0**-52) for _ in range(300)]) * scale
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = multi_index.search(rows, F.col("vec_id") == 7, share=1.0)
+    exact = (x[7][None, :] * x).sum(axis=1)
+    want = sorted((i for i in range(300) if i != 7), key=lambda i: (-exact[i], i))[:20]
+    assert [r["vec_id"] for r in got.orderBy("rank").collect()] == want
+
+
+def test_repeated_ids_and_odd_lengths_of_vectors(spark):
+    """Rows of one id are entries of their own, but ask once, with the smallest of their vectors."""
+    rows = [(i % 40, [float(i % 7), float(i % 5) - 2, 1.0]) for i in range(80)] + [(100, [1.0]), (101, [1.0, 2.0, 3.0, 4.0])]
+    got = multi_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, share=1.0).orderBy("rank").collect()
+    q = min(v for i, v in rows if i == 0)
+    want = sorted(((-sum(a * b for a, b in zip(q, v)), i) for i, v in rows[:80] if i != 0))[:20]
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
+def test_a_host_of_many_labels_is_judged_in_time(spark):
+    rules = url_filter.listed(spark, [("block", "b.net", "/"), ("allow", "x.y.b.net", "/ok/")])
+    pages = spark.createDataFrame([(1, "http://" + "l." * 50_000 + "x.y.b.net/ok/1"), (2, "http://" + "." * 50_000), (3, "http://b.net")], "page_id long, url string")
+    began = time.time()
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got == {1: ("x.y.b.net/ok/", "allow"), 2: (None, "allow"), 3: (None, "allow")} and time.time() - began < 30
+
+
+def test_marks_stay_with_their_letters(spark):
+    assert language_id.NOT_LETTERS.sub(" ", "हिन्दी भाषा 12, ภาษาไทย ก็") == "हिन्दी भाषा ภาษาไทย ก็"
+    assert language_id.counts_of("́̂ 12") is None
+    hindi, marathi = "यह एक हिन्दी वाक्य है और इसमें शब्द हैं ", "हे एक मराठी वाक्य आहे आणि त्यात शब्द आहेत "
+    rows = [(i, (hindi if i % 2 else marathi) * (1 + i % 5), "hi" if i % 2 else "mr") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs.where("doc_id < 40"))
+    said = language_id.identify(docs.where("doc_id >= 40"), model).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in said)
+
+
+def plain_cosine(text, model):
+    """Nearest centroid by plain Python over n-gram counts."""
+    counts = language_id.counts_of(text)
+    v = [np.log1p(float(c)) * w for c, w in zip(counts, model.idf)]
+    length = sum(x * x for x in v) ** 0.5
+    scores = [sum(a * b for a, b in zip(v, c)) / length for c in model.centroids]
+    best = max(range(len(scores)), key=lambda i: (scores[i], -i))
+    return model.langs[model.of_lang[best]], min(1.0, max(0.0, scores[best]))
+
+
+def test_language_equals_a_plain_cosine(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    some = language_id.identify(docs.where("doc_id % 10 = 2").select("doc_id", "text"), model).collect()
+    assert len(some) >= 20
+    for r in some:
+        lang, score = plain_cosine(r["text"], model)
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-9)
+
+
+def test_licences_in_held_out_texts(spark):
+    """Notices in words that the templates don't use for the rest of the line; lines that share pairs of words with templates and grant nothing."""
+    rng = random.Random(9)
+    noise = ["the river was cold", "a small garden behind the house", "they met again in spring", "numbers are given below"]
+    grants = [
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and its documentation files, to deal in the Software without restriction"),
+        ("apache-2.0", "This project is licensed under the Apache License, Version 2.0."), ("gpl-3", "SPDX-License-Identifier: GPL-3.0-or-later"), ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+        ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that these conditions are met"), ("cc-by", "The work is licensed under a Creative Commons Attribution 4.0 International License."),
+        ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ]
+    denials = ["any person may enter the software laboratory", "the general public is free to use the library", "a copy of this software was lost", "subject to the terms of the treaty", "for any purpose the king liked", "all copies were burnt", "source and binary forms differ", "under the terms of the agreement it was sold"]
+    docs, truth = [], {}
+    for i in range(160):
+        lines = [rng.choice(noise) for _ in range(4)]
+        if i % 2:
+            family, line = grants[i % len(grants)]
+            lines[2], truth[i] = line, family
+        else:
+            lines[1], truth[i] = rng.choice(denials), ""
+        docs.append((i, "\n".join(lines)))
+    said = {r["doc_id"]: r["families"] for r in license_scan.license_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    right = sum(said[i] == f for i, f in truth.items() if f)
+    wrong = sum(bool(said[i]) for i, f in truth.items() if not f)
+    print("recall", right / 80, "false reports", wrong)
+    assert right >= 0.9 * 80 and wrong == 0
+
+
+def test_calibration_sets_the_limit(spark):
+    """Lines that share a little with a template take part, so the least probability isn't below what they reach."""
+    lines = ["any person obtaining this", "licensed under the counter", "free software is fun", "the general public license office", "in source and binary stars", "granted free of charge to all children of the town"]
+    docs = spark.createDataFrame([(i, "\n".join(f"{x} {i}" for x in lines)) for i in range(60)], "doc_id long, text string")
+    classifier = license_scan.train(docs)
+    held = license_scan.candidates(license_scan.grams_in_lines(docs, "doc_id", "text"))
+    said = license_scan.probabilities(held, classifier).where(F.col("family") != license_scan.UNKNOWN).agg(F.max("probability")).first()[0]
+    assert classifier.least >= license_scan.LEAST and (said is None or said < 1)
+    assert license_scan.license_report(docs).where("n_license > 0").isEmpty()

@@ -29,7 +29,7 @@ def odd(spark):
 
 
 def tables(db):
-    for t in ("documents", "pages", "benchmark", "embeddings"):
+    for t in ("documents", "pages", "benchmark", "embeddings", "conversations"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return db
 
