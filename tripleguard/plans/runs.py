@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleguard.operators import encoder, graph, vocabulary
-from tripleguard.plans import experiments, ranking
+from tripleguard.operators import corrupt, encoder, graph, vocabulary
+from tripleguard.plans import experiments, optimiser, ranking
 from tripleguard.session import materialised
 from tripleguard.sources import negatives, records, triples
 
@@ -38,6 +38,11 @@ class Config:
     mu: float = 0.001
     weight: float = 0.1
     max_epoch: int = 1
+    batch: int = 256
+    rate: float = 0.01
+    gamma: float = 0.5
+    entity_vectors: str | None = None
+    relation_vectors: str | None = None
 
     @property
     def label(self) -> str:
@@ -56,10 +61,48 @@ def from_session(spark: SparkSession, **given: str | int | float | None) -> Conf
     return Config(**{name: typed(name, text) for name, text in found.items() if text is not None} | given)
 
 
+def vectors_of(spark: SparkSession, entities: DataFrame, relations: DataFrame, config: Config) -> list[DataFrame]:
+    """id, vector of entities and of relations from the files that config names, or None where it names none."""
+    given = zip((entities, relations), (config.entity_vectors, config.relation_vectors))
+    return [triples.vectors_for(v, triples.read_vectors(spark, path)).select("id", "vector") if path else None for v, path in given]
+
+
+def training_pairs(labelled: DataFrame, rows: DataFrame, sizes: tuple[int, int], config: Config, generate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """pos, h, r, t, h2, r2, t2: one negative for each original and anomaly, from the source that config names; where it gives none, a random one."""
+    known, seed = rows.select("h", "r", "t").distinct(), str(config.seed)
+    fallback = corrupt.single_slot(labelled, known, *sizes, seed)
+    if config.neg_source == "generator":
+        made = generate(labelled) if generate else negatives.type_pool_negatives(labelled, known, seed)
+        fallback = corrupt.replaced(made.select("pos", *(F.col(c).alias(f"{c}2") for c in "hrt")), fallback)
+    elif config.neg_source != "random":
+        raise ValueError(f"unknown source of negatives: {config.neg_source}")
+    return labelled.select("pos", "h", "r", "t").join(fallback.select("pos", *(F.col(c).alias(f"{c}2") for c in "hrt")), "pos")
+
+
+def translation_scores(labelled: DataFrame, rows: DataFrame, entities: DataFrame, relations: DataFrame, config: Config, here: str, generate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """id, score, label by |h + r - t|, after max_epoch epochs of training below here (or what is left of them)."""
+    spark = labelled.sparkSession
+    given, seed = vectors_of(spark, entities, relations, config), str(config.seed)
+    start = optimiser.initial_state(entities, relations, config.dim, seed)
+    if all(given):
+        start = optimiser.given_state(*given)
+    pairs = materialised(training_pairs(labelled, rows, (entities.count(), relations.count()), config, generate))
+    dim = len(start.first()["x"])
+
+    def told(epoch: int, loss: float | None, seconds: float) -> None:
+        records.write_duration(spark, f"{here}_epoch_times", f"Epoch: {epoch}", seconds, append=True)
+        records.write_log(spark, f"{here}_log", [f"Epoch: {epoch}, loss {loss}"])
+
+    state = optimiser.train(pairs, start, f"{here}_state", config.max_epoch, dim, config.batch, seed, config.rate, config.gamma, told=told)
+    return optimiser.distances(labelled, state).join(labelled.select("pos", "label"), "pos").select(F.col("pos").alias("id"), "score", "label")
+
+
 def scores(labelled: DataFrame, rows: DataFrame, entities: DataFrame, relations: DataFrame, config: Config, weights: encoder.Weights) -> DataFrame:
     """id, score, label of labelled triples (pos, h, r, t, label) by the encoder; neighbours come from the triples of rows."""
     around = graph.triple_neighbourhood(labelled, rows, config.neighbours, str(config.seed))
-    vectors = [encoder.initial_vectors(v, config.dim, kind, str(config.seed)) for v, kind in ((entities, "ent"), (relations, "rel"))]
+    drawn = [encoder.initial_vectors(v, config.dim, kind, str(config.seed)) for v, kind in ((entities, "ent"), (relations, "rel"))]
+    given = vectors_of(labelled.sparkSession, entities, relations, config)
+    vectors = [d if g is None else g.select("id", F.col("vector").alias("va"), F.col("vector").alias("vb")) for d, g in zip(drawn, given)]
     known = reduce(DataFrame.unionByName, (t.select("h", "r", "t") for t in (rows, labelled)))
     encoded = encoder.encode_triples(known, *vectors, weights)
     found = encoder.anomaly_scores(encoder.attend(around, encoded, weights, config.alpha, config.mu, config.weight))
@@ -69,7 +112,8 @@ def scores(labelled: DataFrame, rows: DataFrame, entities: DataFrame, relations:
 def evaluate(spark: SparkSession, config: Config, generate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Runs config and returns its record (one row); a missing folder or vocabulary name stops it.
 
-    Writes below output: <label>_scores (Parquet: id, score, label), <label>_test_time, <label>_run.json. generate: see negatives.
+    The model translation is trained first; the encoder runs with given or drawn weights. Writes below output: <label>_scores (Parquet: id,
+    score, label), <label>_log, <label>_test_time, <label>_run.json, and for a trained model <label>_state and <label>_epoch_times. generate: see negatives.
     """
     began = time.time()
     read, _ = triples.read_triples(spark, config.data)
@@ -83,16 +127,32 @@ def evaluate(spark: SparkSession, config: Config, generate: Callable[[DataFrame]
     behind = (F.lit(len(triples.SPLITS) * triples.FILE_STEP) + F.col("id")).alias("pos")
     numbered = vocabulary.dense_ids(copies.withColumn("_by", F.struct("h", "r", "t", "copy")), "_by")
     labelled = rows.withColumn("label", F.lit(0)).unionByName(numbered.select(behind, "h", "r", "t", F.lit(1).alias("label")))
-    weights = encoder.load_weights(spark, config.weights) if config.weights else encoder.initial_weights(config.dim, config.hidden, config.seed)
     here = f"{config.output}/{config.label}"
-    records.write_scores(scores(materialised(labelled), rows, entities, relations, config, weights), f"{here}_scores")
+    labelled = materialised(labelled)
+    records.write_log(spark, f"{here}_log", [f"There are {total} Triples with {planted.count()} anomalies in the graph."], append=False)
+    if config.model == "translation":
+        scored = translation_scores(labelled, rows, entities, relations, config, here, generate)
+    else:
+        weights = encoder.load_weights(spark, config.weights) if config.weights else encoder.initial_weights(config.dim, config.hidden, config.seed)
+        scored = scores(labelled, rows, entities, relations, config, weights)
+    records.write_scores(scored, f"{here}_scores")
     found = records.read_scores(spark, f"{here}_scores")
     records.write_duration(spark, f"{here}_test_time", "Test", time.time() - began)
-    record = run_record(found, total, config)
+    record = materialised(run_record(found, total, config))
+    records.write_log(spark, f"{here}_log", log_lines(record.first(), config))
     records.write_records(record, f"{here}_run.json")
     return record
 
 
+def log_lines(record, config: Config) -> list[str]:
+    """The lines of the log that tell a record's figures: two a cutoff, and the areas."""
+    where = f"[{config.dataset}][{config.label}]"
+    lines = [records.areas_line(where, record["auc"], record["auprc"])] if record["auc"] is not None and record["auprc"] is not None else []
+    for name, metric in (("precision_at", "Precision"), ("recall_at", "Recall")):
+        lines += [records.metric_line(where, metric, config.anomaly_ratio, float(k), v) for k, v in sorted(record[name].items(), key=lambda e: float(e[0])) if v is not None]
+    return lines
+
+
 def run_record(found: DataFrame, total: int, config: Config) -> DataFrame:
     """The record of scores: precision and recall at five cutoffs, AUC and average precision; recall is out of the anomalies that were realised."""
     n = found.where("label = 1").count()

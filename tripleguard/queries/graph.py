@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tripleguard.functions import vectors as V
 from tripleguard.functions.draws import draw, draw_below
 from tripleguard.operators import attention, corrupt, encoder, graph, vocabulary
-from tripleguard.plans import experiments, ranking, runs, training
-from tripleguard.session import materialised
-from tripleguard.sources import negatives, records, triples
+from tripleguard.plans import experiments, ledger, optimiser, ranking, runs, training
+from tripleguard.session import materialised, scratch
+from tripleguard.sources import negatives, records, star, triples
 
 SEED, RATIO, K, BATCH = "7", 0.05, 39, 256
 #: Sizes of the encoder's vectors and states in the queries here.
@@ -62,8 +62,8 @@ cf as (select pos, (u // (q::hugeint * e))::bigint as h, (u // e % q)::bigint as
 class Graph:
     """The graph of one folder. Vocabularies are made when a query asks for ids."""
 
-    def __init__(self, spark: SparkSession, d: str) -> None:
-        self.kg = triples.events_graph(spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "props"))
+    def __init__(self, spark: SparkSession, d: str, kg: DataFrame | None = None) -> None:
+        self.kg = kg if kg is not None else triples.events_graph(spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "props"))
 
     @cached_property
     def entities(self) -> DataFrame:
@@ -290,8 +290,6 @@ def oversampled_negatives(g):
 
 @query(f"with {INJECT} select h, r, t, count(*) as n from lab where label = 1 group by all")
 def freeze_roundtrip(g, spark, d):
-    from tripleguard.session import scratch
-
     anomalies = corrupt.inject(g.rows, g.facts, *g.sizes, RATIO, SEED).where("label = 1")
     path = scratch(spark, "frozen")
     triples.freeze(anomalies, g.entities, g.relations, path)
@@ -326,6 +324,43 @@ def _pairs(g) -> DataFrame:
     return g.sample.join(negative, "pos")
 
 
+PLACES = [("e", "h", 1), ("r", "r", 1), ("e", "t", -1), ("e", "h2", 1), ("r", "r2", 1), ("e", "t2", -1)]
+VECTOR = f"""({_d("'7'", "kind", "id", "i")} / 4294967296.0::double * 2 - 1) * 6 / sqrt({DIM})"""
+GRADIENT = f"""with {PAIRS}, ids as (select 'e' as kind, id from ents union all select 'r', id from rels), vs as (select kind, id, i, {VECTOR} as x from (select *, unnest(range(0, {DIM})) as i from ids)),
+df as (select p.pos, a.i, a.x + b.x - c.x as d, e.x + f.x - g.x as d2 from pairs p join vs a on a.kind = 'e' and a.id = p.h join vs b on b.kind = 'r' and b.id = p.r and b.i = a.i join vs c on c.kind = 'e' and c.id = p.t and c.i = a.i
+    join vs e on e.kind = 'e' and e.id = p.h2 and e.i = a.i join vs f on f.kind = 'r' and f.id = p.r2 and f.i = a.i join vs g on g.kind = 'e' and g.id = p.t2 and g.i = a.i),
+ln as (select pos, sqrt(sum(d * d)) as s, sqrt(sum(d2 * d2)) as s2 from df group by pos),
+ac as (select pos, i, d / s as u, d2 / s2 as u2 from df join ln using (pos) where s - s2 + 0.5 > 0),
+gr as ({' union all '.join(f"select '{k}' as kind, {c} as id, i, {sign if j < 3 else -sign} * {'u' if j < 3 else 'u2'} as g from ac join pairs using (pos)" for j, (k, c, sign) in enumerate(PLACES))})"""
+
+
+@query(f"{GRADIENT} select kind, id, i::bigint as dim, round(sum(g), 6) as value from gr group by all having abs(sum(g)) > 1e-7")
+def margin_gradient(g):
+    """The gradient of the margin over sampled pairs at the initial vectors."""
+    found = optimiser.gradients(_pairs(g), optimiser.initial_state(g.entities, g.relations, DIM, SEED), DIM, 0.5)
+    return found.select("kind", "id", F.posexplode("g").alias("dim", "value")).where(F.abs("value") > 1e-7).select("kind", "id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
+@query(f"""{GRADIENT} select 'e' as kind, (select count(*) from ents) as n, round(avg(abs(x)), 6) as size from (select case when g > 0 then x - 0.01 when g < 0 then x + 0.01 else x end as x
+    from vs left join (select kind, id, i, sum(g) as g from gr group by all having abs(sum(g)) > 1e-9) using (kind, id, i) where kind = 'e')""")
+def first_step(g):
+    """Mean size of the entities' values after one step of Adam, whose first step moves each value by the rate against the sign of its gradient."""
+    state = optimiser.initial_state(g.entities, g.relations, DIM, SEED)
+    pairs = _pairs(g)
+    moved = optimiser.adam(state, materialised(optimiser.gradients(pairs, state, DIM, 0.5)), pairs.count(), 1, 0.01)
+    return moved.where("kind = 'e'").select("kind", "id", F.explode("x").alias("x")).groupBy("kind").agg(F.count_distinct("id").alias("n"), F.round(F.avg(F.abs("x")), 6).alias("size"))
+
+
+@query()
+def translation_training(g):
+    """Mean margin loss of each epoch over all triples and their negatives; no SQL, as each epoch starts from the one before."""
+    negative = corrupt.single_slot(g.rows, g.facts, *g.sizes, SEED).select("pos", F.col("h").alias("h2"), F.col("r").alias("r2"), F.col("t").alias("t2"))
+    path, start = scratch(g.rows.sparkSession, "training"), optimiser.initial_state(g.entities, g.relations, DIM, SEED)
+    pairs = materialised(g.rows.join(negative, "pos"))
+    optimiser.train(pairs, start, path, 3, DIM, -(-pairs.count() // 2) or 1, SEED, keep=1)
+    return optimiser.read_losses(g.rows.sparkSession, path).select("epoch", "n", F.round("loss", 6).alias("loss"))
+
+
 @query(
     f"""with {PAIRS} select *, coalesce(nullif(concat_ws(',', case when h is distinct from h2 then 'head' end, case when r is distinct from r2 then 'relation' end, case when t is distinct from t2 then 'tail' end), ''), 'NONE') as moved from pairs"""
 )
@@ -637,6 +672,109 @@ def requirement_rewrite(spark, d):
     return parts.select("p_partkey", records.requirement(F.concat_ws("   ", "p_brand", F.col("p_size").cast("string"))).alias("requirement"))
 
 
+STAR = """kg as (select row_number() over (order by kind, a, b, h, t) - 1 as pos, h, r, t from (select 0 as kind, o_orderkey as a, 0 as b, 'c' || o_custkey as h, 'placed' as r, 'o' || o_orderkey as t from orders
+    union all select 1, l_orderkey, l_linenumber, 'o' || l_orderkey, 'contains', 'p' || l_partkey from lineitem union all select 2, l_orderkey, l_linenumber, 'o' || l_orderkey, 'shipped_by', 's' || l_suppkey from lineitem
+    union all select 3, c_custkey, 0, 'c' || c_custkey, 'in', 'n' || c_nationkey from customer union all select 4, s_suppkey, 0, 's' || s_suppkey, 'in', 'n' || s_nationkey from supplier
+    union all select 5, n_nationkey, 0, 'n' || n_nationkey, 'in', 'g' || n_regionkey from nation))"""
+
+
+def star_query(sql: str):
+    """Registers a function of the graph of the star schema; sql is that of the events' graph."""
+
+    def put(make):
+        QUERIES[make.__name__] = lambda s, d: make(Graph(s, d, star.star_graph(s, d)))
+        ORACLE_SQL[make.__name__] = sql.replace(KG, STAR)
+        return make
+
+    return put
+
+
+@star_query(f"with {KG} select * from kg")
+def star_triples(g):
+    return g.kg
+
+
+@star_query(f"with {ENC} select pos, h, r, t from enc")
+def star_encoded(g):
+    return g.rows
+
+
+@star_query(f"with {NBR} select e, count(*) as degree from nb group by e")
+def star_degree(g):
+    return graph.degrees(g.rows)
+
+
+@star_query(f"""with {NBR}, hub as (select distinct e, degree from nl where degree > {K}), p as (select e, degree, unnest(range(0, {K})) as slot from hub)
+select p.e, slot, nl.h, nl.r, nl.t from p join nl on nl.e = p.e and nl.i = slot""")
+def star_hub_sample(g):
+    """Sampled neighbours of the hubs: nations, regions' nations, suppliers and busy parts."""
+    hubs = materialised(graph.degrees(g.rows).where(F.col("degree") > K).select("e"))
+    return graph.sample_entities(g.rows, K, graph.OUT, SEED).join(hubs, "e", "left_semi")
+
+
+STAR_SAMPLE = f"{NBR}, src as (select * from enc order by {_d(chr(39) + '7' + chr(39), chr(39) + 'sample' + chr(39), 'pos')}, pos limit (select floor(0.05 * m + 1e-9)::bigint from n))"
+
+
+@star_query(f"with {STAR_SAMPLE} {_half('h', 0, f'degree > {K}', 'src')} union all {_half('t', 1, f'degree >= {K}', 'src')}")
+def star_neighborhood(g):
+    return graph.triple_neighbourhood(materialised(g.sample), g.rows, K, SEED)
+
+
+@star_query(f"with {INJECT} select * from lab")
+def star_inject(g):
+    return corrupt.inject(g.rows, g.facts, *g.sizes, RATIO, SEED)
+
+
+@star_query(f"with {SAMPLE}, {_pool_pairs('src')} select * from tp")
+def star_type_pool(g):
+    return negatives.type_pool_negatives(materialised(g.sample), g.facts, SEED)
+
+
+@query(f"""with {ENC}, v as (select row_number() over (order by vec_id) - 1 as id, embedding from embeddings) select kind, id, name, len(embedding)::bigint as size, round(list_sum(embedding[1:8]::double[]), 4) as head
+from (select 'e' as kind, ents.id, name from ents union all select 'r', rels.id, name from rels) x join v using (id)""")
+def pretrained_vectors(g, spark, d):
+    """Vectors of a text file, by the number of their line, for every name of both vocabularies."""
+    lines = vocabulary.dense_ids(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding"), "vec_id")
+    found = []
+    for kind, names in (("e", g.entities), ("r", g.relations)):
+        path = scratch(spark, "vectors")
+        mine = lines.join(names.select("id"), "id", "left_semi").repartitionByRange(7, "id").sortWithinPartitions("id")
+        mine.select(F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ").alias("value")).write.text(path)
+        found.append(triples.vectors_for(names, triples.read_vectors(spark, path)).withColumn("kind", F.lit(kind)))
+    head = F.aggregate(F.slice("vector", 1, 8), F.lit(0.0), lambda a, x: a + x)
+    return found[0].unionByName(found[1]).select("kind", "id", "name", F.size("vector").cast("long").alias("size"), F.round(head, 4).alias("head"))
+
+
+QUERIES["pretrained_vectors"] = lambda s, d: pretrained_vectors(Graph(s, d), s, d)
+
+
+@query("""with l as (select event_id, event_type, round(abs(value), 3) as v, user_id from events)
+select event_type as key, count(*) * 2 as n, arg_max(v + 1, event_id) as last, arg_min(v, event_id) as first, round((sum(v) + sum(v + 1)) / 60, 6) as minutes from l group by event_type""")
+def log_roundtrip(spark, d):
+    """A log written in many files and read back in its order: two durations a line, the last and the first of each kind."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    v = F.round(F.abs("value"), 3)
+    said = F.format_string("%s took Duration: %s seconds, then %s took Duration: %s seconds", "event_type", v.cast("string"), "event_type", (F.round(v + 1, 3)).cast("string"))
+    path = scratch(spark, "log")
+    e.repartitionByRange(9, "event_id").sortWithinPartitions("event_id").select(said.alias("value")).write.text(path)
+    found = records.matches(triples.read_lines(spark, path), r"(\w+) took Duration:\s+([\d.E-]+)", 1, 2).withColumn("v", F.col("g2").cast("double"))
+    ends = (F.max_by("v", "at").alias("last"), F.min_by("v", "at").alias("first"))
+    return found.groupBy(F.col("g1").alias("key")).agg(F.count(F.lit(1)).alias("n"), *ends, F.round(F.sum("v") / 60, 6).alias("minutes"))
+
+
+@query("""with o as (select 'run' || user_id as label, case when event_type = 'click' then 'done' else 'failed' end as status, event_id as at, round(value, 3) as seconds from events)
+select label, case when count_if(status = 'done') > 0 then 'done' else 'failed' end as status, count(*) as tries, round(sum(seconds), 6) as seconds from o group by label""")
+def ledger_state(spark, d):
+    """Outcomes of runs, many to a label: what the ledger says of each."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    status = F.when(F.col("event_type") == "click", "done").otherwise("failed")
+    outcomes = e.select(F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("label"), status.alias("status"), F.lit(None).cast("string").alias("error"), F.round("value", 3).alias("seconds"), F.col("event_id").cast("double").alias("at"))
+    return ledger.latest(outcomes).select("label", "status", "tries", F.round("seconds", 6).alias("seconds"))
+
+
+QUERIES |= {"log_roundtrip": log_roundtrip, "ledger_state": ledger_state}
+
+
 for _name in ("l2_distance", "translation_score", "anomaly_score", "batch_softmax", "kl_batchmean", "margin_loss", "gated_attention", "topk_ranking", "discovered_curve", "precision_recall_ratio", "roc_auc", "average_precision", "score_intervals", "minmax_norm", "log_metrics", "run_aggregate", "run_totals", "run_cells", "log_cutoffs", "requirement_rewrite"):
     QUERIES[_name] = globals()[_name]
 

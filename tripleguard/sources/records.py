@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripleguard.sources.triples import read_lines
+
 RECORD = (
     "dataset string, model string, seed long, neg_source string, test_anomaly_source string, anomaly_ratio double, max_epoch long, "
     "precision_at map<string,double>, recall_at map<string,double>, auc double, auprc double, _corrupt_record string"
 )
 
 
+# The lines of a log that other tools read.
+METRIC = r"(Precision|Recall)\s+(\d+\.\d+)\s*--\s*(\d+\.\d+)\s*:\s*(\d+\.\d+)"
+DURATION = r"Duration:\s+([\d.]+)"
+AREAS = r"AUC\s+([\d.]+)\s*--\s*AUPRC\s+([\d.]+)"
+
+
+def metric_line(where: str, metric: str, ratio: float, k: float, value: float) -> str:
+    return f"[Test]{where} {metric} {ratio:f} -- {k:f} : {value:f}"
+
+
+def areas_line(where: str, auc: float, auprc: float) -> str:
+    return f"[Test]{where} AUC {auc:f} -- AUPRC {auprc:f}"
+
+
 def read_records(spark: SparkSession, root: str) -> DataFrame:
     """The run records below a folder; files that can't be read are left out."""
     reader = spark.read.schema(RECORD).option("recursiveFileLookup", True).option("pathGlobFilter", "{*_run.json,part-*.json}").option("multiLine", True).option("mode", "PERMISSIVE")
@@ -36,21 +52,38 @@ def write_duration(spark: SparkSession, path: str, what: str, seconds: float, ap
     line.coalesce(1).write.mode("append" if append else "overwrite").text(path)
 
 
+def write_log(spark: SparkSession, path: str, lines: list[str], append: bool = True) -> None:
+    """Puts the few lines that a run has to say behind what the log holds; read_log() gives them in the order of writing."""
+    rows = spark.createDataFrame([(line,) for line in lines], "value string")
+    rows.coalesce(1).write.mode("append" if append else "overwrite").text(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """at, value: the lines of a log that was written in parts, from the first to the last."""
+    return read_lines(spark, path, by="time")
+
+
+def matches(lines: DataFrame, pattern: str, *groups: int) -> DataFrame:
+    """at (line and number of the match in it) and g1, g2, ...: every match of a pattern in lines (at, value)."""
+    found = F.arrays_zip(*(F.regexp_extract_all("value", F.lit(pattern), F.lit(g)).alias(f"g{i + 1}") for i, g in enumerate(groups)))
+    rows = lines.select("at", F.posexplode(found).alias("no", "m"))
+    return rows.select(F.struct("at", "no").alias("at"), *(F.col(f"m.g{i + 1}").alias(f"g{i + 1}") for i in range(len(groups))))
+
+
 def last_value(lines: DataFrame, pattern: str, key: int, value: int) -> DataFrame:
-    """key, value of the pattern's groups; for each key the line read last. lines: at, value."""
-    got = lines.select("at", F.regexp_extract("value", pattern, key).alias("key"), F.regexp_extract("value", pattern, value).alias("v")).where("v != ''")
-    return got.groupBy("key").agg(F.max_by("v", "at").cast("double").alias("value"))
+    """key, value of the pattern's groups; for each key the match read last. lines: at, value."""
+    return matches(lines, pattern, key, value).where("g2 != ''").groupBy(F.col("g1").alias("key")).agg(F.max_by("g2", "at").cast("double").alias("value"))
 
 
 def first_value(lines: DataFrame, pattern: str, group: int) -> DataFrame:
-    """One row: the group in the first line that matches."""
-    got = lines.select("at", F.regexp_extract("value", pattern, group).alias("v")).where("v != ''")
-    return got.agg(F.min_by("v", "at").cast("double").alias("value"))
+    """One row: the group in the first match; null if there is none."""
+    return matches(lines, pattern, group).where("g1 != ''").agg(F.min_by("g1", "at").cast("double").alias("value"))
 
 
 def total_minutes(lines: DataFrame, pattern: str, group: int) -> DataFrame:
     """One row: minutes (null if there is none) and how many durations in seconds were found."""
-    got = lines.select(F.regexp_extract("value", pattern, group).alias("v")).where("v != ''").select(F.col("v").cast("double").alias("s"))
+    found = F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(group))).alias("v")
+    got = lines.select(found).where("v != ''").select(F.col("v").cast("double").alias("s"))
     return got.agg((F.sum("s") / 60).alias("minutes"), F.count("s").alias("n"))
 
 
@@ -60,9 +93,9 @@ def near(a: Column, b: Column | float, tolerance: float = 1e-4) -> Column:
 
 def metrics_at(lines: DataFrame, ratio: float) -> DataFrame:
     """k, precision, recall of the log lines whose anomaly ratio is near the given one; of several, the line read last. lines: at, value."""
-    part = lambda i: F.regexp_extract("value", r"(Precision|Recall)\s+(\d+\.\d+)\s*--\s*(\d+\.\d+)\s*:\s*(\d+\.\d+)", i)
-    got = lines.select("at", part(1).alias("metric"), part(2).cast("double").alias("ratio"), F.round(part(3).cast("double"), 6).alias("k"), part(4).cast("double").alias("v"))
-    kept = got.where((F.col("metric") != "") & near(F.col("ratio"), ratio))
+    found = matches(lines, METRIC, 1, 2, 3, 4)
+    got = found.select("at", F.col("g1").alias("metric"), F.col("g2").cast("double").alias("ratio"), F.round(F.col("g3").cast("double"), 6).alias("k"), F.col("g4").cast("double").alias("v"))
+    kept = got.where(near(F.col("ratio"), ratio))
     last = lambda name: F.max_by(F.when(F.col("metric") == name, F.col("v")), F.when(F.col("metric") == name, F.col("at"))).alias(name.lower())
     return kept.groupBy("k").agg(last("Precision"), last("Recall"))
 
