@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import argparse
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
@@ -26,7 +27,7 @@ OUTCOME = "label string, status string, error string, seconds double, at double"
 
 def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
     """All outcomes so far; none if there is no ledger."""
-    return spark.read.schema(OUTCOME).json(path) if exists(spark, path) else spark.createDataFrame([], OUTCOME)
+    return spark.read.schema(OUTCOME).option("recursiveFileLookup", True).json(path) if exists(spark, path) else spark.createDataFrame([], OUTCOME)
 
 
 def latest(outcomes: DataFrame) -> DataFrame:
@@ -41,8 +42,9 @@ def unfinished(cells: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def note(spark: SparkSession, path: str, label: str, status: str, error: str | None, seconds: float) -> None:
+    """Adds an outcome, in a folder of its own: writers that end at once can't disturb each other."""
     row = spark.createDataFrame([(label, status, error, seconds, time.time())], OUTCOME)
-    row.coalesce(1).write.mode("append").json(path)
+    row.coalesce(1).write.json(f"{path}/{uuid.uuid4().hex}")
 
 
 def run_cells(spark: SparkSession, cells: DataFrame, one: Callable[[dict], object], path: str, side_by_side: int = 2) -> DataFrame:
