@@ -3,6 +3,7 @@
 import gzip
 import os
 import random
+import re
 import threading
 
 import pytest
@@ -83,7 +84,9 @@ def test_a_matrix_of_trained_runs_with_a_failing_cell(spark, tmp_path):
     assert records.first_value(log, records.AREAS, 1).first()["value"] == pytest.approx(record["auc"], abs=1e-6)
     assert records.first_value(log, r"There are (\d+) Triples", 1).first()["value"] == 90
     lines = [r["value"] for r in log.orderBy("at").collect()]
-    assert lines[0].startswith("There are 90") and lines[1].startswith("Epoch: 1, loss") and lines[2].startswith("Epoch: 2, loss")
+    assert lines[0].startswith("There are 90") and lines[1].startswith("processed 108, missing 0") and lines[22] == "and 88 more"
+    assert all(re.fullmatch(r"\(e\d+, r\d, e\d+\) -> \(e\d+, r\d, e\d+\) \[moved: (head|relation|tail)\]", line) for line in lines[2:22])
+    assert lines[23].startswith("Epoch: 1, loss") and lines[24].startswith("Epoch: 2, loss")
     times = records.total_minutes(spark.read.text(f"{here}_epoch_times"), records.DURATION, 1).first()
     assert times["n"] == 2 and times["minutes"] > 0
     losses = [r["loss"] for r in optimiser.read_losses(spark, f"{here}_state").orderBy("epoch").collect()]
@@ -166,3 +169,21 @@ def test_labels_of_a_matrix(spark):
     with pytest.raises(ValueError, match="source of negatives"):
         rows = spark.createDataFrame([(0, 0, 0, 1)], "pos long, h long, r long, t long")
         runs.training_pairs(rows, rows, (2, 1), runs.Config(neg_source="elsewhere"))
+
+
+def test_requirements_are_rewritten_in_order(spark, tmp_path):
+    with open(f"{tmp_path}/in.txt", "w") as f:
+        f.write("torch   2.1\n\n numpy\nscikit-learn 1.3 \n")
+    records.rewrite_requirements(spark, f"{tmp_path}/in.txt", f"{tmp_path}/out")
+    assert [r["value"] for r in triples.read_lines(spark, f"{tmp_path}/out").orderBy("at").collect()] == ["torch==2.1", "numpy", "scikit-learn==1.3"]
+
+
+def test_training_and_testing_are_two_runs(spark, tmp_path):
+    write_graph(f"{tmp_path}/graph")
+    base = {"data": f"{tmp_path}/graph", "output": f"{tmp_path}/out", "model": "translation", "anomaly_ratio": 0.1, "dim": 4, "batch": 128, "anomaly_file": f"{tmp_path}/frozen"}
+    with pytest.raises(FileNotFoundError, match="train first"):
+        runs.evaluate(spark, runs.Config(mode="test", **base))
+    losses = runs.evaluate(spark, runs.Config(mode="train", **base)).collect()
+    assert len(losses) == 1 and losses[0]["n"] == 99
+    record = runs.evaluate(spark, runs.Config(mode="test", **base)).first()
+    assert 0 <= record["auc"] <= 1 and len(record["precision_at"]) == 5

@@ -20,7 +20,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in ("events", "documents", "labels", "embeddings", "part"):
+    for t in ("events", "documents", "labels", "embeddings", "part", "orders", "lineitem", "customer", "supplier", "nation"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = db.execute(ORACLE_SQL[name])
     columns = [c[0] for c in want.description]

@@ -94,6 +94,15 @@ def inject(triples: DataFrame, known: DataFrame, n_ent: int, n_rel: int, ratio:
     return triples.select("pos", "h", "r", "t", F.lit(0).alias("label")).unionByName(one.unionByName(full).withColumn("label", F.lit(1)))
 
 
+def baseline_batches(rows: DataFrame, negative: DataFrame, size: int, seed: str, epoch: int | str = "epoch") -> DataFrame:
+    """batch_id, pos, h, r, t, y (1, or -1 for a negative) and label (null unless rows have it): batches of rows and their negatives (pos, h, r, t), without neighbourhoods."""
+    label = F.col("label") if "label" in rows.columns else F.lit(None).cast("int")
+    placed = batches(rows.select("pos", "h", "r", "t", label.alias("label")), size, seed, epoch)
+    other = placed.select("pos", "label", "batch_id").join(negative.select("pos", "h", "r", "t"), "pos")
+    one = lambda part, y: part.select("batch_id", "pos", "h", "r", "t", F.lit(y).alias("y"), "label")
+    return one(placed, 1).unionByName(one(other, -1))
+
+
 def replaced(given: DataFrame, fallback: DataFrame) -> DataFrame:
     """pos, h, r, t: the negative h2, r2, t2 of given, or that of fallback (pos, h, r, t) where one of the three is null."""
     missing = F.col("h2").isNull() | F.col("r2").isNull() | F.col("t2").isNull()

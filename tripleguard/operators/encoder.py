@@ -118,19 +118,39 @@ def encode_triples(triples: DataFrame, entities: DataFrame, relations: DataFrame
 def attend(neighbourhood: DataFrame, encoded: DataFrame, weights: Weights, alpha: float = 0.2, mu: float = 0.001, weight: float = 0.1) -> DataFrame:
     """For each pos: translation and second of its own triple, the distance of its two sides in each view, and how far the views are apart.
 
-    neighbourhood: pos, slot (0 to 2k+1), h, r, t; a group is the 2k+2 rows of one pos.
+    neighbourhood: pos, slot (0 to 2k+1), h, r, t; a group is the 2k+2 rows of one pos. Groups of a task are worked on together, as many as a batch holds.
     """
     shared = neighbourhood.sparkSession.sparkContext.broadcast(weights)
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        w, rows = shared.value, rows.sort_values("slot")
-        sides = lambda c: np.stack(rows[c]).astype(float).reshape(2, len(rows) // 2, -1)
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        """The result of the groups in rows, which are in order and of one size."""
+        w, n = shared.value, rows["pos"].nunique()
+        sides = lambda c: np.stack(rows[c]).astype(float).reshape(2 * n, len(rows) // (2 * n), -1)
         za, zb = attention(sides("a"), w, "att_a", alpha, mu), attention(sides("b"), w, "att_b", alpha, mu)
         apart = np.linalg.norm(two_layers(zb, w, "same") - two_layers(za, w, "narrow"), axis=1)
-        one = {"gap_a": weight * np.linalg.norm(za[0] - za[1]), "gap_b": weight * np.linalg.norm(zb[0] - zb[1]), "similar": weight * apart.sum()}
-        return rows.iloc[:1][["pos", "translation", "second"]].assign(**one)
+        gap = lambda z: weight * np.linalg.norm(z[0::2] - z[1::2], axis=1)
+        one = {"gap_a": gap(za), "gap_b": gap(zb), "similar": weight * (apart[0::2] + apart[1::2])}
+        return rows.iloc[:: len(rows) // n][["pos", "translation", "second"]].assign(**one)
 
-    return neighbourhood.join(encoded, ["h", "r", "t"]).groupBy("pos").applyInPandas(work, ATTENDED)
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups come one behind the other; the last of a batch waits for the next one, as it may go on there."""
+        rest: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch["pos"] == batch["pos"].iloc[-1]
+            if rest and rest[-1]["pos"].iloc[-1] != batch["pos"].iloc[-1] or not last.all():
+                done = pd.concat([*rest, batch[~last]])
+                if len(done):
+                    yield whole(done)
+                rest = []
+            rest.append(batch[last])
+        if rest:
+            yield whole(pd.concat(rest))
+
+    joined = neighbourhood.join(encoded, ["h", "r", "t"]).select("pos", "slot", "translation", "second", "a", "b")
+    parts = int(neighbourhood.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return joined.repartition(parts, "pos").sortWithinPartitions("pos", "slot").mapInPandas(work, ATTENDED)
 
 
 def anomaly_scores(attended: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleguard.functions.draws import draw, draw_below
+from tripleguard.operators.scan import running_in_groups
 from tripleguard.operators.vocabulary import dense_ids
 from tripleguard.session import materialised
 
@@ -20,14 +21,20 @@ def distinct_facts(triples: DataFrame) -> DataFrame:
     return triples.select("h", "r", "t").distinct()
 
 
-def out_adjacency(triples: DataFrame) -> DataFrame:
-    """h, tails (sorted set)."""
-    return triples.groupBy("h").agg(F.array_sort(F.collect_set("t")).alias("tails"))
+def _adjacency(triples: DataFrame, end: str, other: str, name: str, size: int) -> DataFrame:
+    one = triples.select(end, other).distinct().withColumn("_one", F.lit(1).cast("long"))
+    placed = running_in_groups(one, [end], [other], "_one", "_at").withColumn("part", F.floor((F.col("_at") - 1) / size))
+    return placed.groupBy(end, "part").agg(F.array_sort(F.collect_list(other)).alias(name))
 
 
-def in_adjacency(triples: DataFrame) -> DataFrame:
-    """t, heads (sorted set)."""
-    return triples.groupBy("t").agg(F.array_sort(F.collect_set("h")).alias("heads"))
+def out_adjacency(triples: DataFrame, size: int = 10_000) -> DataFrame:
+    """h, part, tails: the sorted set of an entity's tails, cut into parts of the size, so that a hub is neither one row nor one task."""
+    return _adjacency(triples, "h", "t", "tails", size)
+
+
+def in_adjacency(triples: DataFrame, size: int = 10_000) -> DataFrame:
+    """t, part, heads: as out_adjacency, the other way round."""
+    return _adjacency(triples, "t", "h", "heads", size)
 
 
 def pair_relation(triples: DataFrame) -> DataFrame:

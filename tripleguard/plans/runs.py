@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tripleguard.operators import corrupt, encoder, graph, vocabulary
 from tripleguard.plans import experiments, optimiser, ranking
-from tripleguard.session import materialised
+from tripleguard.session import exists, materialised
 from tripleguard.sources import negatives, records, triples
 
 
@@ -38,8 +38,9 @@ class Config:
     mu: float = 0.001
     weight: float = 0.1
     max_epoch: int = 1
+    mode: str = "both"
     batch: int = 256
-    rate: float = 0.01
+    rate: float = 0.003
     gamma: float = 0.5
     entity_vectors: str | None = None
     relation_vectors: str | None = None
@@ -79,22 +80,28 @@ def training_pairs(labelled: DataFrame, rows: DataFrame, sizes: tuple[int, int],
     return labelled.select("pos", "h", "r", "t").join(fallback.select("pos", *(F.col(c).alias(f"{c}2") for c in "hrt")), "pos")
 
 
-def translation_scores(labelled: DataFrame, rows: DataFrame, entities: DataFrame, relations: DataFrame, config: Config, here: str, generate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """id, score, label by |h + r - t|, after max_epoch epochs of training below here (or what is left of them)."""
+def trained_state(labelled: DataFrame, rows: DataFrame, entities: DataFrame, relations: DataFrame, config: Config, here: str, generate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The vectors after max_epoch epochs of training below here, or what is left of them; in mode test they must be there."""
     spark = labelled.sparkSession
+    if config.mode == "test":
+        if not exists(spark, f"{here}_state/loss-{config.max_epoch}/_SUCCESS"):
+            raise FileNotFoundError(f"{here}_state has no epoch {config.max_epoch}: train first")
+        return optimiser.read_state(spark, f"{here}_state", config.max_epoch)
     given, seed = vectors_of(spark, entities, relations, config), str(config.seed)
     start = optimiser.initial_state(entities, relations, config.dim, seed)
     if all(given):
         start = optimiser.given_state(*given)
     pairs = materialised(training_pairs(labelled, rows, (entities.count(), relations.count()), config, generate))
-    dim = len(start.first()["x"])
+
+    if config.neg_source == "generator":
+        records.write_log(spark, f"{here}_log", negatives.told(pairs, rows, entities, relations))
 
     def told(epoch: int, loss: float | None, seconds: float) -> None:
         records.write_duration(spark, f"{here}_epoch_times", f"Epoch: {epoch}", seconds, append=True)
         records.write_log(spark, f"{here}_log", [f"Epoch: {epoch}, loss {loss}"])
 
-    state = optimiser.train(pairs, start, f"{here}_state", config.max_epoch, dim, config.batch, seed, config.rate, config.gamma, told=told)
-    return optimiser.distances(labelled, state).join(labelled.select("pos", "label"), "pos").select(F.col("pos").alias("id"), "score", "label")
+    dim = start.agg(F.max(F.size("x"))).first()[0] or config.dim
+    return optimiser.train(pairs, start, f"{here}_state", config.max_epoch, dim, config.batch, seed, config.rate, config.gamma, told=told)
 
 
 def scores(labelled: DataFrame, rows: DataFrame, entities: DataFrame, relations: DataFrame, config: Config, weights: encoder.Weights) -> DataFrame:
@@ -110,7 +117,7 @@ def scores(labelled: DataFrame, rows: DataFrame, entities: DataFrame, relations:
 
 
 def evaluate(spark: SparkSession, config: Config, generate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Runs config and returns its record (one row); a missing folder or vocabulary name stops it.
+    """Runs config and returns its record (one row), or in mode train the losses of the epochs; a missing folder or vocabulary name stops it.
 
     The model translation is trained first; the encoder runs with given or drawn weights. Writes below output: <label>_scores (Parquet: id,
     score, label), <label>_log, <label>_test_time, <label>_run.json, and for a trained model <label>_state and <label>_epoch_times. generate: see negatives.
@@ -129,9 +136,12 @@ def evaluate(spark: SparkSession, config: Config, generate: Callable[[DataFrame]
     labelled = rows.withColumn("label", F.lit(0)).unionByName(numbered.select(behind, "h", "r", "t", F.lit(1).alias("label")))
     here = f"{config.output}/{config.label}"
     labelled = materialised(labelled)
-    records.write_log(spark, f"{here}_log", [f"There are {total} Triples with {planted.count()} anomalies in the graph."], append=False)
+    records.write_log(spark, f"{here}_log", [f"There are {total} Triples with {planted.count()} anomalies in the graph."], append=config.mode == "test")
     if config.model == "translation":
-        scored = translation_scores(labelled, rows, entities, relations, config, here, generate)
+        state = trained_state(labelled, rows, entities, relations, config, here, generate)
+        if config.mode == "train":
+            return optimiser.read_losses(spark, f"{here}_state")
+        scored = optimiser.distances(labelled, state).join(labelled.select("pos", "label"), "pos").select(F.col("pos").alias("id"), "score", "label")
     else:
         weights = encoder.load_weights(spark, config.weights) if config.weights else encoder.initial_weights(config.dim, config.hidden, config.seed)
         scored = scores(labelled, rows, entities, relations, config, weights)

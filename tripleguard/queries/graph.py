@@ -138,14 +138,23 @@ def kg_counts(g):
     return g.kg.agg(F.count(F.lit(1)).alias("n_triples"), F.count_distinct("r").alias("n_relations")).join(F.broadcast(names)).select("n_triples", "n_entities", "n_relations")
 
 
-@query(f"with {KG} select h, string_agg(distinct t, ',' order by t) as tails from kg group by h")
+#: Neighbours in one part of an adjacency list.
+PART = 32
+
+
+def _parted(end: str, other: str, name: str) -> str:
+    return f"""with {KG}, d as (select distinct {end}, {other} from kg), n as (select *, (row_number() over (partition by {end} order by {other}) - 1) // {PART} as part from d)
+select {end}, part, string_agg({other}, ',' order by {other}) as {name} from n group by {end}, part"""
+
+
+@query(_parted("h", "t", "tails"))
 def kg_out_adjacency(g):
-    return graph.out_adjacency(g.kg).select("h", F.array_join("tails", ",").alias("tails"))
+    return graph.out_adjacency(g.kg, PART).select("h", "part", F.array_join("tails", ",").alias("tails"))
 
 
-@query(f"with {KG} select t, string_agg(distinct h, ',' order by h) as heads from kg group by t")
+@query(_parted("t", "h", "heads"))
 def kg_in_adjacency(g):
-    return graph.in_adjacency(g.kg).select("t", F.array_join("heads", ",").alias("heads"))
+    return graph.in_adjacency(g.kg, PART).select("t", "part", F.array_join("heads", ",").alias("heads"))
 
 
 @query(f"with {KG} select h, t, arg_max(r, pos) as r from kg group by h, t")
@@ -316,6 +325,14 @@ def baseline_batch(g):
     return g.rows.select("pos", "h", "r", "t", F.lit(1).alias("y")).unionByName(negative.select("pos", "h", "r", "t", F.lit(-1).alias("y")))
 
 
+@query(f"""with {INJECT}, {_slot('lab', p='n_')}, ba as (select *, (row_number() over (order by {_d("'7'", "'epoch'", "pos")}, pos) - 1) // {BATCH} as batch_id from lab)
+select batch_id, pos, h, r, t, 1 as y, label from ba union all select batch_id, pos, n_cs.h, n_cs.r, n_cs.t, -1, label from ba join n_cs using (pos)""")
+def baseline_test_batches(g):
+    """Originals, anomalies and their negatives in batches, with the labels that a test needs."""
+    labelled = materialised(corrupt.inject(g.rows, g.facts, *g.sizes, RATIO, SEED))
+    return corrupt.baseline_batches(labelled, corrupt.single_slot(labelled, g.facts, *g.sizes, SEED), BATCH, SEED)
+
+
 PAIRS = f"""{SAMPLE}, {_slot('src', ('h', 't'))}, pairs as (select src.pos, src.h, src.r, src.t, cs.h as h2, cs.r as r2, cs.t as t2 from src join cs using (pos))"""
 
 

@@ -121,3 +121,13 @@ def statistics(pairs: DataFrame, triples: DataFrame) -> DataFrame:
         "moved_head": given & (F.col("moved") == "head"), "moved_tail": given & (F.col("moved") == "tail"),
     }
     return marked.agg(F.count(F.lit(1)).alias("processed"), *(F.count_if(c).alias(name) for name, c in counts.items()))
+
+
+def told(pairs: DataFrame, triples: DataFrame, entities: DataFrame, relations: DataFrame, limit: int = 20) -> list[str]:
+    """What a log says of pairs (pos, h, r, t and h2, r2, t2): one line of counts, and a line for each of the first ones, as names."""
+    counts = statistics(pairs, triples).first().asDict()
+    shown = preview(pairs, entities, relations, limit).orderBy("pos").collect()  # limit rows
+    lines = [", ".join(f"{name} {n}" for name, n in counts.items())]
+    lines += [f"({r['positive']}) -> ({r['negative'] or 'none'}) [moved: {r['moved']}]" for r in shown]
+    rest = counts["processed"] - len(shown)
+    return [*lines, f"and {rest} more"] if rest else lines

@@ -103,3 +103,9 @@ def metrics_at(lines: DataFrame, ratio: float) -> DataFrame:
 def requirement(line):
     """`name version` as `name==version`; a line of one field is trimmed."""
     return F.regexp_replace(F.trim(line), r"^(\S+)\s+(\S.*)$", "$1==$2")
+
+
+def rewrite_requirements(spark: SparkSession, source: str, target: str) -> None:
+    """Writes the lines of a requirement list as requirement() has them, in their order, to another path; empty lines go."""
+    lines = read_lines(spark, source).where(F.trim("value") != "").select("at", requirement(F.col("value")).alias("value"))
+    lines.orderBy("at").select("value").write.mode("overwrite").text(target)
