@@ -1,14 +1,18 @@
 """Hostile and odd input of the text operators: pages that are no markup, constructed words, near ties, long hosts, marks on letters, licence texts."""
 
+import base64
 import hashlib
 import random
 import time
 
 import numpy as np
+import public_tokenizers as P
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
-from tripleguard.llm import html_extract, language_id, license_scan, multi_index, ngram_join, url_filter
+from tripleguard.llm import bpe, html_extract, language_id, license_scan, multi_index, ngram_join, url_filter
+from tripleguard.llm.queries import RANKS
 
 
 @pytest.mark.parametrize(
@@ -209,3 +213,19 @@ def test_calibration_sets_the_limit(spark):
     said = license_scan.probabilities(held, classifier).where(F.col("family") != license_scan.UNKNOWN).agg(F.max("probability")).first()[0]
     assert classifier.least >= license_scan.LEAST and (said is None or said < 1)
     assert license_scan.license_report(docs).where("n_license > 0").isEmpty()
+
+
+def test_long_and_short_words_of_tokens_take_the_same_way(monkeypatch):
+    """The heap for words of more than LONG bytes and the recursive query give the ids that the library gives."""
+    with open(P.path(RANKS), "rb") as f:
+        codec = bpe.Codec(f.read(), P.PATTERN)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(RANKS), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(letters, k=rng.randrange(1, 400))) for letters in ("ab", "theningsou", "éàüñ", "😀a", "aA1 .", "日本語の") for _ in range(12)]
+    want = [np.array(library.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    for limit in (1, 50, 1 << 20):
+        monkeypatch.setattr(bpe, "LONG", limit)
+        codec.ids.clear()
+        codec.back.clear()
+        assert [(ids, back) for ids, back in codec.encode(texts)] == [(w, t.encode()) for w, t in zip(want, texts)]
