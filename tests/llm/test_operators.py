@@ -53,7 +53,7 @@ def test_html_keeps_the_article(spark):
     bare = lambda s: f"<div>Top bar</div><p>{s}</p><div>All pages end so</div>"
     rows = [(1, "http://a.b/1", page), (2, None, None), (3, "http://c.d/x/1", bare("first")), (4, "http://c.d/x/2", bare("second")), (5, "no url", ""), (1, "http://a.b/1", page)]
     got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()]
-    text = "A & B\none two three\nfour\nfive"
+    text = "A & B\none two three four\nfive"
     assert sorted(got) == sorted([(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "first", 5), (4, "second", 6), (5, "", 0)])
 
 
