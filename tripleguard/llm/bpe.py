@@ -6,8 +6,8 @@ merges, and in each round the leftmost pair of minimum rank in each piece is con
 no piece has a pair left. Decoding joins tokens with the vocabulary and
 concatenates their bytes by an ordered aggregation.
 
-Spark deals out the texts; a task keeps at most CACHE pieces (then starts anew) and hands at
-most ROUND pieces to a query, so memory doesn't grow with the partition. No special tokens are known:
+Spark deals out the texts; a worker keeps the pieces of one slice of texts, or at most CACHE pieces of CACHED code points
+(then it starts anew), and hands at most ROUND pieces to a query, so memory doesn't grow with the partition. No special tokens are known:
 their strings are ordinary text. Defined results: null and empty texts have no ids; repeated rows each
 get a row; further columns may have any name.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tripleguard.llm.shared import slices
 
-CACHE, ROUND = 600_000, 40_000
+CACHE, CACHED, ROUND = 150_000, 4_000_000, 40_000
 #: Bytes of a piece that the recursive query takes at most. Each of its rounds contracts one pair of a piece, so longer ones, such
 #: as a megabyte of letters without a break, are contracted over a heap of their pairs instead.
 LONG = 2_000
@@ -87,6 +87,7 @@ class Codec:
         self.pairs: dict[int, int] = {}  # merges, once a long piece has asked for them
         self.ids: dict[str, bytes] = {}
         self.back: dict[bytes, bytes] = {}
+        self.held = 0  # code points of the pieces that are kept
 
     def contract(self, raw: bytes) -> bytes:
         """The ids of one piece: the same contraction, leftmost minimum-rank pair first, in n log n steps."""
@@ -113,9 +114,7 @@ class Codec:
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes new pieces and decodes what they became."""
-        if len(self.ids) + len(pieces) > CACHE:
-            self.ids.clear()
-            self.back.clear()
+        self.held += sum(map(len, pieces))
         for piece in [p for p in pieces if len(p) * 4 > LONG and len(p.encode()) > LONG]:
             self.ids[piece] = ids = self.contract(piece.encode())
             self.back[ids] = self.decode([ids])[0]
@@ -152,13 +151,14 @@ class Codec:
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, bytes decoded from those ids) of each text."""
         split = [self.find(t) if t else [] for t in texts]
-        new = list({p: None for pieces in split for p in pieces if p not in self.ids})
+        wanted = dict.fromkeys(p for pieces in split for p in pieces)
+        new = [p for p in wanted if p not in self.ids]
+        if len(self.ids) + len(new) > CACHE or self.held + sum(map(len, new)) > CACHED:
+            self.ids.clear()
+            self.back.clear()
+            self.held, new = 0, list(wanted)
         if new:
-            held = len(self.ids)
             self.learn(new)
-            if len(self.ids) < held + len(new):  # the cache began anew
-                lost = list({p: None for pieces in split for p in pieces if p not in self.ids})
-                self.learn(lost)
         for pieces in split:
             ids = [self.ids[p] for p in pieces]
             yield b"".join(ids), b"".join([self.back[x] for x in ids])
