@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import json
 import random
+import re
 import time
 
 import numpy as np
@@ -11,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tripleguard.llm import bpe, html_extract, language_id, license_scan, multi_index, ngram_join, url_filter
+from tripleguard.llm import bpe, html_extract, language_id, license_scan, multi_index, ngram_join, secrets, url_filter
 from tripleguard.llm.queries import RANKS
 
 
@@ -229,3 +231,93 @@ def test_long_and_short_words_of_tokens_take_the_same_way(monkeypatch):
         codec.ids.clear()
         codec.back.clear()
         assert [(ids, back) for ids, back in codec.encode(texts)] == [(w, t.encode()) for w, t in zip(want, texts)]
+
+DER = bytes([0x30, 0x2E, 0x02, 0x01, 0x00, 0x30, 0x05, 0x06, 0x03, 0x2B, 0x65, 0x70, 0x04, 0x22, 0x04, 0x20])
+RUN = {
+    "base64": r"[A-Za-z0-9+/_-]+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}",
+    "hex": r"[0-9A-Fa-f]+(?:(?:[ \t]*\r?\n[ \t]*|:\s*)[0-9A-Fa-f]+)*",
+}
+
+
+def plain_keys(text):
+    """Every stretch of the text is decoded as a whole; leftmost first, then the longest."""
+    found, at = [], 0
+    while at < len(text):
+        ends = [
+            end for end in range(at + 40, min(len(text), at + 260) + 1) if any(re.fullmatch(r, text[at:end]) for r in RUN.values())
+            and (raw := secrets.decoded(re.sub(r"[\s:]", "", text[at:end]))) and secrets.is_der_key(raw)
+        ]
+        if ends:
+            found.append((at, ends[-1]))
+        at = ends[-1] if ends else at + 1
+    return found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_keys_anywhere_in_a_run_equal_brute_force(seed):
+    rng = random.Random(seed)
+    lines = lambda x, n, end: end.join(x[i : i + n] for i in range(0, len(x), n))
+    forms = [
+        lambda k: base64.b64encode(k).decode(), lambda k: base64.urlsafe_b64encode(k).decode().rstrip("="), lambda k: lines(base64.b64encode(k).decode(), rng.randrange(20, 50), rng.choice(["\n", "\r\n  "])),
+        lambda k: k.hex(), lambda k: k.hex(":"), lambda k: k.hex(":").upper(), lambda k: lines(k.hex(":"), 45, "\n    "), lambda k: lines(k.hex(), 32, "\n"),
+    ]
+    count = 0
+    for _ in range(6):
+        text = ""
+        for _ in range(3):
+            key = DER + rng.randbytes(32)
+            form = rng.randrange(len(forms))
+            before = rng.choice(["", "/etc/keys/", "x", "Kz"] if form < 3 else ["", "0x", "z"])
+            text += rng.choice(["word ", "é, ", "\n\n", "k: "]) + before + forms[form](key) + rng.choice([" ", " .\n", "; "])
+            text += forms[form](bytes([0x30, 0x2E, 0x02]) + rng.randbytes(45)) + " "
+        got = sorted((a, b) for kind, a, b in secrets.spans_of(text) if kind == "key")
+        assert got == plain_keys(text)
+        count += len(got)
+    assert count == 18
+
+
+def test_keys_of_every_kind_behind_letters_and_over_lines():
+    part = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + (1).to_bytes(4, "big") + part(bytes(40)) + part(bytes(64))
+    rsa = b"\x30\x82\x01\x0b" + b"\x02\x01\x00" + b"\x02\x81\x80" + bytes(range(128)) + b"\x02\x03\x01\x00\x01" + (b"\x02\x18" + b"\x11" * 24) * 4 + b"\x02\x16" + b"\x22" * 22
+    block = b"-----BEGIN PRIVATE KEY-----\n" + base64.b64encode(DER + bytes(32)) + b"\n-----END PRIVATE KEY-----"
+    assert secrets.is_der_key(rsa) and secrets.is_openssh_key(ssh)
+    for raw in (ssh, rsa, block):
+        whole = base64.b64encode(raw).decode()
+        for form in (whole, "\n".join(whole[i : i + 40] for i in range(0, len(whole), 40))):
+            for before in ("", "a/", "abc", "key "):
+                text = f"x {before}{form} rest"
+                assert [(k, text[a:b]) for k, a, b in secrets.spans_of(text)] == [("key", form)], (before, form)
+    body = "\n".join(base64.b64encode(rsa).decode()[i : i + 64] for i in range(0, 364, 64))
+    for marks in ("-----BEGIN KEY-----\n{}\n-----END KEY-----", "{}\nnext word"):
+        text = marks.format(body)
+        assert [text[a:b] for k, a, b in secrets.spans_of(text) if k == "key"] == [body]
+
+
+def test_a_signed_token_behind_something_like_one():
+    enc = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode()
+    token = f"{enc({'alg': 'HS256'})}.{enc({'sub': '1'})}.c2lnbmF0dXJl"
+    for before in ("eyJx.", "eyJx.eyJy.", "a.b.", "eyJx.a."):
+        text = f"{before}{token} and {before}{token}."
+        assert [text[a:b].startswith(token) for k, a, b in secrets.spans_of(text) if k == "jwt"] == [True, True]
+
+
+@pytest.mark.parametrize("piece", ["MIIE", "MIIBDAIBADA", "MC4CAQAwBQYD", "30820431", "30:82:04:31:", "3", "openssh", "b3BlbnNzaC1rZXktdjEAAAAA", "LS0tLS1CRUdJTi", "a\n", "Mabcdefghijklmnopqrst\n", "aa:", "eyJhbGciOiJub25lIn0.", "302e020100300506032b6570"])
+def test_a_megabyte_of_beginnings_of_secrets_takes_seconds(piece):
+    began = time.monotonic()
+    secrets.spans_of(piece * (1_000_000 // len(piece)))
+    assert time.monotonic() - began < 10
+
+
+def test_a_cache_of_any_size_gives_the_same_tokens(monkeypatch):
+    with open(P.path(RANKS), "rb") as f:
+        codec = bpe.Codec(f.read(), P.PATTERN)
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("aeinst", k=rng.randrange(1, 5))) for _ in range(60)) for _ in range(20)]
+    want = [list(codec.encode([t])) for t in texts]
+    for pieces, points in ((1, 1), (30, 10_000), (10_000, 100), (90, 10_000)):
+        monkeypatch.setattr(bpe, "CACHE", pieces)
+        monkeypatch.setattr(bpe, "CACHED", points)
+        assert [list(codec.encode([t])) for t in texts] == want
+        assert list(codec.encode(texts)) == [x for w in want for x in w]
+        assert list(codec.encode(texts[:2])) == want[0] + want[1] and len(codec.ids) <= max(pieces, 120)
