@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
 the next stage's docs. All but the last return the columns of documents.
+
+Defined results on odd rows, for every stage: further columns of documents are dropped, whatever their names; an empty table gives an
+empty one; whole texts are read, of any length; null ids and repeated ids are rows like any other.
 """
 
 from __future__ import annotations
@@ -23,7 +26,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is recognised."""
+    """Keeps the documents whose language is recognised.
+
+    A text that is null, empty or without a letter has no language and goes; equal rows share their fate.
+    """
     model = language_id.fit(docs.where(~language_id.held_out()))
     return language_id.identify(docs.select(*COLUMNS), model).where("not rejected").select(*COLUMNS)
 
@@ -46,14 +52,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that hold a window of a benchmark item."""
+    """Removes documents that hold a window of a benchmark item.
+
+    A null or empty text holds none and stays; items without words have no window; equal rows share their fate.
+    """
     rows = _keyed(docs)
     hits = decontaminate.find_hits(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_key="row_key")
     return rows.join(hits.select(F.col("doc_key").alias("row_key")).distinct(), "row_key", "left_anti").select(*COLUMNS)
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left: one row for each document, repeated rows included; a null or empty text has no tokens."""
     return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
