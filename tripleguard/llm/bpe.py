@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tripleguard.llm.shared import slices
 
-CACHE, CACHED, ROUND = 150_000, 4_000_000, 40_000
+CACHE, CACHED, ROUND = 600_000, 16_000_000, 40_000
 #: Bytes of a piece that the recursive query takes at most. Each of its rounds contracts one pair of a piece, so longer ones, such
 #: as a megabyte of letters without a break, are contracted over a heap of their pairs instead.
 LONG = 2_000
