@@ -32,8 +32,6 @@ SIMILARITY = 0.8
 _CONSTANTS = [random.Random(i).getrandbits(31) for i in range(BANDS * ROWS)]
 #: 64-bit words of the two bitmaps of shingles.
 SMALL, LARGE = 16, 64
-#: Counters of the frequency sketch by which shingles are ordered; fixed, whatever the input.
-BUCKETS = 1 << 17
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,28 +113,28 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return written(sets.where(common * (1 + similarity) >= similarity * (F.size("s.x") + F.size("s.y")) - 1e-9).select("a", "b"))[0]
 
 
-def frequency_levels(hashes: DataFrame) -> tuple[DataFrame, str]:
-    """bucket, level (grows with how often the shingles of the bucket occur) for BUCKETS buckets at most. hashes: h."""
-    counted, counted_at = written(hashes.groupBy(F.pmod("h", F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
-    mean = max(1.0, (counted.agg(F.sum("n")).first()[0] or 0) / BUCKETS)
-    return counted.select("bucket", F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / F.lit(mean)))).cast("bigint").alias("level")), counted_at
+def shared_levels(hashes: DataFrame) -> tuple[DataFrame, str]:
+    """h, level (from 4, grows with how often h occurs) of the shingles that two nodes hold at least. hashes: node, h."""
+    counted = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
+    return written(counted.select("h", F.least(F.lit(126), F.floor(4 * F.log2("n"))).cast("bigint").alias("level")))
 
 
 def prefix_pairs(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes of different components that share a shingle of their prefixes. placed: node, component.
 
-    Shingles in frequent buckets come last in the order; a node's prefix is what a partner must
-    share one of. The shingles before the first common one belong to one node each, which bounds the similarity;
-    so most nodes that merely hold the same passage never meet.
+    Shingles come by how many times they occur, counted exactly, so that at any size a prefix holds the rarest ones; a node's
+    prefix is what a partner must share one of. Shingles of one node alone come first and need not be met. The shingles before
+    the first common one belong to one node each, which bounds the similarity; so most nodes that merely hold the same passage never meet.
     """
     lines = texts.join(placed, "node").select("node", "component", "line").repartition(partitions(placed), "node")
     hashes = lambda *keys: shingles(lines, *keys).select(*keys, F.explode(F.array("h0", "h1")).alias("h"))
-    levels, levels_at = frequency_levels(hashes())
-    key = F.call_function("shiftleft", F.col("level"), F.lit(56)).bitwiseOR(F.shiftrightunsigned("h", 8))
-    ranked = hashes("node", "component").withColumn("bucket", F.pmod("h", F.lit(BUCKETS))).join(F.broadcast(levels), "bucket").select("node", "component", key.alias("key"))
+    levels, levels_at = shared_levels(hashes("node"))
+    level = F.coalesce("level", F.lit(0).cast("bigint"))
+    key = F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(F.shiftrightunsigned("h", 8))
+    ranked = hashes("node", "component").join(levels, "h", "left").select("node", "component", key.alias("key"))
     sets = ranked.groupBy("node", "component").agg(F.sort_array(F.collect_set("key")).alias("x")).select("node", "component", F.size("x").alias("n"), "x")
     first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1
-    tokens, tokens_at = written(sets.select("node", "component", "n", F.posexplode(F.slice("x", F.lit(1), first)).alias("before", "h")))
+    tokens, tokens_at = written(sets.select("node", "component", "n", F.posexplode(F.slice("x", F.lit(1), first)).alias("before", "h")).where(F.shiftright("h", 56) > 0))
     x, y = (tokens.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "before"))) for s in "xy")
     rest_x, rest_y = F.col("n_x") - F.col("before_x"), F.col("n_y") - F.col("before_y")
     allowed = F.least(rest_x, rest_y) + 1e-9 >= similarity * (F.col("before_x") + F.col("before_y") + F.greatest(rest_x, rest_y))
@@ -197,7 +195,8 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str =
     """row_key (hash of id and text), removed: numbers of the lines that are not the first of their component."""
     spark = docs.sparkSession
     lines = lines_of(docs, doc_id, text)
-    nodes, nodes_at = written(lines.groupBy("node", "line").agg(F.count(F.lit(1)).alias("weight")))
+    # all distinct text at once, beside the shuffle that made it: the most disk of all steps
+    nodes, nodes_at = written(lines.groupBy("node", "line").agg(F.count(F.lit(1)).alias("weight")), "zstd")
     repeated, repeated_at = written(nodes.where("weight > 1").select("node", F.col("node").alias("component")))
     linked = node_components(nodes, nodes_at, similarity)
     # a node that occurs once and is like no other loses nothing
