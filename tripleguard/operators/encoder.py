@@ -15,11 +15,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleguard.functions.vectors import initial_vector
+from tripleguard.functions.vectors import initial_vector, l2_distance
+from tripleguard.operators.graph import IN, OUT, pools, sampled
+from tripleguard.session import materialised
 
 Weights = dict[str, np.ndarray]
 
 ENCODED = "h bigint, r bigint, t bigint, a array<float>, b array<float>, translation double, second double"
+SIDE = "pos bigint, side int, translation double, second double, za array<double>, zb array<double>, apart double"
+#: Neighbourhoods' sides that are worked on at once.
+CHUNK = 256
 ATTENDED = "pos bigint, translation double, second double, gap_a double, gap_b double, similar double"
 
 
@@ -153,6 +158,47 @@ def attend(neighbourhood: DataFrame, encoded: DataFrame, weights: Weights, alpha
     return joined.repartition(parts, "pos").sortWithinPartitions("pos", "slot").mapInPandas(work, ATTENDED)
 
 
+def attend_rows(rows: DataFrame, triples: DataFrame, entities: DataFrame, relations: DataFrame, weights: Weights, k: int, seed: str, alpha: float = 0.2, mu: float = 0.001, weight: float = 0.1) -> DataFrame:
+    """What attend() gives for the neighbourhoods of rows (pos, h, r, t), without unfolding them in a shuffle.
+
+    All that can be sampled around an entity are the k edges of its pool. A pool is encoded and gathered once; a side of a row meets it
+    with its own encoding, and the picked neighbours are looked up inside the task. entities, relations: id, va, vb.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+    rows = rows.select("pos", "h", "r", "t")
+    near = materialised(pools(triples, k, seed))
+    edges = near.select("e", "degree", F.posexplode("near").alias("i", "x")).select("e", "degree", "i", "x.h", "x.r", "x.t")
+    encoded = materialised(encode_triples(edges.select("h", "r", "t").unionByName(rows.select("h", "r", "t")), entities, relations, weights))
+    gathered = edges.join(encoded.select("h", "r", "t", "a", "b"), ["h", "r", "t"]).groupBy("e").agg(F.first("degree").alias("degree"), F.array_sort(F.collect_list(F.struct("i", "a", "b"))).alias("near"))
+    flat = lambda c: F.flatten(F.transform("near", lambda x: x[c])).alias(f"near_{c}")
+    around = gathered.select("e", "degree", flat("a"), flat("b"))
+    ends = F.array(F.struct(F.lit(OUT).alias("side"), F.col("h").alias("e")), F.struct(F.lit(IN).alias("side"), F.col("t").alias("e")))
+    sides = rows.join(encoded, ["h", "r", "t"]).select("pos", "translation", "second", "a", "b", F.explode(ends).alias("x")).select("pos", "translation", "second", "a", "b", "x.*")
+    picks = F.when(F.col("side") == OUT, sampled(k, OUT, seed, "row", F.col("pos"))).otherwise(sampled(k, IN, seed, "row", F.col("pos")))
+    asked = sides.join(around, "e", "left").select("pos", "side", "translation", "second", "a", "b", F.when(F.col("degree").isNotNull(), picks).alias("picks"), "near_a", "near_b")
+
+    def groups(part: pd.DataFrame, c: str) -> np.ndarray:
+        """sides, 1 + k, values: the row of each side and its neighbours."""
+        own = np.stack(part[c]).astype(float)
+        found = [np.broadcast_to(x, (k, len(x))) if at is None else near.reshape(-1, len(x))[at] for x, at, near in zip(own, part["picks"], part[f"near_{c}"])]
+        return np.concatenate([own[:, None], np.stack(found).astype(float)], axis=1)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = shared.value
+        for batch in batches:
+            for start in range(0, len(batch), CHUNK):
+                part = batch.iloc[start : start + CHUNK]
+                za, zb = attention(groups(part, "a"), w, "att_a", alpha, mu), attention(groups(part, "b"), w, "att_b", alpha, mu)
+                apart = np.linalg.norm(two_layers(zb, w, "same") - two_layers(za, w, "narrow"), axis=1)
+                yield part[["pos", "side", "translation", "second"]].assign(za=list(za), zb=list(zb), apart=apart)
+
+    one = lambda c, side: F.first(F.when(F.col("side") == side, F.col(c)), ignorenulls=True)
+    both = asked.mapInPandas(work, SIDE).groupBy("pos").agg(
+        F.first("translation").alias("translation"), F.first("second").alias("second"), *((F.lit(weight) * l2_distance(one(f"z{v}", OUT), one(f"z{v}", IN))).alias(f"gap_{v}") for v in "ab"), (F.lit(weight) * F.sum("apart")).alias("similar")
+    )
+    return both.select("pos", "translation", "second", "gap_a", "gap_b", "similar")
+
+
 def anomaly_scores(attended: DataFrame) -> DataFrame:
     """pos, score: the translation and the distances of both views."""
     return attended.select("pos", (F.col("translation") + F.col("gap_a") + F.col("gap_b")).alias("score"))

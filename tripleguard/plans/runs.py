@@ -6,7 +6,6 @@ import argparse
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, fields
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,13 +105,10 @@ def trained_state(labelled: DataFrame, rows: DataFrame, entities: DataFrame, rel
 
 def scores(labelled: DataFrame, rows: DataFrame, entities: DataFrame, relations: DataFrame, config: Config, weights: encoder.Weights) -> DataFrame:
     """id, score, label of labelled triples (pos, h, r, t, label) by the encoder; neighbours come from the triples of rows."""
-    around = graph.triple_neighbourhood(labelled, rows, config.neighbours, str(config.seed))
     drawn = [encoder.initial_vectors(v, config.dim, kind, str(config.seed)) for v, kind in ((entities, "ent"), (relations, "rel"))]
     given = vectors_of(labelled.sparkSession, entities, relations, config)
     vectors = [d if g is None else g.select("id", F.col("vector").alias("va"), F.col("vector").alias("vb")) for d, g in zip(drawn, given)]
-    known = reduce(DataFrame.unionByName, (t.select("h", "r", "t") for t in (rows, labelled)))
-    encoded = encoder.encode_triples(known, *vectors, weights)
-    found = encoder.anomaly_scores(encoder.attend(around, encoded, weights, config.alpha, config.mu, config.weight))
+    found = encoder.anomaly_scores(encoder.attend_rows(labelled, rows, *vectors, weights, config.neighbours, str(config.seed), config.alpha, config.mu, config.weight))
     return found.join(labelled.select("pos", "label"), "pos").select(F.col("pos").alias("id"), "score", "label")
 
 
