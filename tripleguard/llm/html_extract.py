@@ -310,14 +310,32 @@ def page_table(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     return written(lines.withColumn("key", F.md5(F.array_join("lines", "\n").cast("binary"))))[0]
 
 
+def site_lines(pages: DataFrame) -> DataFrame:
+    """host, everywhere: the lines that more than half of a host's distinct pages hold, of hosts with four or more. pages: host, key, lines."""
+    once = pages.groupBy("host", "key").agg(F.first("lines").alias("lines"))
+    sizes = once.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    held = once.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("held")).where("held > 2")
+    return held.join(sizes, "host").where("2 * held > n").groupBy("host").agg(F.collect_list("line").alias("everywhere"))
+
+
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages."""
+    """page_id, url, text, n_chars for each row of pages.
+
+    Every page is differenced against its mate. Without a marked article what differs is the text; inside a marked one a shared
+    line goes only if the whole site has it, since two articles may share a sentence.
+    """
     table = page_table(pages, page_id, url, html)
     whole = F.array_join("lines", "\n")
-    alone = F.col("marked") | (F.size("lines") == 0)
-    texts = table.where(alone).select("page_id", "url", whole.alias("text"))
-    plain = table.where(~alone)
+    texts = table.where(F.size("lines") == 0).select("page_id", "url", whole.alias("text"))
+    plain, marked = (table.where(F.size("lines") > 0).where(c) for c in ("not marked", "marked"))
     if not plain.isEmpty():
         found = plain.join(difference(plain), ["host", "key"], "left")
         texts = texts.unionByName(found.select("page_id", "url", F.coalesce("text", whole).alias("text")))
+    if not marked.isEmpty():
+        named = lambda x: F.xxhash64(x).cast("string")
+        hashed = marked.select("host", "path", "key", F.transform("lines", named).alias("lines"))  # the text stays where it is
+        judged, _ = written(difference(hashed).withColumnRenamed("text", "differs").join(site_lines(hashed), "host"))
+        stays = F.filter("lines", lambda x: ~F.array_contains("everywhere", named(x)) | F.array_contains(F.split("differs", "\n"), named(x)))
+        found = marked.join(judged, ["host", "key"], "left")
+        texts = texts.unionByName(found.select("page_id", "url", F.when(F.col("everywhere").isNull(), whole).otherwise(F.array_join(stays, "\n")).alias("text")))
     return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
