@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleguard.functions.draws import draw, draw_below
-from tripleguard.operators import corrupt
-from tripleguard.operators.scan import first_rows, nth_free, running_in_groups, union
-from tripleguard.operators.vocabulary import decode, encode
+from tripleguard.operators import corrupt, scan
+from tripleguard.operators.scan import first_rows, nth_free, union
+from tripleguard.operators.vocabulary import decode, dense_ids, encode
 from tripleguard.session import materialised
 from tripleguard.sources.triples import frozen_or, read_lines, split_triples
 
@@ -38,8 +38,9 @@ def type_pool_negatives(rows: DataFrame, known: DataFrame, seed: str) -> DataFra
     """
     one, side = F.lit(1).cast("long"), ["side", "r"]
     ends = lambda t, other: [t.select(F.lit(c).alias("side"), "r", *([F.col(o).alias("other")] if other else []), F.col(c).alias("e")) for c, o in (("h", "t"), ("t", "h"))]
-    seen = union(ends(known, False)).distinct().withColumn("_one", one)
-    pool = materialised(running_in_groups(seen, side, ["e"], "_one", "rank").select(*side, "e", (F.col("rank") - 1).alias("rank")))
+    numbered = dense_ids(union(ends(known, False)).distinct(), [*side, "e"])
+    first = F.broadcast(numbered.groupBy(*side).agg(F.min("id").alias("first")))  # two rows a relation
+    pool = materialised(numbered.join(first, side).select(*side, "e", (F.col("id") - F.col("first")).alias("rank")))
     masked = union([known.select("h", "r", "t"), rows.select("h", "r", "t")]).distinct()
     held = materialised(union(ends(masked, True)).join(pool, [*side, "e"]).select(*side, "other", F.col("rank").alias("u")))
     sizes, taken = pool.groupBy(*side).agg(F.count(one).alias("size")), held.groupBy(*side, "other").agg(F.count(one).alias("taken"))
@@ -54,13 +55,13 @@ def type_pool_negatives(rows: DataFrame, known: DataFrame, seed: str) -> DataFra
     total = F.col("free_h") + F.col("free_t")
     drawn = materialised(counted.withColumn("x", F.when(total > 0, draw_below(total, seed, "corruptible", F.col("pos")))))
     head = F.col("x") < F.col("free_h")
-    asks = drawn.where("x is not null").select(
-        "pos", F.when(head, "h").otherwise("t").alias("side"), "r", F.when(head, F.col("t")).otherwise(F.col("h")).alias("other"), F.when(head, F.col("x")).otherwise(F.col("x") - F.col("free_h")).alias("k")
+    asks = drawn.select(
+        "pos", "h", "t", F.when(head, "h").when(~head, "t").alias("side"), "r", F.when(head, F.col("t")).otherwise(F.col("h")).alias("other"), F.when(head, F.col("x")).otherwise(F.col("x") - F.col("free_h")).alias("k")
     )
-    ranked = nth_free(asks, held, [*side, "other"]).withColumnRenamed("free", "rank").join(asks.select("pos", *side), "pos")
-    found = ranked.join(pool, [*side, "rank"]).select("pos", F.col("side").alias("slot"), "e")
+    large = taken.where(F.col("taken") > scan.LONG).select(*side, "other")
+    found = nth_free(asks, held, [*side, "other"], hubs=large).withColumnRenamed("free", "rank").join(pool, [*side, "rank"], "left").withColumnRenamed("side", "slot")
     put = lambda c: F.when(F.col("slot") == c, F.col("e")).when(F.col("slot").isNotNull(), F.col(c)).alias(c)
-    return drawn.join(found, "pos", "left").select("pos", "slot", put("h"), F.when(F.col("slot").isNotNull(), F.col("r")).alias("r"), put("t"))
+    return found.select("pos", "slot", put("h"), F.when(F.col("slot").isNotNull(), F.col("r")).alias("r"), put("t"))
 
 
 def oversampled(rows: DataFrame, n: int, generate: Callable[[DataFrame], DataFrame], seed: str) -> DataFrame:
