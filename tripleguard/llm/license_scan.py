@@ -4,14 +4,15 @@ Paragraphs are the lines of a text and, for wrapped notices, spans of lines: run
 an n-gram of the vocabulary, which may reach over line ends but not over a line without words (a blank one
 or one of comment marks only). A span counts where none of its lines gives the same family by itself. A multinomial logistic regression over the presence of word bigrams and trigrams (the
 vocabulary is that of the templates) names a licence family or `unknown`. It is trained here, on
-variants of the templates (words left out by a rule) and on lines of the corpus as the unknown class:
-from about SAMPLED documents picked by hash, NEGATIVES lines at most that share no word pair with a template, and as many
-that share some, but less than HARD of any template.
-Half of them only calibrate: a family must beat the probability that no calibrating
+variants of the templates (words left out by a rule) and on all lines of the corpus that grant nothing as the unknown class:
+those that share no word pair with a template, and those that share some, but less than HARD of any template. Lines that
+hold the same n-grams of the vocabulary are one row with their number as weight; each of both kinds weighs MASS at most in all, so that
+a large corpus doesn't drown the notices.
+Half of the rows that share some only calibrate: a family must beat the probability that no calibrating
 line reaches. A prediction is reported once a template of its family confirms it: the paragraph must hold at least
 CONFIRM of the template's n-grams.
 
-Training reads a bounded sample; scoring covers every paragraph of every text. Defined results: null and empty texts have
+Training and scoring cover every line of every text. Defined results: null and empty texts have
 no paragraphs and no licences; each row gets a row; repeated paragraphs each count; ties between templates go to
 the smaller name; further columns may have any name.
 """
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from tripleguard.llm.shared import remove, written
 
-NEGATIVES, SAMPLED = 2_000, 1_000
+#: Weight of each kind of unknown lines in the fit, at most.
+MASS = 1_000
 VARIANTS = 12
 CONFIRM = 0.6
 #: A line that shares less than this part of every template grants nothing; a family is never named below the probability LEAST.
@@ -101,11 +103,6 @@ def grams(rows: DataFrame, keys: list[str], words: str = "words") -> DataFrame:
     return at.select(*keys, F.explode(both).alias("gram")).where("gram is not null")
 
 
-def paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """row_key, paragraph (number from 0), words."""
-    return docs.select(F.xxhash64(doc_id, text).alias("row_key"), F.posexplode(F.split(F.col(text), "\n")).alias("paragraph", "line")).select("row_key", "paragraph", words_of(F.col("line")).alias("words"))
-
-
 def grams_in_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """row_key, first, last, gram: each bigram and trigram, and the lines in which it begins and ends."""
     marked = F.transform(F.split(F.col(text), "\n"), lambda line, i: F.transform(words_of(F.regexp_replace(line, COMMENT_WORD, "")), lambda w: F.struct(w.alias("word"), i.alias("line"))))
@@ -135,29 +132,42 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(TEMPLATES)], "template int, family string, text string").select("template", "family", words_of(F.col("text")).alias("words"))
 
 
-def _training_rows(known: DataFrame, lines: DataFrame) -> tuple[DataFrame, str]:
-    """id, family, calibrates, grams: variants of the templates, near misses and lines of the corpus; and the folder they depend on."""
+def vocabulary_in_lines(docs: DataFrame, known: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """row_key, first, last, gram: what grams_in_lines() finds of the templates' n-grams."""
+    return grams_in_lines(docs, doc_id, text).join(F.broadcast(grams(known, []).distinct()), "gram", "left_semi").select("row_key", "first", "last", "gram").distinct()
+
+
+def line_kinds(held: DataFrame) -> DataFrame:
+    """grams and n: how many lines hold just these n-grams of the vocabulary. held: row_key, first, last, gram."""
+    lines = held.where("first = last").groupBy("row_key", "first").agg(F.array_sort(F.collect_set("gram")).alias("grams"))
+    return lines.groupBy("grams").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _training_rows(known: DataFrame, docs: DataFrame, held: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
+    """id, family, calibrates, weight, grams: variants of the templates, near misses and the corpus's lines that grant nothing; and the folders they depend on."""
     spark = known.sparkSession
     variant = known.select("family", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS))).alias("v"), "template", "words")
     left_out = F.filter("words", lambda w, i: (F.col("v") == 0) | (F.pmod(F.xxhash64(F.lit("leave"), "v", "template", i), F.lit(9)) > 0))
-    positive = variant.select("family", F.lit(False).alias("calibrates"), left_out.alias("words"))
-    near = spark.createDataFrame([(UNKNOWN, False, t) for t in NEAR_MISSES] * VARIANTS, "family string, calibrates boolean, text string").select("family", "calibrates", words_of(F.col("text")).alias("words"))
-    negative = _negatives(known, lines).select(F.lit(UNKNOWN).alias("family"), (F.pmod(F.xxhash64(F.lit("half"), "words"), F.lit(2)) == 0).alias("calibrates"), "words")
-    rows, at = written(positive.unionByName(near).unionByName(negative).withColumn("id", F.monotonically_increasing_id()))  # the ids are fixed by the write
-    held = grams(rows, ["id"]).groupBy("id").agg(F.collect_set("gram").alias("grams"))
-    return rows.join(held, "id").select("id", "family", "calibrates", "grams"), at
-
+    near = spark.createDataFrame([(UNKNOWN, t) for t in NEAR_MISSES] * VARIANTS, "family string, text string").select("family", words_of(F.col("text")).alias("words"))
+    given, given_at = written(variant.select("family", left_out.alias("words")).unionByName(near).withColumn("id", F.monotonically_increasing_id()))  # the ids are fixed by the write
+    own = given.select("family", F.lit(False).alias("calibrates"), F.lit(1.0).alias("weight"), "id").join(grams(given, ["id"]).groupBy("id").agg(F.collect_set("gram").alias("grams")), "id").drop("id")
 
-def _negatives(known: DataFrame, lines: DataFrame) -> DataFrame:
-    """words of distinct lines that grant nothing: NEGATIVES at most without a word pair of a template, and as many that share some with one, but less than HARD of it."""
-    own = lines.where(F.size("words") > 1).select("words").distinct()
+    kinds, kinds_at = written(line_kinds(held))
     of_template = grams(known, ["template"]).distinct()
     sizes = of_template.groupBy("template").agg(F.count(F.lit(1)).alias("size"))
-    common = grams(own.withColumn("line", F.col("words")), ["line"]).distinct().join(F.broadcast(of_template), "gram").groupBy("line", "template").agg(F.count(F.lit(1)).alias("common"))
-    share = common.join(F.broadcast(sizes), "template").groupBy(F.col("line").alias("words")).agg(F.max(F.col("common") / F.col("size")).alias("share"))
-    shared = own.join(share, "words", "left")
-    picked = [shared.where(c).orderBy(F.xxhash64("words"), "words").limit(NEGATIVES).select("words") for c in (F.col("share").isNull(), F.col("share") < HARD)]
-    return picked[0].unionByName(picked[1])
+    common = kinds.select("grams", F.explode("grams").alias("gram")).join(F.broadcast(of_template), "gram").groupBy("grams", "template").agg(F.count(F.lit(1)).alias("common"))
+    granting = common.join(F.broadcast(sizes), "template").where(F.col("common") / F.col("size") >= HARD).select("grams").distinct()
+    half = (F.pmod(F.xxhash64(F.lit("half"), "grams"), F.lit(2)) == 0).alias("calibrates")
+    sharing, sharing_at = written(kinds.join(granting, "grams", "left_anti").select(half, "grams", "n"))
+    some = sharing.where("not calibrates").agg(F.sum("n")).first()[0] or 0
+    two_words = "[\\p{L}\\p{N}][^\\p{L}\\p{N}]+[\\p{L}\\p{N}]"
+    lines = docs.agg(F.sum(F.size(F.filter(F.split(text, "\n"), lambda line: line.rlike(two_words))).cast("long"))).first()[0] or 0
+    plain = max(0, lines - (kinds.agg(F.sum("n")).first()[0] or 0))
+    unknown = sharing.select(F.lit(UNKNOWN).alias("family"), "calibrates", (F.col("n") * F.lit(min(1.0, MASS / max(some, 1)))).alias("weight"), "grams")
+    empty = spark.createDataFrame([(UNKNOWN, False, float(min(plain, MASS)), [])], "family string, calibrates boolean, weight double, grams array<string>").where("weight > 0")
+    rows, rows_at = written(own.unionByName(unknown).unionByName(empty).withColumn("id", F.monotonically_increasing_id()))
+    remove(spark, given_at, kinds_at, sharing_at)
+    return rows, [rows_at]
 
 
 class Classifier:
@@ -167,19 +177,18 @@ class Classifier:
         self.weights, self.classes, self.bias, self.least = weights, classes, bias, least
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Classifier:
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held: DataFrame | None = None) -> Classifier:
+    """held: what vocabulary_in_lines() finds, if it is at hand."""
     spark = docs.sparkSession
     known = templates(spark)
     vocabulary = sorted(r["gram"] for r in grams(known, []).distinct().collect())  # of the templates
-    # about SAMPLED documents, by a share of the hashes, so that no task hands more than a few lines on
-    bits = F.xxhash64(doc_id, text).bitwiseAND(F.lit((1 << 20) - 1))
-    some = docs.where(bits * F.lit(docs.count()) < F.lit(SAMPLED << 20))
-    rows, rows_at = _training_rows(known, paragraphs(some, doc_id, text))
+    held = held if held is not None else vocabulary_in_lines(docs, known, doc_id, text)
+    rows, rows_at = _training_rows(known, docs, held, text)
     classes = sorted({f for f, _ in TEMPLATES} | {UNKNOWN})
     place = F.array_position(F.array(*map(F.lit, classes)), F.col("family")).cast("double") - 1
     rows = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True).transform(rows.withColumn("label", place))
     rows, features_at = written(rows)  # read by each step of the fit
-    model = LogisticRegression(family="multinomial", regParam=0.002, maxIter=40, standardization=False).fit(rows.where("not calibrates"))
+    model = LogisticRegression(family="multinomial", weightCol="weight", regParam=0.002, maxIter=40, standardization=False).fit(rows.where("not calibrates"))
     matrix = model.coefficientMatrix.toArray()
     weights = spark.createDataFrame([(g, *map(float, matrix[:, i])) for i, g in enumerate(vocabulary)], "gram string, " + ", ".join(f"w{c} double" for c in range(len(classes))))
     bias = [float(b) for b in model.interceptVector]
@@ -187,7 +196,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Classi
     said = probabilities(rows.where("calibrates").select(F.col("id").alias("row_key"), F.lit(0).alias("paragraph"), F.explode("grams").alias("gram")), classifier)
     top = said.where(F.col("family") != UNKNOWN).agg(F.max("probability")).first()[0]
     classifier.least = max(LEAST, top or 0.0)
-    remove(spark, rows_at, features_at)
+    remove(spark, *rows_at, features_at)
     return classifier
 
 
@@ -204,13 +213,12 @@ def probabilities(held: DataFrame, classifier: Classifier) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, classifier: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, classifier: Classifier, doc_id: str = "doc_id", text: str = "text", held: DataFrame | None = None) -> DataFrame:
     """row_key, paragraph, family, probability, template, share of each confirmed paragraph (first and last line)."""
     known = templates(docs.sparkSession)
     of_template = grams(known, ["template", "family"]).distinct()
     sizes = of_template.groupBy("template").agg(F.count(F.lit(1)).alias("size"))
-    held, _ = written(grams_in_lines(docs, doc_id, text).join(F.broadcast(classifier.weights.select("gram")), "gram", "left_semi").distinct())
-    held = candidates(held)
+    held = candidates(held if held is not None else written(vocabulary_in_lines(docs, known, doc_id, text))[0])
     said = probabilities(held, classifier).where(F.col("family") != UNKNOWN).where(F.col("probability") > classifier.least)
     compared = (
         held.join(said, ["row_key", "paragraph"])
@@ -231,7 +239,8 @@ def scan(docs: DataFrame, classifier: Classifier, doc_id: str = "doc_id", text:
 
 def license_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_license (paragraphs), families (sorted, comma-joined), spans (line:family or first-last:family, by line) for each row."""
-    found = scan(docs, train(docs, doc_id, text), doc_id, text)
+    held, _ = written(vocabulary_in_lines(docs, templates(docs.sparkSession), doc_id, text))  # read by both
+    found = scan(docs, train(docs, doc_id, text, held), doc_id, text, held)
     per_row = found.groupBy("row_key").agg(
         F.count(F.lit(1)).alias("n_license"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.array_sort(F.collect_list(F.struct("paragraph", "family"))).alias("spans")
     )
