@@ -1,7 +1,7 @@
 """Training of translational vectors: gradients and Adam moments as tables, one step a batch, one written state an epoch.
 
-The parameters are rows (kind, id, x, m, v): the vector of an entity or relation and its two moments. A step joins the six
-vectors of each pair of a batch, takes the gradient of the margin max(0, |h + r - t| - |h2 + r2 - t2| + gamma) in closed form, sums it
+The parameters are rows (kind, id, x, m, v): the vector of an entity or relation and its two moments. A step joins the
+vectors of each pair of a batch (one that a negative shares with its triple once), takes the gradient of the margin max(0, |h + r - t| - |h2 + r2 - t2| + gamma) in closed form, sums it
 by row and moves every row as Adam does. Nothing but two numbers a step (pairs and loss) comes to the driver, and the tables grow with the graph.
 
 A state is kept when an epoch is over, with its loss written behind it; training that was stopped goes on from the last such epoch
@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleguard.functions.vectors import initial_vector, minus, norm
+from tripleguard.functions.vectors import initial_vector
 from tripleguard.operators.corrupt import batches, iterations
 from tripleguard.session import exists, remove, stored
 
@@ -40,23 +41,32 @@ def given_state(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return one(entities, "e").unionByName(one(relations, "r"))
 
 
-def with_vectors(pairs: DataFrame, state: DataFrame, places=PLACES) -> DataFrame:
-    """pos, ids and x0, x1, ... of each pair: the vectors of its places, in order. A pair with an unknown id is an error of the caller's."""
-    slots = [F.struct(F.lit(i).alias("place"), F.lit(kind).alias("kind"), F.col(c).alias("id")) for i, (kind, c, _) in enumerate(places)]
-    long = pairs.select("pos", F.explode(F.array(*slots)).alias("s")).select("pos", "s.place", "s.kind", "s.id")
-    held = long.join(state.select(*KEY, "x"), KEY).groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("place", "id", "x"))).alias("p"))  # as many rows as places
-    return held.select("pos", F.transform("p", lambda e: e["id"]).alias("ids"), *(F.get("p", F.lit(i))["x"].alias(f"x{i}") for i in range(len(places))))
+def _members(pairs: DataFrame, keep: list[str], negatives: bool = True) -> DataFrame:
+    """keep, kind, id, a, b of each vector that a triple or a pair is made of: its signs in the distances of the triple and of the negative.
+
+    A slot that a negative shares with its triple is one row, so a pair has four of them where one slot is replaced.
+    """
+    parts = []
+    for (kind, c, sign), (_, c2, _) in zip(PLACES[:3], PLACES[3:]):
+        row = lambda of, a, b, kind=kind: F.struct(F.lit(kind).alias("kind"), F.col(of).alias("id"), a.alias("a"), b.alias("b"))
+        same = F.col(c) == F.col(c2) if negatives else F.lit(False)
+        parts.append(row(c, F.lit(sign), F.when(same, F.lit(sign)).otherwise(F.lit(0.0))))
+        if negatives:
+            parts.append(F.when(~same, row(c2, F.lit(0.0), F.lit(sign))))
+    return pairs.select(*keep, F.explode(F.array(*parts)).alias("s")).where("s is not null").select(*keep, "s.*")
 
 
-def _difference(head: str, relation: str, tail: str) -> Column:
-    return minus(F.zip_with(F.col(head), F.col(relation), lambda a, b: a + b), F.col(tail))
+def _sums(members: DataFrame, state: DataFrame, keep: list[str], dim: int, signs: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """keep and, for each of the signs, the components of the signed sum of the vectors: a0, a1, ..., b0, b1, ... An id that the state lacks is an error of the caller's.
+
+    Components are columns of their own, so sums are made by hashing, and partly before the shuffle; no vector is put in a list.
+    """
+    held = members.join(state.select(*KEY, *(F.get("x", F.lit(i)).alias(f"x{i}") for i in range(dim))), KEY)
+    return held.groupBy(*keep).agg(*(F.sum(F.col(f"x{i}") * F.col(c)).alias(f"{c}{i}") for c in signs for i in range(dim)))
 
 
-def margins(pairs: DataFrame, state: DataFrame, gamma: float) -> DataFrame:
-    """pos, ids, d and d2 (h + r - t of both triples), s and s2 (their lengths), loss."""
-    found = with_vectors(pairs, state).withColumns({"d": _difference("x0", "x1", "x2"), "d2": _difference("x3", "x4", "x5")})
-    measured = found.withColumns({"s": norm(F.col("d")), "s2": norm(F.col("d2"))})
-    return measured.select("pos", "ids", "d", "d2", "s", "s2", F.greatest(F.lit(0.0), F.col("s") - F.col("s2") + gamma).alias("loss"))
+def _length(sign: str, dim: int) -> Column:
+    return F.sqrt(reduce(Column.__add__, (F.col(f"{sign}{i}") * F.col(f"{sign}{i}") for i in range(dim))))
 
 
 def gradients(pairs: DataFrame, state: DataFrame, dim: int, gamma: float) -> DataFrame:
@@ -65,14 +75,18 @@ def gradients(pairs: DataFrame, state: DataFrame, dim: int, gamma: float) -> Dat
     Where the margin is met there is none; at a distance of 0 the gradient is 0. The sums are combined before the shuffle, so a hub
     or a relation of very many pairs doesn't gather their vectors in one task.
     """
-    scale = lambda v, s, sign: F.transform(v, lambda x: F.when((F.col("loss") > 0) & (s > 0), x / s * F.lit(sign)).otherwise(F.lit(0.0)))
-    parts = []
-    for i, (kind, _, sign) in enumerate(PLACES):
-        g = scale(F.col("d"), F.col("s"), sign) if i < 3 else scale(F.col("d2"), F.col("s2"), -sign)
-        first = F.lit(1 if i == 0 else 0)
-        parts.append(F.struct(F.lit(kind).alias("kind"), F.get("ids", F.lit(i)).alias("id"), g.alias("g"), (F.col("loss") * first).alias("loss"), first.cast("long").alias("n")))
-    rows = margins(pairs, state, gamma).select(F.explode(F.array(*parts)).alias("r")).select("r.*")
-    sums = rows.groupBy(*KEY).agg(*(F.sum(F.get("g", F.lit(i))).alias(f"g{i}") for i in range(dim)), F.sum("loss").alias("loss"), F.sum("n").alias("n"))
+    keep = ["pos", *(c for _, c, _ in PLACES)]
+    found = _sums(_members(pairs, keep), state, keep, dim).withColumns({"s": _length("a", dim), "s2": _length("b", dim)})
+    found = found.withColumn("loss", F.greatest(F.lit(0.0), F.col("s") - F.col("s2") + gamma))
+    # the share of each component in the gradient; the negative's with the opposite sign
+    scale = lambda s, sign: F.when((F.col("loss") > 0) & (F.col(s) > 0), F.lit(sign) / F.col(s)).otherwise(F.lit(0.0))
+    units = found.withColumns({"u": scale("s", 1.0), "u2": scale("s2", -1.0)}).select(*keep, "loss", *((F.col(u) * F.col(f"{c}{i}")).alias(f"{c}{i}") for c, u in (("a", "u"), ("b", "u2")) for i in range(dim)))
+    rows = _members(units, units.columns[len(keep):])
+    first = (F.col("kind") == "e") & (F.col("a") > 0)  # the head of the triple: one row a pair
+    sums = rows.groupBy(*KEY).agg(
+        *(F.sum(F.col("a") * F.col(f"a{i}") + F.col("b") * F.col(f"b{i}")).alias(f"g{i}") for i in range(dim)),
+        F.sum(F.when(first, F.col("loss")).otherwise(F.lit(0.0))).alias("loss"), F.sum(F.when(first, 1).otherwise(0)).alias("n"),
+    )
     return sums.select(*KEY, F.array(*(f"g{i}" for i in range(dim))).alias("g"), "loss", "n")
 
 
@@ -141,4 +155,8 @@ def train(
 
 def distances(triples: DataFrame, state: DataFrame) -> DataFrame:
     """pos, score: |h + r - t| of each triple."""
-    return with_vectors(triples, state, PLACES[:3]).select("pos", norm(_difference("x0", "x1", "x2")).alias("score"))
+    row = state.select(F.size("x").alias("n")).first()
+    dim = row["n"] if row else 0
+    if not dim:
+        return triples.select("pos", F.lit(0.0).alias("score")).where(F.lit(False))
+    return _sums(_members(triples, ["pos"], False), state, ["pos"], dim, ("a",)).select("pos", _length("a", dim).alias("score"))
