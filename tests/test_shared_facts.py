@@ -39,7 +39,7 @@ def test_all_64_bits(spark):
     assert found == {("a", 0): 0, ("a", 1): 40, ("b", 0): 63, ("b", 1): None, ("c", 0): None, ("c", 1): None, ("d", 0): 0, ("d", 1): 1} | {(g, None): None for g in "abcd"}
 
 
-@pytest.mark.parametrize("name", ["baseline_test_batches"])
+@pytest.mark.parametrize("name", ["baseline_test_batches", "train_pairs", "null_replace"])
 def test_facts_are_grouped_once(spark, monkeypatch, name):
     grouped, held = [], scan.held
     monkeypatch.setattr(scan, "held", lambda *x: grouped.append(x) or held(*x))
