@@ -166,7 +166,7 @@ def attend_rows(rows: DataFrame, triples: DataFrame, entities: DataFrame, relati
     """
     shared = rows.sparkSession.sparkContext.broadcast(weights)
     rows = rows.select("pos", "h", "r", "t")
-    near = materialised(pools(triples, k, seed))
+    near = pools(triples, k, seed)
     edges = near.select("e", "degree", F.posexplode("near").alias("i", "x")).select("e", "degree", "i", "x.h", "x.r", "x.t")
     encoded = materialised(encode_triples(edges.select("h", "r", "t").unionByName(rows.select("h", "r", "t")), entities, relations, weights))
     gathered = edges.join(encoded.select("h", "r", "t", "a", "b"), ["h", "r", "t"]).groupBy("e").agg(F.first("degree").alias("degree"), F.array_sort(F.collect_list(F.struct("i", "a", "b"))).alias("near"))
