@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tripleguard.functions.draws import draw, draw_below
 from tripleguard.operators import corrupt, scan
-from tripleguard.operators.scan import first_rows, nth_free, union
+from tripleguard.operators.scan import first_rows, large_groups, nth_free, union
 from tripleguard.operators.vocabulary import decode, dense_ids, encode
 from tripleguard.session import materialised
 from tripleguard.sources.triples import frozen_or, read_lines, split_triples
@@ -29,6 +29,34 @@ def read_pool(spark: SparkSession, folder: str, entities: DataFrame, relations:
     return encoded.select((F.col("at") + F.col("file").cast("bigint") * F.lit(1 << 60)).alias("pos"), "h", "r", "t")
 
 
+def _nth_in_pool(asks: DataFrame, pool: DataFrame, few: DataFrame) -> DataFrame:
+    """pos, h, t, side, r, e: the k-th entity (from 0) of the pool (side, r, e, rank) that few (side, r, other, and sorted _e of scan.LONG at most) doesn't hold.
+
+    Its rank is k and how many held ones don't stand behind it. Entities of a pool are in order, so these are counted by the entity at the rank
+    that is known so far, from k on; that count grows until it stays. Where it is still growing after two looks (held ones stand close
+    together), what is held is numbered by ranks instead; elsewhere it needs none.
+    """
+    side, keys = ["side", "r"], ["side", "r", "other"]
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(scan.LONG.bit_length()))))
+    # behind the end of the array there is null, so the step isn't taken
+    further = lambda at, step: F.when(F.get("_e", at + step - 1) <= F.col("e"), at + step).otherwise(at)
+
+    def looked(at: DataFrame, c: str) -> DataFrame:
+        met = at.join(pool, [*side, "rank"], "left").join(few, keys, "left")
+        return materialised(met.select(*at.columns, "e", F.aggregate(steps, F.lit(0), further).cast("long").alias(c)))
+
+    one = looked(asks.withColumn("rank", F.col("k")), "c")
+    moved = looked(one.where("c > 0").select(*asks.columns, "c", (F.col("k") + F.col("c")).alias("rank")), "c2")
+    ends = ("pos", "h", "t", "side", "r", "e")
+    found = one.where("c = 0 or side is null").select(*ends).unionByName(moved.where("c = c2").select(*ends))
+    rest = moved.where("c != c2").select(*asks.columns)
+    if rest.isEmpty():
+        return found
+    ranked = few.join(rest.select(*keys).distinct(), keys, "left_semi").select(*keys, F.explode("_e").alias("e")).join(pool, [*side, "e"])
+    late = nth_free(rest, ranked.select(*keys, F.col("rank").alias("u")), keys, name="rank")
+    return found.unionByName(late.join(pool, [*side, "rank"]).select(*ends))
+
+
 def type_pool_negatives(rows: DataFrame, known: DataFrame, seed: str) -> DataFrame:
     """pos, slot, h, r, t of each row with its head or its tail replaced by an entity that its relation has been seen with there.
 
@@ -41,9 +69,20 @@ def type_pool_negatives(rows: DataFrame, known: DataFrame, seed: str) -> DataFra
     numbered = dense_ids(union(ends(known, False)).distinct(), [*side, "e"])
     first = F.broadcast(numbered.groupBy(*side).agg(F.min("id").alias("first")))  # two rows a relation
     pool = materialised(numbered.join(first, side).select(*side, "e", (F.col("id") - F.col("first")).alias("rank")))
-    masked = union([known.select("h", "r", "t"), rows.select("h", "r", "t")]).distinct()
-    held = materialised(union(ends(masked, True)).join(pool, [*side, "e"]).select(*side, "other", F.col("rank").alias("u")))
-    sizes, taken = pool.groupBy(*side).agg(F.count(one).alias("size")), held.groupBy(*side, "other").agg(F.count(one).alias("taken"))
+    keys = [*side, "other"]
+    wanted = materialised(union([rows.select(F.lit(c).alias("side"), "r", F.col(o).alias("other")) for c, o in (("h", "t"), ("t", "h"))]).distinct())
+    # what stands in a pool is known there, so that only the rows have to be looked up
+    own = materialised(union(ends(rows, True)).join(pool.select(*side, "e"), [*side, "e"], "left_semi"))
+    masked = union([*ends(known, True), own])
+    large = materialised(large_groups(masked, keys).join(wanted, keys, "left_semi"))
+    hubs, held = not large.isEmpty(), None
+    few = masked.join(F.broadcast(large), keys, "left_anti") if hubs else masked
+    few = materialised(few.join(wanted, keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_set("e")).alias("_e")))
+    taken = few.select(*keys, F.size("_e").cast("long").alias("taken"))
+    if hubs:
+        held = materialised(masked.join(F.broadcast(large), keys, "left_semi").distinct().join(pool, [*side, "e"]).select(*keys, F.col("rank").alias("u")))
+        taken = taken.unionByName(held.groupBy(*keys).agg(F.count(one).alias("taken")))
+    sizes = pool.groupBy(*side).agg(F.count(one).alias("size"))
 
     def left(of: DataFrame, c: str, o: str) -> DataFrame:
         size = sizes.where(F.col("side") == c).select("r", "size")
@@ -58,8 +97,11 @@ def type_pool_negatives(rows: DataFrame, known: DataFrame, seed: str) -> DataFra
     asks = drawn.select(
         "pos", "h", "t", F.when(head, "h").when(~head, "t").alias("side"), "r", F.when(head, F.col("t")).otherwise(F.col("h")).alias("other"), F.when(head, F.col("x")).otherwise(F.col("x") - F.col("free_h")).alias("k")
     )
-    large = taken.where(F.col("taken") > scan.LONG).select(*side, "other")
-    found = nth_free(asks, held, [*side, "other"], hubs=large).withColumnRenamed("free", "rank").join(pool, [*side, "rank"], "left").withColumnRenamed("side", "slot")
+    found = _nth_in_pool(asks.join(F.broadcast(large), keys, "left_anti") if hubs else asks, pool, few)
+    if hubs:
+        many = nth_free(asks.join(F.broadcast(large), keys, "left_semi"), held, keys, hubs=large)
+        found = found.unionByName(many.withColumnRenamed("free", "rank").join(pool, [*side, "rank"], "left").select(*found.columns))
+    found = found.withColumnRenamed("side", "slot")
     put = lambda c: F.when(F.col("slot") == c, F.col("e")).when(F.col("slot").isNotNull(), F.col(c)).alias(c)
     return found.select("pos", "slot", put("h"), F.when(F.col("slot").isNotNull(), F.col("r")).alias("r"), put("t"))
 
